@@ -35,6 +35,13 @@ def _distinct(keys: str) -> str:
 
 case("w_table_access_counts", lambda t: a.w_table_access_counts(events(t)), _distinct("object_name"), AH, ctes=CTES)
 case("w_table_rw_by_user", lambda t: a.w_table_rw_by_user(events(t)), _distinct("object_name, user_name, action"), AH, ctes=CTES)
+case(
+    "w_top_accessed_tables",
+    lambda t: a.w_top_accessed_tables(a.w_table_access_counts(events(t))),
+    f"{_distinct('object_name')} ORDER BY distinct_queries DESC, object_name LIMIT 30",
+    AH,
+    ctes=CTES,
+)
 ACTIONS = _distinct("user_name, action")
 case("w_user_action_counts", lambda t: a.w_user_action_counts(events(t)), ACTIONS, AH, ctes=CTES)
 case(
@@ -137,7 +144,7 @@ SIZES = f"SELECT qualified_name, format, count(*) AS num_files, CAST(sum(length)
 case(
     "l_table_access_detail",
     lambda t: a.l_table_access_detail(
-        t[LIN], principal_names(t["l_principals"]), table_sizes_from_files(t[MANIFEST]), LI, DOMAIN, EMPLOYEES
+        t[LIN], principal_names(t["l_principals"]), table_sizes_from_files(t[MANIFEST]), DOMAIN, EMPLOYEES, LI
     ),
     "SELECT d.*, s.size_bytes FROM ("
     f"SELECT {DISPLAY.format('x.created_by')} AS actor, table_name, CAST(sum(r) AS BIGINT) AS read_count, "
@@ -150,7 +157,7 @@ case(
 )
 case(
     "l_service_account_tables",
-    lambda t: a.l_service_account_tables(t[LIN], principal_names(t["l_principals"]), LI, DOMAIN, EMPLOYEES),
+    lambda t: a.l_service_account_tables(t[LIN], principal_names(t["l_principals"]), DOMAIN, EMPLOYEES, LI),
     f"SELECT {DISPLAY.format('x.created_by')} AS actor, table_name, access_count FROM ("
     "SELECT created_by, coalesce(source_table_full_name, target_table_full_name) AS table_name, count(*) AS access_count "
     f"FROM {LIN} WHERE {L_RECENT} AND created_by NOT LIKE '%@%' AND {_visible('source')} AND {_visible('target')} "

@@ -76,13 +76,14 @@ case("w_platform_summary", _w_summary, W_SUMMARY, *W_VIEWS, ctes=W_CTES)
 
 
 def _l_summary(t):
-    daily = cost.l_daily_cost(priced(t))
+    costs = cost.l_cost_rollup(priced(t), "usage_date", "sku_name")
+    daily = cost.l_daily_cost(costs)
     return summary.l_platform_summary(
         activity.l_compute_rollup(t[LH], EV),
         activity.l_overview(t[LH], EV),
-        users.l_daily_active_users(t["l_audit"], EV),
+        users.l_daily_active_users(users.l_audit_rollup(t["l_audit"], EV)),
         daily,
-        cost.l_cost_by_sku(priced(t)),
+        cost.l_cost_by_sku(costs),
         inventory.l_object_inventory(t["l_tables"]),
         inventory.l_catalog_schema_counts(t["l_catalogs"], t["l_schemata"]),
         storage.l_storage(sizes(t)),

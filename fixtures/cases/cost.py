@@ -193,6 +193,14 @@ case(
     "l_principals",
     ctes=PR | {"principals": PRINCIPALS, "uc": L_USER},
 )
+case(
+    "l_top_users_by_cost",
+    lambda t: c.l_top_users_by_cost(c.l_user_cost(priced(t), principal_names(t["l_principals"]), DOMAIN, EMPLOYEES)),
+    "SELECT actor, usd FROM uc ORDER BY usd DESC, actor LIMIT 10",
+    *PV,
+    "l_principals",
+    ctes=PR | {"principals": PRINCIPALS, "uc": L_USER},
+)
 L_MONTHLY = "SELECT strftime(usage_date, '%Y-%m') AS month, sku_name AS sku, round(sum(usd), 6) AS usd FROM priced GROUP BY 1, 2"
 case("l_monthly_cost_by_sku", lambda t: c.l_monthly_cost_by_sku(priced(t)), L_MONTHLY, *PV, ctes=PR)
 case(

@@ -321,6 +321,12 @@ BY_CLIENT = (
 case("login_channel", channels, "SELECT client_ip, channel, login_count FROM ch", *LOGIN_VIEWS, ctes=LOGIN_CTES)
 case("w_logins_by_channel", lambda t: logins.w_logins_by_channel(channels(t)), BY_CHANNEL, *LOGIN_VIEWS, ctes=LOGIN_CTES)
 case("w_logins_by_client_type", lambda t: logins.w_logins_by_client_type(t[LOGINS], EV), BY_CLIENT, LOGINS)
+case(
+    "w_login_total",
+    lambda t: logins.w_login_total(t[LOGINS], EV),
+    f"SELECT count(*) AS total_logins FROM {LOGINS} WHERE {E_RECENT}",
+    LOGINS,
+)
 case(
     "login_shares",
     lambda t: logins.login_shares(
@@ -364,6 +370,12 @@ case(
     "SELECT entity_type, count(*) AS count FROM l_served_entities WHERE endpoint_delete_time IS NULL GROUP BY 1",
     "l_served_entities",
 )
+case(
+    "l_serving_endpoint_total",
+    lambda t: ai_usage.l_serving_endpoint_total(ai_usage.l_serving_endpoints(t["l_served_entities"])),
+    "SELECT count(*) AS active_serving_endpoints FROM l_served_entities WHERE endpoint_delete_time IS NULL",
+    "l_served_entities",
+)
 case(
     "l_serving_usage",
     lambda t: ai_usage.l_serving_usage(t["l_endpoint_usage"], EV),

@@ -64,10 +64,10 @@ DAILY_ACTIVE = (
     f"SELECT {day('event_time')} AS day, {ACTOR.format('email')} AS actor_type, count(DISTINCT email) AS distinct_users, "
     f"count(*) AS action_count FROM l_audit WHERE {AUDIT} GROUP BY 1, 2"
 )
-case("l_daily_active_users", lambda t: u.l_daily_active_users(t["l_audit"], EV), DAILY_ACTIVE, "l_audit")
+case("l_daily_active_users", lambda t: u.l_daily_active_users(u.l_audit_rollup(t["l_audit"], EV)), DAILY_ACTIVE, "l_audit")
 case(
     "l_top_actors",
-    lambda t: u.l_top_actors(t["l_audit"], principal_names(t["l_principals"]), EV, DOMAIN, EMPLOYEES),
+    lambda t: u.l_top_actors(u.l_audit_rollup(t["l_audit"], EV), principal_names(t["l_principals"]), DOMAIN, EMPLOYEES),
     f"SELECT {DISPLAY.format('a.actor')} AS actor, CAST(sum(n) AS BIGINT) AS action_count FROM ("
     f"SELECT coalesce(email, '(unknown)') AS actor, count(*) AS n FROM l_audit WHERE {AUDIT} GROUP BY 1) a "
     "LEFT JOIN principals p ON a.actor = p.id GROUP BY 1 ORDER BY action_count DESC, 1 LIMIT 20",

@@ -80,9 +80,13 @@ def w_user_action_counts(events: DataFrame) -> DataFrame:
 
 
 def w_user_table_counts(events: DataFrame, user_types: DataFrame, domain: str, limit: int = 50) -> DataFrame:
-    """Tables that service accounts use most; reading and writing one table in a query counts once."""
-    counts = distinct_queries(service_account_filter(events, user_types, domain), "user_name", "object_name")
-    return top_k(counts, limit, "distinct_queries", "user_name", "object_name")
+    """Tables that service accounts use most; reading and writing one table in a query counts once.
+
+    Counted for everyone and then restricted: the semi join meets (user, table) rows, never the
+    events of a hot user.
+    """
+    counts = distinct_queries(events, "user_name", "object_name")
+    return top_k(service_account_filter(counts, user_types, domain), limit, "distinct_queries", "user_name", "object_name")
 
 
 def live_tables(table_storage: DataFrame) -> DataFrame:
@@ -154,58 +158,85 @@ def _action_sum(action: str, name: str) -> Column:
 
 
 # ---- lakehouse: lineage events -----------------------------------------------
+#
+# These count events.  They take the raw log with its window, or a rollup of it (no window) that
+# carries the number of events in ``event_count``.
 
 SIDES = {READ: "source", WRITE: "target"}
+EVENT_COUNT = "event_count"
+_LINEAGE_KEYS = (
+    "created_by",
+    "source_table_full_name",
+    "source_table_schema",
+    "target_table_full_name",
+    "target_table_schema",
+)
+
+
+def l_lineage_rollup(lineage: DataFrame, window: Lookback) -> DataFrame:
+    """Events per (identity, source, target): jobs touch the same tables day after day."""
+    return lineage.filter(window.date("event_date")).groupBy(*_LINEAGE_KEYS).agg(F.count(F.lit(1)).alias(EVENT_COUNT))
+
+
+def _events(lineage: DataFrame, window: Lookback | None) -> DataFrame:
+    rows = lineage if window is None else lineage.filter(window.date("event_date"))
+    weight = F.col(EVENT_COUNT) if EVENT_COUNT in rows.columns else F.lit(1)
+    return rows.select(*_LINEAGE_KEYS, weight.cast("long").alias(EVENT_COUNT))
+
+
+def _total() -> Column:
+    return F.sum(EVENT_COUNT).alias("access_count")
 
 
-def _side(lineage: DataFrame, window: Lookback, direction: str) -> DataFrame:
+def _side(lineage: DataFrame, window: Lookback | None, direction: str) -> DataFrame:
     """Events that read (or wrote) a named table outside the platform's internal schemas."""
     side = SIDES[direction]
     table = F.col(f"{side}_table_full_name")
-    return lineage.filter(
-        window.date("event_date") & table.isNotNull() & not_internal_schema(f"{side}_table_schema")
-    ).select(F.col("created_by").alias("actor"), table.alias("table_name"))
+    return (
+        _events(lineage, window)
+        .filter(table.isNotNull() & not_internal_schema(f"{side}_table_schema"))
+        .select(F.col("created_by").alias("actor"), table.alias("table_name"), EVENT_COUNT)
+    )
 
 
-def _top_tables(lineage: DataFrame, window: Lookback, direction: str, limit: int) -> DataFrame:
-    counts = _side(lineage, window, direction).groupBy("table_name").agg(F.count(F.lit(1)).alias("access_count"))
+def _top_tables(lineage: DataFrame, window: Lookback | None, direction: str, limit: int) -> DataFrame:
+    counts = _side(lineage, window, direction).groupBy("table_name").agg(_total())
     return top_k(counts, limit, "access_count", "table_name").select(
         F.lit(direction).alias("direction"), "table_name", "access_count"
     )
 
 
-def l_top_read_tables(lineage: DataFrame, window: Lookback, limit: int = 20) -> DataFrame:
+def l_top_read_tables(lineage: DataFrame, window: Lookback | None = None, limit: int = 20) -> DataFrame:
     return _top_tables(lineage, window, READ, limit)
 
 
-def l_top_write_tables(lineage: DataFrame, window: Lookback, limit: int = 20) -> DataFrame:
+def l_top_write_tables(lineage: DataFrame, window: Lookback | None = None, limit: int = 20) -> DataFrame:
     return _top_tables(lineage, window, WRITE, limit)
 
 
-def l_user_table_counts(lineage: DataFrame, window: Lookback, direction: str) -> DataFrame:
+def _user_tables(lineage: DataFrame, window: Lookback | None, direction: str, limit: int) -> DataFrame:
     rows = _side(lineage, window, direction).filter(F.col("actor").isNotNull())
-    return (
-        rows.groupBy("actor", "table_name")
-        .agg(F.count(F.lit(1)).alias("access_count"))
-        .select("actor", "table_name", F.lit(direction).alias("direction"), "access_count")
+    counts = rows.groupBy("actor", "table_name").agg(_total())
+    return top_k(counts, limit, "access_count", "actor", "table_name").select(
+        "actor", "table_name", F.lit(direction).alias("direction"), "access_count"
     )
 
 
-def l_user_table_reads(lineage: DataFrame, window: Lookback, limit: int = 150) -> DataFrame:
-    return top_k(l_user_table_counts(lineage, window, READ), limit, "access_count", "actor", "table_name")
+def l_user_table_reads(lineage: DataFrame, window: Lookback | None = None, limit: int = 150) -> DataFrame:
+    return _user_tables(lineage, window, READ, limit)
 
 
-def l_user_table_writes(lineage: DataFrame, window: Lookback, limit: int = 150) -> DataFrame:
-    return top_k(l_user_table_counts(lineage, window, WRITE), limit, "access_count", "actor", "table_name")
+def l_user_table_writes(lineage: DataFrame, window: Lookback | None = None, limit: int = 150) -> DataFrame:
+    return _user_tables(lineage, window, WRITE, limit)
 
 
 def l_table_access_detail(
     lineage: DataFrame,
     principals: DataFrame,
     table_sizes: DataFrame,
-    window: Lookback,
     domain: str,
     label: str,
+    window: Lookback | None = None,
     limit: int = 150,
 ) -> DataFrame:
     """Reads and writes per displayed identity and table, merged uncapped and then ranked.
@@ -218,15 +249,16 @@ def l_table_access_detail(
         ok = F.col(f"{side}_table_full_name").isNotNull() & not_internal_schema(f"{side}_table_schema")
         return F.when(ok, F.struct(F.col(f"{side}_table_full_name").alias("table"), F.lit(direction).alias("direction")))
 
+    def events_in(direction: str) -> Column:
+        return F.sum(F.when(F.col("p.direction") == direction, F.col(EVENT_COUNT)).otherwise(F.lit(0)))
+
     pairs = F.filter(F.array(touched(READ), touched(WRITE)), lambda p: p.isNotNull())
     per_identity = (
-        lineage.filter(window.date("event_date") & F.col("created_by").isNotNull())
-        .select("created_by", F.explode(pairs).alias("p"))
+        _events(lineage, window)
+        .filter(F.col("created_by").isNotNull())
+        .select("created_by", EVENT_COUNT, F.explode(pairs).alias("p"))
         .groupBy("created_by", F.col("p.table").alias("table_name"))
-        .agg(
-            F.count_if(F.col("p.direction") == READ).alias("reads"),
-            F.count_if(F.col("p.direction") == WRITE).alias("writes"),
-        )
+        .agg(events_in(READ).alias("reads"), events_in(WRITE).alias("writes"))
     )
     named = attach(per_identity, "created_by", principals, "id", "name", "_name")
     counts = named.groupBy(display_name("created_by", "_name", domain, label).alias("actor"), "table_name").agg(
@@ -237,20 +269,24 @@ def l_table_access_detail(
 
 
 def l_service_account_tables(
-    lineage: DataFrame, principals: DataFrame, window: Lookback, domain: str, label: str, limit: int = 30
+    lineage: DataFrame,
+    principals: DataFrame,
+    domain: str,
+    label: str,
+    window: Lookback | None = None,
+    limit: int = 30,
 ) -> DataFrame:
     """Tables that non-person identities touch most; the source counts where an event has both."""
-    rows = lineage.filter(
-        window.date("event_date")
-        & ~F.col("created_by").contains("@")
+    rows = _events(lineage, window).filter(
+        ~F.col("created_by").contains("@")
         & not_internal_schema("source_table_schema")
         & not_internal_schema("target_table_schema")
     )
     counts = rows.groupBy(
         F.col("created_by").alias("identity"),
         F.coalesce("source_table_full_name", "target_table_full_name").alias("table_name"),
-    ).agg(F.count(F.lit(1)).alias("access_count"))
+    ).agg(_total())
     top = top_k(counts, limit, "access_count", "identity", "table_name")
-    return attach_to_top(top, "identity", principals, "id", "name", "_name").select(
+    return attach(top, "identity", principals, "id", "name", "_name").select(
         display_name("identity", "_name", domain, label).alias("actor"), "table_name", "access_count"
     )

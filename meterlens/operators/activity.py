@@ -21,7 +21,6 @@ from meterlens.functions import (
     sum_double,
     sum_long,
 )
-from meterlens.functions._cols import col
 from meterlens.operators.lookup import with_compute_names
 from meterlens.operators.ranking import top_k, top_n_trend
 
@@ -43,36 +42,51 @@ def _day_text(df: DataFrame) -> DataFrame:
 
 
 # ---- volume ------------------------------------------------------------------
+#
+# ``by_user`` rollups hold (day, user, query_count).  Every daily figure follows from one, so a
+# report computes it once; counting its rows counts distinct users without a second distinct.
 
 
-def _daily_stats(log: DataFrame, window: Lookback, user: str) -> DataFrame:
-    """Two-step distinct count: (day, user) partial counts first, so a busy day is spread over tasks."""
-    per_user = _with_day(log.filter(window.ts("start_time")), "start_time").groupBy("day", user).agg(_rows().alias("n"))
-    daily = per_user.groupBy("day").agg(F.sum("n").alias("query_count"), F.count(user).alias("active_users"))
-    return _day_text(daily)
+def _by_user(log: DataFrame, window: Lookback, user: str) -> DataFrame:
+    rows = _with_day(log.filter(window.ts("start_time")), "start_time")
+    return _day_text(rows.groupBy("day", user).agg(_rows().alias("query_count")))
 
 
-def w_daily_query_stats(log: DataFrame, window: Lookback) -> DataFrame:
-    return _daily_stats(log, window, "user_name")
+def w_daily_query_by_user(log: DataFrame, window: Lookback) -> DataFrame:
+    return _by_user(log, window, "user_name")
 
 
-def l_daily_query_volume(log: DataFrame, window: Lookback) -> DataFrame:
-    return _daily_stats(log, window, "executed_by")
+def l_daily_query_by_user(log: DataFrame, window: Lookback) -> DataFrame:
+    return _by_user(log, window, "executed_by")
 
 
-def w_daily_query_by_user(log: DataFrame, window: Lookback) -> DataFrame:
-    rows = _with_day(log.filter(window.ts("start_time")), "start_time")
-    return _day_text(rows.groupBy("day", "user_name").agg(_rows().alias("query_count")))
+def daily_stats(by_user: DataFrame, user: str) -> DataFrame:
+    return by_user.groupBy("day").agg(sum_long("query_count").alias("query_count"), F.count(user).alias("active_users"))
+
+
+def query_totals(by_user: DataFrame, user: str) -> DataFrame:
+    per_user = by_user.groupBy(user).agg(F.sum("query_count").alias("n"))
+    return per_user.agg(sum_long("n").alias("total_queries"), F.count(user).alias("active_users"))
+
+
+def volume_by_actor_type(by_user: DataFrame, user: str = "executed_by") -> DataFrame:
+    return by_user.groupBy("day", actor_type(user).alias("actor_type")).agg(sum_long("query_count").alias("query_count"))
+
+
+def w_daily_query_stats(log: DataFrame, window: Lookback) -> DataFrame:
+    return daily_stats(w_daily_query_by_user(log, window), "user_name")
+
+
+def l_daily_query_volume(log: DataFrame, window: Lookback) -> DataFrame:
+    return daily_stats(l_daily_query_by_user(log, window), "executed_by")
 
 
 def l_daily_volume_by_type(log: DataFrame, window: Lookback) -> DataFrame:
-    rows = _with_day(log.filter(window.ts("start_time")), "start_time")
-    return _day_text(rows.groupBy("day", actor_type("executed_by").alias("actor_type")).agg(_rows().alias("query_count")))
+    return volume_by_actor_type(l_daily_query_by_user(log, window))
 
 
 def l_overview(log: DataFrame, window: Lookback) -> DataFrame:
-    per_user = log.filter(window.ts("start_time")).groupBy("executed_by").agg(_rows().alias("n"))
-    return per_user.agg(sum_long("n").alias("total_queries"), F.count("executed_by").alias("active_users"))
+    return query_totals(log.filter(window.ts("start_time")).select("executed_by", F.lit(1).alias("query_count")), "executed_by")
 
 
 def w_database_activity(log: DataFrame, window: Lookback) -> DataFrame:
@@ -118,28 +132,47 @@ def l_daily_duration(log: DataFrame, window: Lookback, accuracy: int = QUARTILE_
 # ---- compute -----------------------------------------------------------------
 
 
-def w_warehouse_rollup(log: DataFrame, window: Lookback) -> DataFrame:
-    """One pass over the log for the resource and the execution measures of every warehouse.
+def _query_measures() -> list[Column]:
+    """Additive measures of the query log.
 
     Failed means any status but ``SUCCESS``; a NULL status is not failed.
     """
     spilled = F.col("bytes_spilled_to_local_storage") + F.col("bytes_spilled_to_remote_storage")
     queued = F.col("queued_provisioning_time") + F.col("queued_overload_time")
     failed = F.col("execution_status") != "SUCCESS"
-    return (
-        log.filter(window.ts("start_time"))
-        .groupBy("warehouse_name")
-        .agg(
-            _rows().alias("query_count"),
-            count_where(spilled > 0).alias("queries_with_spill"),
-            sum_long(spilled).alias("total_spilled_bytes"),
-            count_where(queued > 0).alias("queries_with_queueing"),
-            sum_long(queued).alias("total_queued_ms"),
-            sum_long("execution_time").alias("total_exec_ms"),
-            count_where(failed).alias("failed_count"),
-            sum_long(F.when(failed, F.col("execution_time"))).alias("failed_exec_ms"),
-        )
-    )
+    return [
+        _rows().alias("query_count"),
+        count_where(spilled > 0).alias("queries_with_spill"),
+        sum_long(spilled).alias("total_spilled_bytes"),
+        count_where(queued > 0).alias("queries_with_queueing"),
+        sum_long(queued).alias("total_queued_ms"),
+        sum_long("execution_time").alias("total_exec_ms"),
+        count_where(failed).alias("failed_count"),
+        sum_long(F.when(failed, F.col("execution_time"))).alias("failed_exec_ms"),
+    ]
+
+
+CUBE_KEYS = ("day", "user_name", "warehouse_name", "database_name")
+
+
+def w_query_cube(log: DataFrame, window: Lookback) -> DataFrame:
+    """The log folded to (day, user, warehouse, database): the one pass that a report needs.
+
+    All measures add up, so volume, users, databases, warehouses and service accounts are folds
+    of it; a hot user or warehouse is already reduced on the map side.
+    """
+    rows = _with_day(log.filter(window.ts("start_time")), "start_time")
+    return _day_text(rows.groupBy(*CUBE_KEYS).agg(*_query_measures()))
+
+
+def fold_cube(cube: DataFrame, *keys: str) -> DataFrame:
+    measures = [c for c in cube.columns if c not in CUBE_KEYS]
+    return cube.groupBy(*keys).agg(*[sum_long(m).alias(m) for m in measures])
+
+
+def w_warehouse_rollup(log: DataFrame, window: Lookback) -> DataFrame:
+    """One pass over the log for the resource and the execution measures of every warehouse."""
+    return log.filter(window.ts("start_time")).groupBy("warehouse_name").agg(*_query_measures())
 
 
 def w_resource_signals(rollup: DataFrame, limit: int = 15) -> DataFrame:

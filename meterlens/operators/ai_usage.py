@@ -29,6 +29,10 @@ def l_serving_endpoints(served_entities: DataFrame) -> DataFrame:
     return served_entities.filter(not_deleted("endpoint_delete_time")).groupBy("entity_type").agg(_rows().alias("count"))
 
 
+def l_serving_endpoint_total(endpoint_types: DataFrame) -> DataFrame:
+    return endpoint_types.agg(sum_long("count").alias("active_serving_endpoints"))
+
+
 def l_serving_usage(endpoint_usage: DataFrame, window: Lookback) -> DataFrame:
     tokens = F.coalesce("input_token_count", F.lit(0)) + F.coalesce("output_token_count", F.lit(0))
     return endpoint_usage.filter(window.ts("request_time")).agg(

@@ -17,7 +17,7 @@ from meterlens.functions import (
     sum_double,
     sum_long,
 )
-from meterlens.operators.lookup import attach_to_top
+from meterlens.operators.lookup import attach
 from meterlens.operators.ranking import top_k
 from meterlens.sources.payloads import job_tasks_from_json
 from meterlens.sources.tables import scan_streams_inventory
@@ -130,7 +130,7 @@ def l_top_jobs(job_rollup: DataFrame, limit: int = 20) -> DataFrame:
 
 def l_job_runs(job_rollup: DataFrame, jobs: DataFrame, limit: int = 20) -> DataFrame:
     """``jobs`` is (job_id, name) of current jobs; a job without a name shows its id."""
-    named = attach_to_top(l_top_jobs(job_rollup, limit), "job_id", jobs, "job_id", "name", "_name")
+    named = attach(l_top_jobs(job_rollup, limit), "job_id", jobs, "job_id", "name", "_name")
     return named.select(
         "job_id",
         F.coalesce("_name", "job_id").alias("job_name"),

@@ -152,20 +152,32 @@ def w_cost_basis(
 # ---- lakehouse: priced usage -------------------------------------------------
 
 
+# Slices that a hot SKU is cut into should the pricing join have to shuffle.
+SKU_SLICES = 8
+
+
 def priced_usage(
-    usage: DataFrame, list_prices: DataFrame, window: Lookback, extra_keys: Sequence[str] = ()
+    usage: DataFrame,
+    list_prices: DataFrame,
+    window: Lookback,
+    extra_keys: Sequence[str] = (),
+    slices: int = SKU_SLICES,
 ) -> DataFrame:
     """Usage at the list price in force when it started; usage without a price drops out.
 
-    An equi join on the SKU with the validity interval as residual condition.  The price list is
-    broadcast when its size allows; a larger one meets the usage in a shuffle join, whose hot SKUs
-    AQE splits.  ``extra_keys`` (cloud, currency ...) must exist on both sides.
+    An equi join on the SKU with the validity interval as residual condition.  Price lists are
+    small, so Spark broadcasts them when their size is under its threshold.  Beyond it both sides
+    shuffle: the key then includes a slice of the usage, each slice meeting a copy of the price
+    list, so that no task gets all rows of a hot SKU.  ``extra_keys`` (cloud, currency ...) must
+    exist on both sides.
     """
-    u = usage.filter(window.date("usage_date")).alias("u")
-    p = list_prices.alias("p")
+    sliced = F.pmod(F.xxhash64("usage_start_time", "usage_quantity", "identity_metadata.run_as"), F.lit(slices))
+    u = usage.filter(window.date("usage_date")).withColumn("_slice", sliced.cast("int")).alias("u")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    p = list_prices.withColumn("_slice", copies).alias("p")
     start, end, at = F.col("p.price_start_time"), F.col("p.price_end_time"), F.col("u.usage_start_time")
-    condition = (F.col("u.sku_name") == F.col("p.sku_name")) & (at >= start) & (end.isNull() | (at < end))
-    for key in extra_keys:
+    condition = (at >= start) & (end.isNull() | (at < end))
+    for key in ("sku_name", "_slice", *extra_keys):
         condition = condition & (F.col(f"u.{key}") == F.col(f"p.{key}"))
     return u.join(p, condition).select(
         "u.usage_date",
@@ -177,9 +189,12 @@ def priced_usage(
     )
 
 
-def l_cost_rollup(priced: DataFrame) -> DataFrame:
-    """Daily grain that all five cost tables fold further; stage it once when several are needed."""
-    return priced.groupBy("usage_date", "sku_name", "product", "run_as").agg(
+COST_KEYS = ("usage_date", "sku_name", "product", "run_as")
+
+
+def l_cost_rollup(priced: DataFrame, *keys: str) -> DataFrame:
+    """Daily grain that all five cost tables fold further, so that usage is priced once."""
+    return priced.groupBy(*(keys or COST_KEYS)).agg(
         F.sum("usd").alias("usd"), F.sum("dbu_quantity").alias("dbu_quantity")
     )
 

@@ -101,3 +101,7 @@ def login_shares(by_channel: DataFrame, by_client_type: DataFrame, channel: str,
         share(by_channel, "channel", channel, "channel_percent"),
         share(by_client_type, "client_type", client_type, "client_type_percent"),
     )
+
+
+def w_login_total(logins: DataFrame, window: Lookback) -> DataFrame:
+    return logins.filter(window.ts("event_timestamp")).agg(F.count(F.lit(1)).alias("total_logins"))

@@ -26,7 +26,11 @@ def attach(rows: DataFrame, key: str, dimension: DataFrame, dim_key: str, dim_va
 
 
 def attach_to_top(rows: DataFrame, key: str, dimension: DataFrame, dim_key: str, dim_value: str, alias: str) -> DataFrame:
-    """Like :func:`attach` for rows bounded by a top-k: the dimension is first cut down to their keys."""
+    """Like :func:`attach` for rows bounded by a top-k: the dimension is first cut down to their keys.
+
+    Worth it where the dimension is itself folded from a large table.  The rows are read twice,
+    which shares their shuffle only if the ranking needs every column of them.
+    """
     wanted = F.broadcast(rows.select(F.col(key).alias(dim_key)).distinct())
     return attach(rows, key, dimension.join(wanted, dim_key, "left_semi"), dim_key, dim_value, alias)
 

@@ -112,9 +112,12 @@ def monthly_bill_pivot(
     """
     adjustment = is_adjustment(item) if adjustments_apart else F.lit(False)
     lines = bill.select(F.col(item).alias("line_item"), adjustment.alias("is_adjustment"), month, value)
-    totals = lines.filter(~F.col("is_adjustment")).groupBy("line_item").agg(F.sum(value).alias("_total"))
-    kept = kept_keys(totals, "line_item", "_total", top_n, keep_one_over=False)
-    marks = kept.select(F.col("line_item").alias("_kept_key"), F.lit(True).alias("_kept"))
+    # adjustments rank last instead of being filtered out: a filter would be pushed below the bill's
+    # own aggregate and the bill computed twice instead of its shuffle being shared
+    totals = lines.groupBy("line_item", "is_adjustment").agg(F.sum(value).alias("_total"))
+    ranking = [F.col("is_adjustment").asc(), *rank_order("_total", "line_item")]
+    head = totals.orderBy(*ranking).limit(top_n).filter(~F.col("is_adjustment"))
+    marks = head.select(F.col("line_item").alias("_kept_key"), F.lit(True).alias("_kept"))
     named = F.col("is_adjustment") | F.coalesce(F.col("_kept"), F.lit(False))
     labelled = lines.join(F.broadcast(marks), F.col("line_item").eqNullSafe(F.col("_kept_key")), "left").select(
         F.when(named, F.col("line_item")).otherwise(OTHER).alias("line_item"), "is_adjustment", named.alias("_named"), month, value

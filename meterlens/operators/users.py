@@ -16,6 +16,7 @@ from meterlens.functions import (
     is_service_account,
     not_deleted,
     safe_ratio,
+    sum_long,
 )
 from meterlens.operators.lookup import attach, semi_filter
 from meterlens.operators.ranking import top_k
@@ -40,12 +41,16 @@ def w_daily_active_by_type(daily_by_user: DataFrame, user_types: DataFrame, doma
 
 def w_top_users(log: DataFrame, window: Lookback, domain: str, label: str, limit: int = 20) -> DataFrame:
     """Queries per user with employees in one bucket; bucketed before grouping, so nothing is over-fetched."""
-    counts = (
-        log.filter(window.ts("start_time"))
-        .groupBy(bucket_people("user_name", domain, label).alias("user_name"))
-        .agg(F.count(F.lit(1)).alias("query_count"))
+    queries = log.filter(window.ts("start_time")).select("user_name", F.lit(1).alias("query_count"))
+    return top_users_of(queries, domain, label, limit)
+
+
+def top_users_of(counts: DataFrame, domain: str, label: str, limit: int = 20) -> DataFrame:
+    """The same from any rollup with ``user_name`` and ``query_count``."""
+    bucketed = counts.groupBy(bucket_people("user_name", domain, label).alias("user_name")).agg(
+        sum_long("query_count").alias("query_count")
     )
-    return top_k(counts, limit, "query_count", "user_name")
+    return top_k(bucketed, limit, "query_count", "user_name")
 
 
 def w_active_user_count(users: DataFrame) -> DataFrame:
@@ -72,8 +77,20 @@ def w_service_account_stats(log: DataFrame, user_types: DataFrame, window: Lookb
         .groupBy("user_name", "warehouse_name")
         .agg(F.count(F.lit(1)).alias("n"), F.min("start_time").alias("first"), F.max("start_time").alias("last"))
     )
+    return _service_stats(per_warehouse, user_types, domain)
+
+
+def service_account_stats_of(cube: DataFrame, user_types: DataFrame, domain: str) -> DataFrame:
+    """The same from the query cube."""
+    per_warehouse = cube.groupBy("user_name", "warehouse_name").agg(
+        F.sum("query_count").alias("n"), F.min(F.to_date("day")).alias("first"), F.max(F.to_date("day")).alias("last")
+    )
+    return _service_stats(per_warehouse, user_types, domain)
+
+
+def _service_stats(per_warehouse: DataFrame, user_types: DataFrame, domain: str) -> DataFrame:
     stats = service_account_filter(per_warehouse, user_types, domain).groupBy("user_name").agg(
-        F.sum("n").alias("query_count"),
+        sum_long("n").alias("query_count"),
         F.count("warehouse_name").alias("warehouse_count"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
@@ -126,28 +143,28 @@ def l_service_account_stats(
 # ---- audit -------------------------------------------------------------------
 
 
-def l_daily_active_users(audit: DataFrame, window: Lookback) -> DataFrame:
-    """The type follows from the e-mail, so the per-e-mail rollup gives distinct users per (day, type)."""
-    per_user = (
+def l_audit_rollup(audit: DataFrame, window: Lookback) -> DataFrame:
+    """Actions per (day, e-mail); daily users and top actors are folds of it."""
+    return (
         audit.filter(window.date("event_date"))
         .groupBy(F.to_date("event_time").alias("day"), F.col("user_identity.email").alias("email"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    daily = per_user.groupBy("day", actor_type("email").alias("actor_type")).agg(
-        F.count("email").alias("distinct_users"), F.sum("n").alias("action_count")
+
+
+def l_daily_active_users(audit_rollup: DataFrame) -> DataFrame:
+    """The type follows from the e-mail, so rows of the rollup are distinct users per (day, type)."""
+    daily = audit_rollup.groupBy("day", actor_type("email").alias("actor_type")).agg(
+        F.count("email").alias("distinct_users"), sum_long("n").alias("action_count")
     )
     return daily.withColumn("day", day_of("day"))
 
 
 def l_top_actors(
-    audit: DataFrame, principals: DataFrame, window: Lookback, domain: str, label: str, limit: int = 20
+    audit_rollup: DataFrame, principals: DataFrame, domain: str, label: str, limit: int = 20
 ) -> DataFrame:
-    """Actions per displayed identity: counted per raw identity, then named, then folded."""
-    per_identity = (
-        audit.filter(window.date("event_date"))
-        .groupBy(default_label("user_identity.email", "(unknown)").alias("identity"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Actions per displayed identity: summed per raw identity, then named, then folded."""
+    per_identity = audit_rollup.groupBy(default_label("email", "(unknown)").alias("identity")).agg(F.sum("n").alias("n"))
     named = attach(per_identity, "identity", principals, "id", "name", "_name")
     counts = named.groupBy(display_name("identity", "_name", domain, label).alias("actor")).agg(
         F.sum("n").alias("action_count")

@@ -49,8 +49,9 @@ def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no
     billable = inputs.get("l_billable")
     real = None if billable is None else cost.l_real_billed_total(billable, daily_cost)
 
-    audit, audit_window = inputs["l_audit"], w("l_audit")
-    lineage, lineage_window = inputs["l_lineage"], w("l_lineage")
+    by_user = stage("query_by_user", activity.l_daily_query_by_user(log, log_window))
+    audit = stage("audit_rollup", users.l_audit_rollup(inputs["l_audit"], w("l_audit")))
+    lineage = stage("lineage_rollup", access.l_lineage_rollup(inputs["l_lineage"], w("l_lineage")))
     job_rollup = stage("job_rollup", automation.l_job_rollup(inputs["l_job_runs"], w("l_job_runs")))
     manifest = inputs.get("l_file_manifest")
     sizes = None if manifest is None else stage("table_sizes", table_sizes_from_files(manifest, inputs["l_tables"]))
@@ -64,9 +65,9 @@ def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no
     if inputs.get("l_runs") is not None and inputs.get("l_experiments") is not None:
         mlflow = ai_usage.l_mlflow_summary(inputs["l_experiments"], inputs["l_runs"], w("l_runs"))
     report: Report = {
-        "query_totals": activity.l_overview(log, log_window),
-        "daily_query_volume": activity.l_daily_query_volume(log, log_window),
-        "daily_volume_by_type": activity.l_daily_volume_by_type(log, log_window),
+        "query_totals": activity.query_totals(by_user, "executed_by"),
+        "daily_query_volume": activity.daily_stats(by_user, "executed_by"),
+        "daily_volume_by_type": activity.volume_by_actor_type(by_user),
         "daily_duration": activity.l_daily_duration(log, log_window),
         "compute_exec_stats": exec_stats,
         "compute_signals": activity.l_compute_signals(compute, endpoints, clusters),
@@ -81,16 +82,18 @@ def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no
         "monthly_bill_grid": monthly_bill_pivot(monthly, w("l_usage").months(), "sku", adjustments_apart=False),
         "real_billed_total": real,
         "discount": None if real is None else cost.l_discount(real, daily_cost),
-        "daily_active_users": users.l_daily_active_users(audit, audit_window),
-        "top_actors": users.l_top_actors(audit, principals, audit_window, domain, label),
-        "actions_by_service": users.l_actions_by_service(audit, audit_window),
-        "top_read_tables": access.l_top_read_tables(lineage, lineage_window),
-        "top_write_tables": access.l_top_write_tables(lineage, lineage_window),
+        "daily_active_users": users.l_daily_active_users(audit),
+        "top_actors": users.l_top_actors(audit, principals, domain, label),
+        "actions_by_service": users.l_actions_by_service(inputs["l_audit"], w("l_audit")),
+        "top_read_tables": access.l_top_read_tables(lineage),
+        "top_write_tables": access.l_top_write_tables(lineage),
+        "user_table_reads": access.l_user_table_reads(lineage),
+        "user_table_writes": access.l_user_table_writes(lineage),
         "service_accounts": users.l_service_account_stats(log, principals, log_window, domain, label),
-        "service_account_tables": access.l_service_account_tables(lineage, principals, lineage_window, domain, label),
+        "service_account_tables": access.l_service_account_tables(lineage, principals, domain, label),
         "table_access_detail": None
         if sizes is None
-        else access.l_table_access_detail(lineage, principals, sizes, lineage_window, domain, label),
+        else access.l_table_access_detail(lineage, principals, sizes, domain, label),
         "object_inventory": inventory.l_object_inventory(inputs["l_tables"]),
         "catalog_schema_counts": inventory.l_catalog_schema_counts(inputs["l_catalogs"], inputs["l_schemata"]),
         "job_runs": automation.l_job_runs(job_rollup, jobs),

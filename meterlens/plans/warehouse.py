@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.functions import sum_long
+from meterlens.functions import Lookback, sum_long
 from meterlens.operators import access, activity, automation, cost, inventory, logins, storage, users
-from meterlens.operators.ranking import cumulative_cost, data_span, merge_one_row, monthly_bill_pivot
+from meterlens.operators.ranking import cumulative_cost, data_span, merge_one_row, monthly_bill_pivot, top_k
 from meterlens.plans.settings import Inputs, ReportSettings, Stage, no_stage
 from meterlens.plans.summary import w_platform_summary
 from meterlens.sources.tables import user_types
@@ -40,17 +40,18 @@ def overview(
 def _activity(inputs: Inputs, settings: ReportSettings, stage: Stage) -> Report:
     log, window = inputs["w_query_history"], settings.window_of("w_query_history")
     metering, metering_window = inputs["w_metering"], settings.window_of("w_metering")
-    by_user = stage("daily_query_by_user", activity.w_daily_query_by_user(log, window))
-    by_warehouse = stage("warehouse_rollup", activity.w_warehouse_rollup(log, window))
-    by_database = stage("database_activity", activity.w_database_activity(log, window))
+    cube = stage("query_cube", activity.w_query_cube(log, window))
+    by_user = cube.groupBy("day", "user_name").agg(sum_long("query_count").alias("query_count"))
+    by_warehouse = activity.fold_cube(cube, "warehouse_name")
+    with_database = cube.filter(F.col("database_name").isNotNull())
+    by_database = with_database.groupBy("day", "database_name").agg(sum_long("query_count").alias("query_count"))
     credits = stage("credits_by_warehouse", activity.w_credits_by_warehouse(metering, metering_window, limit=None))
     exec_stats = activity.w_exec_stats(by_warehouse)
-    # one row per (day, user), so the daily figures follow without another look at the log
-    daily = by_user.groupBy("day").agg(F.sum("query_count").alias("query_count"), F.count("user_name").alias("active_users"))
     return {
+        "query_cube": cube,
         "daily_query_by_user": by_user,
-        "daily_query_stats": daily,
-        "top_users": users.w_top_users(log, window, settings.domain, settings.employee_label),
+        "daily_query_stats": activity.daily_stats(by_user, "user_name"),
+        "top_users": users.top_users_of(by_user, settings.domain, settings.employee_label),
         "database_activity": by_database,
         "database_activity_trend": activity.w_database_activity_trend(by_database),
         "resource_signals": activity.w_resource_signals(by_warehouse),
@@ -61,7 +62,7 @@ def _activity(inputs: Inputs, settings: ReportSettings, stage: Stage) -> Report:
         "daily_duration": activity.w_daily_duration(log, window),
         "daily_credits": activity.w_daily_credits(metering, metering_window),
         "all_credits_by_warehouse": credits,
-        "credits_by_warehouse": credits.orderBy(F.desc("total_credits"), "warehouse_name").limit(15),
+        "credits_by_warehouse": top_k(credits, 15, "total_credits", "warehouse_name"),
         "total_credits": credits.agg(F.round(F.coalesce(F.sum("total_credits"), F.lit(0.0)), 6).alias("total_credits")),
         "active_user_count": users.w_active_user_count(inputs["w_users"]),
     }
@@ -72,9 +73,7 @@ def _types(inputs: Inputs, report: Report, settings: ReportSettings) -> Report:
     if inputs.get("w_user_types") is None:
         return {"daily_volume_by_type": None, "daily_active_by_type": None, "service_accounts": None}
     types, by_user = inputs["w_user_types"], report["daily_query_by_user"]
-    stats = users.w_service_account_stats(
-        inputs["w_query_history"], types, settings.window_of("w_query_history"), settings.domain
-    )
+    stats = users.service_account_stats_of(report["query_cube"], types, settings.domain)
     return {
         "daily_volume_by_type": users.w_daily_volume_by_type(by_user, types, settings.domain),
         "daily_active_by_type": users.w_daily_active_by_type(by_user, types, settings.domain),
@@ -159,11 +158,13 @@ def _optional(inputs: Inputs, settings: ReportSettings) -> Report:
         df = inputs.get(table)
         return None if df is None else build(df, settings.window_of(table))
 
-    by_ip_sources = inputs.get("w_login_history"), inputs.get("network_policies")
-    channels = None
-    if None not in by_ip_sources:
-        by_ip = logins.logins_by_ip(by_ip_sources[0], settings.window_of("w_login_history"))
-        channels = logins.w_logins_by_channel(logins.login_channel(by_ip, by_ip_sources[1]))
+    policies = inputs.get("network_policies")
+
+    def by_channel(log: DataFrame, window: Lookback) -> DataFrame | None:
+        if policies is None:
+            return None
+        return logins.w_logins_by_channel(logins.login_channel(logins.logins_by_ip(log, window), policies))
+
     tasks = given("w_task_history", automation.w_task_rollup)
     return {
         "task_rollup": tasks,
@@ -178,7 +179,7 @@ def _optional(inputs: Inputs, settings: ReportSettings) -> Report:
         "object_inventory": given("w_objects", lambda df, _: inventory.w_object_inventory(df)),
         "sessions_by_client": given("w_sessions", logins.w_sessions_by_client),
         "lifecycle_policies": given("w_lifecycle", lambda df, _: inventory.w_lifecycle_policies(df)),
-        "logins_by_channel": channels,
+        "logins_by_channel": given("w_login_history", by_channel),
         "logins_by_client_type": given("w_login_history", logins.w_logins_by_client_type),
         "auth_factors": given("w_login_history", logins.w_auth_factors),
         "replication_usage": given("w_replication", automation.w_replication_usage),
