@@ -483,7 +483,7 @@ def _nest_access(df: DataFrame) -> DataFrame:
         "user_name",
         "query_start_time",
         F.when(F.col("has_reads"), reads).alias("base_objects_accessed"),
-        F.filter(F.array(write), lambda o: o["objectName"].isNotNull()).alias("objects_modified"),
+        F.when(F.col("write_name").isNotNull(), F.array(write)).alias("objects_modified"),
     )
 
 
@@ -506,13 +506,24 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame] = {}
 
     def source(self, name: str) -> DataFrame:
-        if name.startswith("range("):
-            return self.spark.range(int(name[6:-1]))
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table, opened once: every open lists files and reads a footer."""
+        if name not in self._opened:
+            if name.startswith("range("):
+                self._opened[name] = self.spark.range(int(name[6:-1]))
+            else:
+                self._opened[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._opened[name]
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._views:
+            self._views[name] = self._build(name)
+        return self._views[name]
+
+    def _build(self, name: str) -> DataFrame:
         view = VIEWS[name]
         df = self.source(view.source).selectExpr(*[f"{e} AS {c}" for c, e in view.columns.items()])
         if view.distinct:

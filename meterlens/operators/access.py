@@ -28,26 +28,21 @@ TABLE_DOMAIN = "Table"
 def access_events(access_history: DataFrame, window: Lookback) -> DataFrame:
     """One row per object a query read or modified.
 
-    Both arrays are tagged and concatenated before a single explode, so the log is scanned once.
+    Each query is unfolded into its two lists and each list into its objects, so the log is
+    scanned once; a missing list gives no rows.
     """
 
-    def tagged(column: str, action: str) -> Column:
-        items = F.transform(
-            F.col(column),
-            lambda o: F.struct(
-                o["objectName"].alias("name"), o["objectDomain"].alias("domain"), F.lit(action).alias("action")
-            ),
-        )
-        return F.coalesce(items, F.array().cast("array<struct<name:string,domain:string,action:string>>"))
-
-    both = F.concat(tagged("base_objects_accessed", READ), tagged("objects_modified", WRITE))
-    rows = access_history.filter(window.ts("query_start_time")).select("query_id", "user_name", F.explode(both).alias("o"))
-    return rows.select(
+    def tagged(action: str, column: str) -> Column:
+        return F.struct(F.lit(action).alias("action"), F.col(column).alias("objects"))
+
+    lists = F.inline(F.array(tagged(READ, "base_objects_accessed"), tagged(WRITE, "objects_modified")))
+    rows = access_history.filter(window.ts("query_start_time")).select("query_id", "user_name", lists)
+    return rows.select("query_id", "user_name", "action", F.explode("objects").alias("o")).select(
         "query_id",
         "user_name",
-        F.col("o.name").alias("object_name"),
-        F.col("o.domain").alias("object_domain"),
-        F.col("o.action").alias("action"),
+        F.col("o.objectName").alias("object_name"),
+        F.col("o.objectDomain").alias("object_domain"),
+        "action",
     )
 
 
@@ -252,11 +247,12 @@ def l_table_access_detail(
     def events_in(direction: str) -> Column:
         return F.sum(F.when(F.col("p.direction") == direction, F.col(EVENT_COUNT)).otherwise(F.lit(0)))
 
-    pairs = F.filter(F.array(touched(READ), touched(WRITE)), lambda p: p.isNotNull())
+    pairs = F.array(touched(READ), touched(WRITE))
     per_identity = (
         _events(lineage, window)
         .filter(F.col("created_by").isNotNull())
         .select("created_by", EVENT_COUNT, F.explode(pairs).alias("p"))
+        .filter(F.col("p").isNotNull())
         .groupBy("created_by", F.col("p.table").alias("table_name"))
         .agg(events_in(READ).alias("reads"), events_in(WRITE).alias("writes"))
     )

@@ -39,7 +39,7 @@ def login_channel(by_ip: DataFrame, policies: DataFrame) -> DataFrame:
 
     A range test becomes an equi join: an address is looked up once per prefix length that the
     policies use (33 at most), each time by the base of its block.  The input has one row per
-    distinct address, so the log itself is never joined.
+    distinct address and is not joined to itself, so the log is read once and never joined.
     """
     low, _ = cidr_range("cidr")
     networks = policies.select("channel", "priority", cidr_prefix("cidr").alias("prefix"), low.alias("base")).filter(
@@ -49,15 +49,16 @@ def login_channel(by_ip: DataFrame, policies: DataFrame) -> DataFrame:
     channels = networks.groupBy("priority").agg(F.min("channel").alias("channel"))
     prefixes = networks.select(F.collect_set("prefix")).scalar()
 
-    address = by_ip.select("client_ip", ipv4_to_long("client_ip").alias("address")).filter(F.col("address").isNotNull())
-    blocks = address.withColumn("prefix", F.explode(prefixes))
-    hits = (
+    address = by_ip.select("client_ip", "login_count", ipv4_to_long("client_ip").alias("address"))
+    # outer: an address stays even if there is no policy at all
+    blocks = address.select("*", F.explode_outer(prefixes).alias("prefix"))
+    matched = (
         blocks.withColumn("base", network_base("address", "prefix"))
-        .join(first, ["prefix", "base"])
+        .join(first, ["prefix", "base"], "left")
         .groupBy("client_ip")
-        .agg(F.min("priority").alias("priority"))
+        .agg(F.max("login_count").alias("login_count"), F.min("priority").alias("priority"))
+        .join(channels, "priority", "left")
     )
-    matched = by_ip.join(hits, "client_ip", "left").join(channels, "priority", "left")
     return matched.select("client_ip", _channel_label().alias("channel"), "login_count")
 
 
