@@ -141,12 +141,12 @@ def monthly_bill_pivot(
 def densify_daily_series(rows: DataFrame, key: str, value: str, day: str = "day") -> DataFrame:
     """Every (day, key) pair of a daily series, 0 where it had no row.
 
-    The keys are categories of a rolled-up series (user types, products); they are folded into
-    one array that each day explodes.
+    The days, one per calendar day of the window, are folded into an array that each key
+    explodes; the keys stay distributed.
     """
     zero = F.lit(0).cast(dict(rows.dtypes)[value])
-    keys = rows.select(F.collect_set(key)).scalar()
-    grid = rows.select(day).distinct().select(day, F.explode(keys).alias(key))
+    days = rows.select(F.collect_set(day)).scalar()
+    grid = rows.select(key).distinct().select(key, F.explode(days).alias(day))
     return grid.join(rows, [day, key], "left").select(day, key, F.coalesce(value, zero).alias(value))
 
 
