@@ -2,6 +2,7 @@
 
 from fixtures.cases.access import LIVE, MANIFEST, SIZES, TS
 from fixtures.cases.registry import E_SINCE, EV, GB, L_SINCE, LI, O_SINCE, OR, case, day
+from meterlens.functions.labels import STATEMENT_LABELS, TASK_LABELS
 from meterlens.operators import ai_usage, automation, inventory, logins, ranking, storage
 from meterlens.sources import job_names, table_sizes_from_files
 
@@ -80,21 +81,9 @@ case(
 )
 
 # ---- automation
-VERBS = (
-    ("CALL", "Stored Procedure Call"),
-    ("EXECUTE IMMEDIATE", "EXECUTE IMMEDIATE"),
-    ("MERGE", "MERGE"),
-    ("INSERT", "INSERT"),
-    ("UPDATE", "UPDATE"),
-    ("DELETE", "DELETE"),
-    ("COPY", "COPY INTO"),
-    ("CREATE", "CREATE"),
-    ("ALTER", "ALTER"),
-    ("TRUNCATE", "TRUNCATE"),
-)
 STATEMENT = (
     "CASE WHEN coalesce(trim(query_text), '') = '' THEN 'Unknown' "
-    + " ".join(f"WHEN upper(trim(query_text)) LIKE '{verb}%' THEN '{label}'" for verb, label in VERBS)
+    + " ".join(f"WHEN upper(trim(query_text)) LIKE '{verb}%' THEN '{label}'" for verb, label in STATEMENT_LABELS)
     + " ELSE 'Other SQL' END"
 )
 TASKS = (
@@ -183,23 +172,8 @@ TASK_ROWS = (
     "coalesce(list_filter(json_keys(task), lambda k: k LIKE '%\\_task' ESCAPE '\\')[1], 'unknown_task') AS task_type FROM ("
     "SELECT job_id, unnest(CASE WHEN json_valid(payload) THEN json_extract(payload, '$.settings.tasks[*]') END) AS task FROM l_job_payloads)"
 )
-LABELS = {
-    "notebook_task": "Notebook",
-    "spark_jar_task": "JAR",
-    "python_wheel_task": "Python Wheel",
-    "spark_python_task": "Python Script",
-    "spark_submit_task": "Spark Submit",
-    "sql_task": "SQL",
-    "dbt_task": "dbt",
-    "pipeline_task": "DLT Pipeline",
-    "run_job_task": "Run Job",
-    "for_each_task": "For Each",
-    "condition_task": "Condition",
-    "dashboard_task": "Dashboard",
-    "unknown_task": "Unknown",
-}
 FRIENDLY = (
-    "CASE task_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " ELSE array_to_string("
+    "CASE task_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TASK_LABELS.items()) + " ELSE array_to_string("
     "list_transform(string_split(regexp_replace(task_type, '_task$', ''), '_'), lambda w: upper(w[1]) || w[2:]), ' ') END"
 )
 case(

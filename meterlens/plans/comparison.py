@@ -119,3 +119,14 @@ def comparison_table(w: DataFrame, l: DataFrame) -> DataFrame:
     table = both.select(F.inline(F.array(*rows)))
     # without an observed discount there is no adjusted projection to show
     return table.filter((F.col("metric") != "projected_cost_adjusted_usd") | F.col("l_value").isNotNull())
+
+
+def comparison_report(w: DataFrame, l: DataFrame) -> dict[str, DataFrame]:
+    """All comparisons of two summaries, as read from the JSON of both reports."""
+    projection = migration_projection(w, l)
+    return {
+        "lookback_mismatch": lookback_mismatch(w, l),
+        "migration_projection": projection,
+        "projection_delta": projection_delta(projection),
+        "comparison_table": comparison_table(w, l),
+    }

@@ -5,7 +5,8 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +42,13 @@ def optional_source(
 ) -> DataFrame | None:
     """A source that an edition or a grant may hide.
 
-    Unavailability shows when Spark resolves the source, before any job runs; then the result is
-    ``None``, or an empty frame of the schema ``empty_as``.
+    Unavailability shows when Spark resolves the source (a missing table or column, a refused
+    connection), before any job runs; then the result is ``None``, or an empty frame of the schema
+    ``empty_as``.  Errors of the caller's own code are not hidden.
     """
     try:
         return load()
-    except (AnalysisException, SchemaMismatch) as e:
+    except (PySparkException, Py4JJavaError, SchemaMismatch) as e:
         reason = (str(e).splitlines() or [""])[0]
         warnings.warn(f"skipping {label}: {reason}", stacklevel=2)
         return None if empty_as is None else spark.createDataFrame([], schema(empty_as))

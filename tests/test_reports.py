@@ -6,10 +6,13 @@ from fixtures.cases import ORACLES
 from fixtures.cases.registry import EV, LI, OR
 from fixtures.views import ACCOUNT, DOMAIN, EMPLOYEES, VIEWS
 from check import compare, duck_rows, spark_rows
+from meterlens.plans.comparison import comparison_report
 from meterlens.plans.lakehouse import lakehouse_report
+from meterlens.plans.output import read_report, summary_path, write_report
 from meterlens.plans.settings import ReportSettings, stage_to
 from meterlens.plans.warehouse import warehouse_report
 from meterlens.session import scratch_dir
+from meterlens.sources import read_summary_json
 
 EVENTS, ORDERS = [
     {name for name, v in VIEWS.items() if v.source == source} for source in ("events", "orders")
@@ -118,3 +121,22 @@ def test_lakehouse_without_optional_sources(tables):
     for name in ("storage", "mlflow", "ai_gateway", "task_types", "table_access_detail", "platform_summary"):
         assert report[name] is None
     assert report["quality_monitoring"].collect()[0].check_runs > 0
+
+
+def test_a_written_report_is_read_back_without_its_sources(spark, warehouse):
+    out = scratch_dir(spark, "report-out")
+    some = {name: warehouse[name] for name in ("overview", "top_users", "platform_summary")} | {"discount": None}
+    assert write_report(some, out) == ["overview", "top_users", "platform_summary"]
+    back = read_report(spark, out, some)
+    assert back["discount"] is None
+    for name in ("overview", "top_users", "platform_summary"):
+        assert compare(spark_rows(back[name]), spark_rows(warehouse[name])) is None
+    assert compare(spark_rows(read_summary_json(spark, summary_path(out))), spark_rows(warehouse["platform_summary"])) is None
+
+
+def test_comparison_of_two_reports(warehouse, lakehouse):
+    both = comparison_report(warehouse["platform_summary"], lakehouse["platform_summary"])
+    assert {name: df.count() for name, df in both.items()} == {
+        "lookback_mismatch": 1, "migration_projection": 1, "projection_delta": 1, "comparison_table": 18,
+    }
+    assert both["migration_projection"].collect()[0].projected_usd > 0
