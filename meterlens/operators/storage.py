@@ -55,4 +55,4 @@ def l_storage(table_sizes: DataFrame) -> DataFrame:
 
 
 def l_largest_tables(table_sizes: DataFrame, limit: int = 20) -> DataFrame:
-    return top_k(table_sizes, limit, "size_bytes", "qualified_name", "format")
+    return top_k(table_sizes, limit, "size_bytes", "qualified_name")

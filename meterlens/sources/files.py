@@ -45,14 +45,18 @@ def scan_file_manifest(spark: SparkSession, root: str, fmt: str = "parquet", dep
 
 
 def table_sizes_from_files(manifest: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """Format, file count and bytes of each table in a manifest.
+    """Format, file count and bytes of each table in a manifest, one row per table.
 
+    A table with files of several formats (after a conversion, say) shows the one most files have.
     With ``tables`` only storage-bearing ones stay.  The manifest is folded first, so that join
     sees one row per table; a table without files contributes no row.
     """
-    sizes = manifest.groupBy("qualified_name", "format").agg(
+    per_format = manifest.groupBy("qualified_name", "format").agg(
         F.count(F.lit(1)).alias("num_files"), sum_long("length").alias("size_bytes")
     )
-    if tables is not None:
-        sizes = sizes.join(storage_bearing_tables(tables), "qualified_name", "left_semi")
-    return sizes.select("qualified_name", "format", "num_files", "size_bytes")
+    sizes = per_format.groupBy("qualified_name").agg(
+        F.max_by("format", F.struct("num_files", "format")).alias("format"),
+        sum_long("num_files").alias("num_files"),
+        sum_long("size_bytes").alias("size_bytes"),
+    )
+    return sizes if tables is None else sizes.join(storage_bearing_tables(tables), "qualified_name", "left_semi")

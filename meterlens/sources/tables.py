@@ -51,7 +51,13 @@ def optional_source(
     except (PySparkException, Py4JJavaError, SchemaMismatch) as e:
         reason = (str(e).splitlines() or [""])[0]
         warnings.warn(f"skipping {label}: {reason}", stacklevel=2)
-        return None if empty_as is None else spark.createDataFrame([], schema(empty_as))
+        return None if empty_as is None else empty_table(spark, empty_as)
+
+
+def empty_table(spark: SparkSession, table: str) -> DataFrame:
+    """No rows in the schema of a usage table; Catalyst drops it from unions and joins."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema(table)]
+    return spark.range(1).select(*columns).limit(0)
 
 
 def scan_streams_inventory(streams: DataFrame) -> DataFrame:

@@ -123,6 +123,12 @@ def test_file_manifest_lists_sizes_without_reading(spark, tmp_path):
     assert rows(s.table_sizes_from_files(manifest, tables)) == [("cat.sch.t1", "parquet", 2, 7)]
 
 
+def test_a_table_of_two_formats_is_one_table(frame):
+    files = [("t", "delta", "a", 1), ("t", "delta", "b", 2), ("t", "parquet", "c", 50), ("u", None, "d", None)]
+    manifest = frame(files, "qualified_name string, format string, path string, length bigint")
+    assert rows(s.table_sizes_from_files(manifest)) == [("t", "delta", 3, 53), ("u", None, 1, 0)]
+
+
 def test_current_dimensions(spark):
     df = spark.sql("SELECT '1' AS job_id, 'a' AS name, CAST(NULL AS TIMESTAMP) AS delete_time UNION ALL SELECT '2','b',TIMESTAMP'2024-01-01'")
     assert rows(s.job_names(df)) == [("1", "a")]
