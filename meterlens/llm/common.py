@@ -86,3 +86,25 @@ def order_cut(rows: DataFrame, need: DataFrame, group: str, digest: str, amount:
         group, F.concat("cell", F.lit("g")).alias("cut_digest"), *[F.lit(None).cast(rows.schema[t].dataType).alias(f"cut_{t}") for t in ties]
     )
     return cut.unionByName(whole)
+
+
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """``node, label`` for every node of ``links`` (a, b): the label is the smallest node that can be reached.
+
+    Labels fall along links and then to the label of their label, until nothing changes.  Every round is one
+    pre-aggregated minimum over the links and one join, staged; a hub's links are many small rows that a
+    skewed join may split.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = staged(spark, both, "links")
+    labels = staged(spark, both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
+    while True:
+        known = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
+        fallen = both.join(known, "b").groupBy("a").agg(F.min("near").alias("near"))
+        lower = labels.join(fallen, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("low"))
+        heads = lower.select(F.col("node").alias("head"), F.col("low").alias("head_low"))
+        jumped = lower.join(heads, F.col("low") == F.col("head"), "left")
+        jumped = staged(spark, jumped.select("node", "label", F.coalesce("head_low", "low").alias("low")), "labels")
+        if jumped.filter("low != label").isEmpty():
+            return labels
+        labels = jumped.select("node", F.col("low").alias("label"))

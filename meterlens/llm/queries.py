@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from meterlens.llm import mixing, quality_rules
+from meterlens.llm import decontamination, minhash, mixing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op6_fm_decontamination": decontamination.op6_fm_decontamination,
     "op8_mixing": mixing.op8_mixing,
+    "op9_minmax_near_dedup": minhash.op9_minmax_near_dedup,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
+    "op6_fm_decontamination": decontamination.SQL,
     "op8_mixing": mixing.SQL,
 }
