@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from meterlens.llm import decontamination, minhash, mixing, quality_rules
+from meterlens.llm import decontamination, minhash, mixing, packing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op5_bfd_packing": packing.op5_bfd_packing,
     "op6_fm_decontamination": decontamination.op6_fm_decontamination,
     "op8_mixing": mixing.op8_mixing,
     "op9_minmax_near_dedup": minhash.op9_minmax_near_dedup,
