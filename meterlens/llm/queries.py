@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from meterlens.llm import decontamination, minhash, mixing, packing, quality_rules
+from meterlens.llm import decontamination, minhash, mixing, packing, quality_rules, warc_zst
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_warc_dictionary": warc_zst.op4_warc_dictionary,
     "op5_bfd_packing": packing.op5_bfd_packing,
     "op6_fm_decontamination": decontamination.op6_fm_decontamination,
     "op8_mixing": mixing.op8_mixing,
