@@ -43,17 +43,19 @@ def null_safe(left: DataFrame, right: DataFrame, *keys: str) -> Column:
     return all_of([left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def order_cut(rows: DataFrame, need: DataFrame, group: str, digest: str, amount: str, ties: list[str]) -> DataFrame:
+def order_cut(
+    rows: DataFrame, need: DataFrame, group: str, digest: str, amount: str, ties: list[str], digits: tuple[int, ...] = (3, 6)
+) -> DataFrame:
     """Per group, the first row (in the order of ``digest``, then ``ties``) that is no longer taken.
 
     Rows of a group are taken in that order as long as the middle of a row's ``amount`` still lies within
     the group's ``need``, so the sum taken is at most half a row away from it.  ``digest`` is lower-case hex.
-    Sums over its first three digits, then over the next three, narrow the place down; rows are sorted only
-    within the one of 16.7 million cells that holds the cut.  Returns ``group, cut_digest, cut_<tie>...``; a
-    group whose rows are all taken has no row.
+    Sums over its first three digits, then over the next three, and so on through ``digits``, narrow the place
+    down; rows are sorted only within the one cell (of 16.7 million, with six digits) that holds the cut.
+    Returns ``group, cut_digest, cut_<tie>...``; a group whose rows are all taken has no row.
     """
     found = need.select(F.col(group), F.col("need"), F.lit(0).cast("long").alias("before"), F.lit("").alias("cell"))
-    for depth in (3, 6):
+    for depth in digits:
         # the cells of a group at this depth: 4096 at most
         inside = rows.join(
             found.select(F.col(group).alias("g"), F.col("cell").alias("c"), "need", "before"),
@@ -75,7 +77,7 @@ def order_cut(rows: DataFrame, need: DataFrame, group: str, digest: str, amount:
         found = staged(rows.sparkSession, found, "cells")
     inside = rows.join(
         found.select(F.col(group).alias("g"), F.col("cell").alias("c"), "need", "before"),
-        (F.col(group) == F.col("g")) & (F.substring(digest, 1, 6) == F.col("c")),
+        (F.col(group) == F.col("g")) & (F.substring(digest, 1, digits[-1]) == F.col("c")),
     )
     order = Window.partitionBy(group).orderBy(digest, *ties)
     late = inside.withColumn("middle", F.col("before") + F.sum(amount).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(amount) / 2.0)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from meterlens.llm import decontamination, minhash, mixing, packing, quality_rules, warc_zst
+from meterlens.llm import decontamination, importance, language_id, minhash, mixing, packing, quality_rules, warc_zst
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_importance_resampling": importance.op2_importance_resampling,
+    "op3_ecoc_language_id": language_id.op3_ecoc_language_id,
     "op4_warc_dictionary": warc_zst.op4_warc_dictionary,
     "op5_bfd_packing": packing.op5_bfd_packing,
     "op6_fm_decontamination": decontamination.op6_fm_decontamination,

@@ -55,15 +55,20 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> list[int]
     return cuts
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, number of words of each text).  Words are runs of bytes outside ``space``."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, number of words of each text).
+
+    Words are runs of bytes that are no white space or, with ``classes`` (of each byte, 0 for white space), of
+    bytes of one class.
+    """
     hashes, starts_at = [], []
+    space = IS_SPACE if classes is None else classes == 0
     cuts = _cuts(data, offsets, space)
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         part = data[lo:hi]
         solid = ~space[part]
         fresh = np.ones(hi - lo, dtype=bool)
-        fresh[1:] = ~solid[:-1]
+        fresh[1:] = ~solid[:-1] if classes is None else classes[part[1:]] != classes[part[:-1]]
         inside = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
         fresh[inside] = True
         begin = solid & fresh
