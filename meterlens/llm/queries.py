@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterlens.llm import decontamination, importance, language_id, minhash, mixing, packing, quality_rules, warc_zst
+from meterlens.llm import decontamination, importance, language_id, line_dedup, minhash, mixing, packing, quality_rules, warc_zst
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc_dictionary": warc_zst.op4_warc_dictionary,
     "op5_bfd_packing": packing.op5_bfd_packing,
     "op6_fm_decontamination": decontamination.op6_fm_decontamination,
+    "op7_segment_line_dedup": line_dedup.op7_segment_line_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_minmax_near_dedup": minhash.op9_minmax_near_dedup,
 }
