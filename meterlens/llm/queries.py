@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterlens.llm import decontamination, importance, language_id, line_dedup, minhash, mixing, packing, quality_rules, warc_zst
+from meterlens.llm import decontamination, html_template, importance, language_id, line_dedup, minhash, mixing, packing, quality_rules, warc_zst
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_segment_line_dedup": line_dedup.op7_segment_line_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_minmax_near_dedup": minhash.op9_minmax_near_dedup,
+    "op10_html_template": html_template.op10_html_template,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
