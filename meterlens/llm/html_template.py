@@ -3,8 +3,8 @@
 Tokens of a page are its opening tags, told apart by their path (names, classes and ids from the root), and the
 texts of its blocks, told apart by path and wording.  A token's occurrence vector says how often it occurs on
 each page of the host; it is kept as an order-free fingerprint over (page, count), so vectors are compared without
-being gathered anywhere.  Tokens of equal vectors form a class.  A class is valid if it holds at least two tags, has
-support enough and hangs below at most one other class; valid classes nest into the host's template, and the texts in
+being gathered anywhere.  Tokens of equal vectors form a class.  A class is valid if it holds an element (its opening
+and closing tag), has support enough and hangs below at most one other class; valid classes nest into the host's template, and the texts in
 them are template text.  What is left are slots.  The text of a page is that of its slots, without those whose place says
 that they are no part of the article: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments.  If the page has article or main elements, only slots inside them count.
@@ -253,8 +253,8 @@ def templates(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES,
     above = tokens.filter("is_tag").select(F.col("host").alias("p_host"), F.col("token").alias("p_token"), F.col("class").alias("p_class"))
     nested = tokens.filter("is_tag").join(above, (F.col("host") == F.col("p_host")) & (F.col("parent") == F.col("p_token")), "left")
     over = F.when(F.coalesce("p_class", F.lit(0).cast("long")) != F.col("class"), F.coalesce("p_class", F.lit(0).cast("long")))
-    classes = nested.groupBy("host", "class").agg(F.count("*").alias("n_tags"), F.countDistinct(over).alias("n_over"))
-    valid = classes.filter("n_tags >= 2 and n_over <= 1").select(F.col("host").alias("v_host"), F.col("class").alias("v_class"))
+    classes = nested.groupBy("host", "class").agg(F.countDistinct(over).alias("n_over"))
+    valid = classes.filter("n_over <= 1").select(F.col("host").alias("v_host"), F.col("class").alias("v_class"))
     texts = tokens.filter("not is_tag").join(valid, (F.col("host") == F.col("v_host")) & (F.col("class") == F.col("v_class")))
     return texts.groupBy("host").agg(F.collect_set("token").alias("texts"))
 
