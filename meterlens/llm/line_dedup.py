@@ -92,8 +92,9 @@ class _Powers:
     def upto(self, n: int) -> None:
         if len(self.up) < n:
             inverse = pow(BASE, -1, 2**64)
-            self.up = np.cumprod(np.concatenate([[1], np.full(n, BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[1], np.full(n, inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            one = np.ones(1, np.uint64)
+            self.up = np.cumprod(np.concatenate([one, np.full(n, BASE, np.uint64)]))
+            self.down = np.cumprod(np.concatenate([one, np.full(n, inverse, np.uint64)]))
 
 
 def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -112,6 +112,17 @@ def test_banded_distance_and_probes(threshold):
             assert held & ({(m, i, long[s : s + n]) for m, i, s, n in line_dedup.probes(len(long), threshold)} | own)
 
 
+def test_keys_tell_substrings_apart():
+    import pyarrow as pa
+
+    lines = ["abcdefghijklmnop", "qrstuvwxyzabcdef", "abcdeXXXijklmnop", "xx" * 9]
+    batch = pa.record_batch({"line_id": pa.array(range(4)), "line": pa.array(lines)})
+    (out,) = line_dedup._keys(iter([batch]), 2, True)
+    keys = dict(enumerate(zip(*[iter(sorted(zip(out.column("line_id").to_pylist(), out.column("key").to_pylist(), strict=True)))] * 3, strict=True)))
+    sets = {k: {key for _, key in triple} for k, triple in keys.items()}
+    assert not sets[0] & sets[1] and len(sets[0] & sets[2]) == 2 and all(len(s) == 3 for s in sets.values())
+
+
 def test_line_links_match_brute_force(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcde fg") for _ in range(rng.randint(9, 40))).strip() for _ in range(40)]
