@@ -67,7 +67,8 @@ def good_ids(labels: DataFrame) -> DataFrame:
 def log_ratios(docs: DataFrame, good: DataFrame) -> np.ndarray:
     """log(target/raw) of every bucket; ``BUCKETS`` numbers, whatever the size of the corpus."""
     known = good.filter("good").select(F.col("doc_id").alias("g_id"), "good")
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("g_id"), "left")
+    # labels grow with the corpus: the same join at every size
+    rows = docs.select("doc_id", "text").join(known.hint("merge"), F.col("doc_id") == F.col("g_id"), "left")
     counts = rows.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "bucket long, raw long, target long")
     found = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
@@ -108,7 +109,8 @@ def resampled(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: fl
     scored = docs.select("doc_id", "text", noise.alias("noise")).mapInArrow(
         lambda batches: _score(batches, ratios), f"doc_id {kind}, log_weight double, key double, place string"
     )
-    scored = staged(spark, scored, "scored").withColumn("whole", F.lit(0)).withColumn("one", F.lit(1).cast("long"))
+    # one group, each row counting once: written as columns, so that its joins stay joins by key
+    scored = staged(spark, scored.withColumn("whole", F.lit(0)).withColumn("one", F.lit(1).cast("long")), "scored")
     need = scored.groupBy("whole").agg(F.floor(F.count("*") * share + 0.5).cast("double").alias("need"))
     cut = order_cut(scored, need, "whole", "place", "one", ["doc_id"], (3, 6, 9, 12))
     cut = cut.first()  # one row at most
