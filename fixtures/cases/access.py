@@ -1,7 +1,7 @@
 """Access history and lineage."""
 
 from fixtures.cases.activity import BUCKET
-from fixtures.cases.registry import GB, L_SINCE, LI, case
+from fixtures.cases.registry import GB, L_SINCE, L_UNTIL, LI, case
 from fixtures.cases.users import DISPLAY, PRINCIPALS, SERVICE_CTES, SERVICE_STATS, service_stats
 from fixtures.cases.activity import WH
 from fixtures.views import DOMAIN, EMPLOYEES
@@ -12,7 +12,7 @@ from meterlens.sources import principal_names, table_sizes_from_files, user_type
 AH = "w_access_history"
 EVENTS = " UNION ALL ".join(
     f"SELECT query_id, user_name, {name} AS object_name, {domain} AS object_domain, '{action}' AS action FROM {AH} "
-    f"WHERE query_start_time >= {L_SINCE} AND {cond}"
+    f"WHERE query_start_time >= {L_SINCE} AND query_start_time < {L_UNTIL} AND {cond}"
     for name, domain, action, cond in (
         ("read_name", "read_domain", "READ", "has_reads"),
         ("read_name_2", "'Table'", "READ", "has_reads"),
@@ -93,12 +93,13 @@ case(
 case(
     "w_table_access_detail",
     lambda t: a.w_table_access_detail(t[TS], events(t), DOMAIN, EMPLOYEES),
-    f"SELECT d.qualified_name, coalesce(l.bytes, 0) / {GB}::DOUBLE AS active_gb, user_name, read_count, write_count FROM ("
+    f"SELECT o.own AS qualified_name, coalesce(l.bytes, 0) / {GB}::DOUBLE AS active_gb, user_name, read_count, write_count FROM ("
     f"SELECT upper(object_name) AS qualified_name, {BUCKET.format('user_name')} AS user_name, "
     "count(DISTINCT CASE WHEN action = 'READ' THEN query_id END) AS read_count, "
     "count(DISTINCT CASE WHEN action = 'WRITE' THEN query_id END) AS write_count FROM tev GROUP BY 1, 2 "
     "ORDER BY read_count + write_count DESC, 1, 2 NULLS FIRST LIMIT 150) d LEFT JOIN ("
-    "SELECT upper(qualified_name) AS m, CAST(sum(bytes) AS BIGINT) AS bytes FROM live GROUP BY 1) l ON d.qualified_name = l.m",
+    "SELECT upper(qualified_name) AS m, CAST(sum(bytes) AS BIGINT) AS bytes FROM live GROUP BY 1) l ON d.qualified_name = l.m "
+    "JOIN (SELECT upper(object_name) AS m, min(object_name) AS own FROM tev GROUP BY 1) o ON d.qualified_name = o.m",
     AH,
     TS,
     ctes=CTES | {"live": LIVE},
@@ -106,7 +107,7 @@ case(
 
 # ---- lineage
 LIN = "l_lineage"
-L_RECENT = f"event_date >= CAST({L_SINCE} AS DATE)"
+L_RECENT = f"event_date >= CAST({L_SINCE} AS DATE) AND event_date < CAST({L_UNTIL} AS DATE)"
 
 
 def _visible(side: str) -> str:

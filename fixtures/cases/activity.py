@@ -1,13 +1,13 @@
 """Query activity on both sides, credits."""
 
-from fixtures.cases.registry import E_SINCE, EV, GB, case, day
+from fixtures.cases.registry import E_SINCE, E_UNTIL, EV, GB, case, day
 from fixtures.views import DOMAIN, EMPLOYEES
 from meterlens.operators import activity as a
 from meterlens.operators import ranking, users
 from meterlens.sources import cluster_names, endpoint_names, user_types
 
 WH, LH = "w_query_history", "l_query_history"
-RECENT = f"start_time >= {E_SINCE}"
+RECENT = f"start_time >= {E_SINCE} AND start_time < {E_UNTIL}"
 DAY = day("start_time")
 
 case(

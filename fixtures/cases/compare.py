@@ -76,7 +76,7 @@ case("w_platform_summary", _w_summary, W_SUMMARY, *W_VIEWS, ctes=W_CTES)
 
 
 def _l_summary(t):
-    costs = cost.l_cost_rollup(priced(t), "usage_date", "sku_name")
+    costs = priced(t, "usage_date", "sku_name")
     daily = cost.l_daily_cost(costs)
     return summary.l_platform_summary(
         activity.l_compute_rollup(t[LH], EV),
@@ -152,7 +152,7 @@ case(
 
 
 def _l_overview(t):
-    daily = cost.l_daily_cost(priced(t))
+    daily = cost.l_daily_cost(priced(t, "usage_date"))
     return lakehouse.overview(activity.l_overview(t[LH], EV), daily, cost.l_real_billed_total(billable(t), daily), EV.days)
 
 

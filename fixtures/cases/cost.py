@@ -2,7 +2,7 @@
 
 from fixtures.cases.access import LIVE, TS
 from fixtures.cases.activity import BUCKET, DAILY_CREDITS, EXEC, MET, TOP_WH_CREDITS, TOTAL_CREDITS, WH, WH_CREDITS, exec_stats
-from fixtures.cases.registry import E_SINCE, EV, GB, L_SINCE, LI, O_SINCE, OR, case, day, folded
+from fixtures.cases.registry import E_SINCE, E_UNTIL, EV, GB, L_SINCE, L_UNTIL, LI, O_SINCE, O_UNTIL, OR, case, day, folded
 from fixtures.cases.users import DISPLAY, PRINCIPALS
 from fixtures.views import ACCOUNT, CURRENCY, DOMAIN, EMPLOYEES
 from meterlens.operators import activity, cost as c, ranking, storage
@@ -12,7 +12,7 @@ BL = "w_billing"
 CREDIT_PRICE, TB_PRICE = 3.0, 23.0
 BILLED = (
     f"SELECT usage_date, usage_type, usage_in_currency AS usd FROM {BL} WHERE account_locator = '{ACCOUNT}' "
-    f"AND currency = '{CURRENCY}' AND usage_date >= CAST({O_SINCE} AS DATE)"
+    f"AND currency = '{CURRENCY}' AND usage_date >= CAST({O_SINCE} AS DATE) AND usage_date < CAST({O_UNTIL} AS DATE)"
 )
 BILL = {"bill": BILLED}
 
@@ -96,7 +96,7 @@ case(
 USER_COST = (
     f"SELECT user_name, round(credits * (SELECT usd_per_credit FROM rate), 6) AS usd FROM ("
     f"SELECT {BUCKET.format('user_name')} AS user_name, round(sum(credits_attributed_compute), 6) AS credits FROM w_attribution "
-    f"WHERE start_time >= {E_SINCE} GROUP BY 1)"
+    f"WHERE start_time >= {E_SINCE} AND start_time < {E_UNTIL} GROUP BY 1)"
 )
 case(
     "w_cost_by_user",
@@ -159,24 +159,24 @@ PRICED = (
     "SELECT u.usage_date, u.sku_name, u.billing_origin_product AS product, u.run_as, u.usage_quantity AS dbu_quantity, "
     "u.usage_quantity * p.price AS usd FROM l_usage u JOIN l_list_prices p ON u.sku_name = p.sku_name "
     "AND u.usage_start_time >= p.price_start_time AND (p.price_end_time IS NULL OR u.usage_start_time < p.price_end_time) "
-    f"WHERE u.usage_date >= CAST({L_SINCE} AS DATE)"
+    f"WHERE u.usage_date >= CAST({L_SINCE} AS DATE) AND u.usage_date < CAST({L_UNTIL} AS DATE)"
 )
 PV = ("l_usage", "l_list_prices")
 PR = {"priced": PRICED}
 
 
-def priced(t):
-    return c.priced_usage(t["l_usage"], t["l_list_prices"], LI)
+def priced(t, *keys):
+    return c.l_cost_rollup(t["l_usage"], t["l_list_prices"], LI, *keys)
 
 
 L_DAILY = f"SELECT {day('usage_date')} AS day, round(sum(usd), 6) AS usd FROM priced GROUP BY 1"
 BY_SKU = "SELECT sku_name, round(sum(usd), 6) AS usd, round(sum(dbu_quantity), 6) AS dbu_quantity FROM priced GROUP BY 1"
-case("priced_usage", priced, "SELECT * FROM priced", *PV, ctes=PR)
-case("l_daily_cost", lambda t: c.l_daily_cost(priced(t)), L_DAILY, *PV, ctes=PR)
-case("l_cost_by_sku", lambda t: c.l_cost_by_sku(priced(t)), BY_SKU, *PV, ctes=PR)
+case("priced_usage", lambda t: c.priced_usage(t["l_usage"], t["l_list_prices"], LI), "SELECT * FROM priced", *PV, ctes=PR)
+case("l_daily_cost", lambda t: c.l_daily_cost(priced(t, "usage_date")), L_DAILY, *PV, ctes=PR)
+case("l_cost_by_sku", lambda t: c.l_cost_by_sku(priced(t, "sku_name")), BY_SKU, *PV, ctes=PR)
 case(
     "l_daily_cost_by_product",
-    lambda t: c.l_daily_cost_by_product(priced(t)),
+    lambda t: c.l_daily_cost_by_product(priced(t, "usage_date", "product")),
     f"SELECT {day('usage_date')} AS day, product, round(sum(usd), 6) AS usd FROM priced GROUP BY 1, 2",
     *PV,
     ctes=PR,
@@ -187,7 +187,7 @@ L_USER = (
 )
 case(
     "l_cost_by_user",
-    lambda t: c.l_cost_by_user(c.l_user_cost(priced(t), principal_names(t["l_principals"]), DOMAIN, EMPLOYEES)),
+    lambda t: c.l_cost_by_user(c.l_user_cost(priced(t, "run_as"), principal_names(t["l_principals"]), DOMAIN, EMPLOYEES)),
     folded("uc", "actor", "usd", 10),
     *PV,
     "l_principals",
@@ -195,17 +195,17 @@ case(
 )
 case(
     "l_top_users_by_cost",
-    lambda t: c.l_top_users_by_cost(c.l_user_cost(priced(t), principal_names(t["l_principals"]), DOMAIN, EMPLOYEES)),
+    lambda t: c.l_top_users_by_cost(c.l_user_cost(priced(t, "run_as"), principal_names(t["l_principals"]), DOMAIN, EMPLOYEES)),
     "SELECT actor, usd FROM uc ORDER BY usd DESC, actor LIMIT 10",
     *PV,
     "l_principals",
     ctes=PR | {"principals": PRINCIPALS, "uc": L_USER},
 )
 L_MONTHLY = "SELECT strftime(usage_date, '%Y-%m') AS month, sku_name AS sku, round(sum(usd), 6) AS usd FROM priced GROUP BY 1, 2"
-case("l_monthly_cost_by_sku", lambda t: c.l_monthly_cost_by_sku(priced(t)), L_MONTHLY, *PV, ctes=PR)
+case("l_monthly_cost_by_sku", lambda t: c.l_monthly_cost_by_sku(priced(t, "usage_date", "sku_name")), L_MONTHLY, *PV, ctes=PR)
 case(
     "l_monthly_bill_pivot",
-    lambda t: ranking.monthly_bill_pivot(c.l_monthly_cost_by_sku(priced(t)), LI.months(), "sku", adjustments_apart=False),
+    lambda t: ranking.monthly_bill_pivot(c.l_monthly_cost_by_sku(priced(t, "usage_date", "sku_name")), LI.months(), "sku", adjustments_apart=False),
     _grid("sku", LI.months()),
     *PV,
     ctes=PR

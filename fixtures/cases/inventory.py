@@ -1,7 +1,7 @@
 """Storage, automation, inventories, logins, AI usage."""
 
 from fixtures.cases.access import LIVE, MANIFEST, SIZES, TS
-from fixtures.cases.registry import E_SINCE, EV, GB, L_SINCE, LI, O_SINCE, OR, case, day
+from fixtures.cases.registry import E_SINCE, E_UNTIL, EV, GB, L_SINCE, L_UNTIL, LI, O_SINCE, O_UNTIL, OR, case, day
 from meterlens.functions.labels import STATEMENT_LABELS, TASK_LABELS
 from meterlens.operators import ai_usage, automation, inventory, logins, ranking, storage
 from meterlens.sources import job_names, table_sizes_from_files
@@ -28,7 +28,7 @@ case(
 DS = "w_database_storage"
 DS_DAILY = (
     f"SELECT usage_date, database_name, sum(average_database_bytes) AS bytes FROM {DS} "
-    f"WHERE usage_date >= CAST({O_SINCE} AS DATE) GROUP BY 1, 2"
+    f"WHERE usage_date >= CAST({O_SINCE} AS DATE) AND usage_date < CAST({O_UNTIL} AS DATE) GROUP BY 1, 2"
 )
 LATEST = (
     "SELECT d.database_name, d.usage_date, round(d.bytes, 6) AS bytes FROM d JOIN ("
@@ -40,7 +40,7 @@ case(
         t["w_billing"].filter(OR.date("usage_date")), "usage_type", "usage_date", "usage_in_currency"
     ),
     "SELECT b.usage_type, b.usage_date, round(sum(b.usage_in_currency), 6) AS usage_in_currency FROM w_billing b JOIN ("
-    f"SELECT usage_type, max(usage_date) AS usage_date FROM w_billing WHERE usage_date >= CAST({O_SINCE} AS DATE) GROUP BY 1) m "
+    f"SELECT usage_type, max(usage_date) AS usage_date FROM w_billing WHERE usage_date >= CAST({O_SINCE} AS DATE) AND usage_date < CAST({O_UNTIL} AS DATE) GROUP BY 1) m "
     "ON b.usage_type = m.usage_type AND b.usage_date = m.usage_date GROUP BY 1, 2",
     "w_billing",
 )
@@ -90,7 +90,7 @@ TASKS = (
     f"SELECT task_name, arg_min({STATEMENT}, (scheduled_time, {STATEMENT})) AS task_type, count(*) AS total_runs, "
     "CAST(sum(CASE WHEN state = 'SUCCEEDED' THEN 1 ELSE 0 END) AS BIGINT) AS succeeded, "
     "CAST(sum(CASE WHEN state = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM w_task_history "
-    f"WHERE scheduled_time >= {O_SINCE} GROUP BY 1"
+    f"WHERE scheduled_time >= {O_SINCE} AND scheduled_time < {O_UNTIL} GROUP BY 1"
 )
 case(
     "w_task_runs",
@@ -104,7 +104,7 @@ case(
     lambda t: automation.w_pipe_ingest(t["w_pipe_usage"], LI),
     "SELECT pipe_name, round(coalesce(sum(credits_used), 0), 6) AS total_credits, "
     f"CAST(sum(files_inserted) AS BIGINT) AS total_files_inserted, CAST(sum(bytes_inserted) AS BIGINT) / {GB}::DOUBLE AS total_bytes_inserted_gb "
-    f"FROM w_pipe_usage WHERE start_time >= {L_SINCE} GROUP BY 1 ORDER BY total_credits DESC, pipe_name LIMIT 20",
+    f"FROM w_pipe_usage WHERE start_time >= {L_SINCE} AND start_time < {L_UNTIL} GROUP BY 1 ORDER BY total_credits DESC, pipe_name LIMIT 20",
     "w_pipe_usage",
 )
 case(
@@ -118,7 +118,7 @@ case(
     lambda t: automation.w_mv_refresh(t["w_mv_refresh"], LI),
     "SELECT view_name, count(*) AS total_refreshes, round(sum(credits_used), 6) AS total_credits, "
     "round(sum(epoch_ms(end_time) - epoch_ms(start_time))::DOUBLE / 1000.0 / count(*), 6) AS avg_duration_seconds "
-    f"FROM w_mv_refresh WHERE start_time >= {L_SINCE} GROUP BY 1 ORDER BY total_refreshes DESC, view_name LIMIT 20",
+    f"FROM w_mv_refresh WHERE start_time >= {L_SINCE} AND start_time < {L_UNTIL} GROUP BY 1 ORDER BY total_refreshes DESC, view_name LIMIT 20",
     "w_mv_refresh",
 )
 case(
@@ -126,7 +126,7 @@ case(
     lambda t: automation.w_replication_usage(t["w_replication"], LI),
     "SELECT replication_group_name, round(sum(credits_used), 6) AS total_credits, "
     "CAST(sum(bytes_transferred) AS BIGINT) AS total_bytes_transferred, count(*) AS event_count "
-    f"FROM w_replication WHERE start_time >= {L_SINCE} GROUP BY 1",
+    f"FROM w_replication WHERE start_time >= {L_SINCE} AND start_time < {L_UNTIL} GROUP BY 1",
     "w_replication",
 )
 JR = "l_job_runs"
@@ -134,7 +134,7 @@ JOB_ROLL = (
     "SELECT job_id, count(*) AS total_runs, CAST(sum(CASE WHEN result_state = 'SUCCEEDED' THEN 1 ELSE 0 END) AS BIGINT) AS succeeded, "
     "CAST(sum(CASE WHEN result_state IS NULL OR result_state <> 'SUCCEEDED' THEN 1 ELSE 0 END) AS BIGINT) AS failed, "
     "avg(execution_duration_seconds) AS avg_s, CAST(sum(execution_duration_seconds) AS BIGINT) AS total_s "
-    f"FROM {JR} WHERE period_start_time >= {O_SINCE} GROUP BY 1"
+    f"FROM {JR} WHERE period_start_time >= {O_SINCE} AND period_start_time < {O_UNTIL} GROUP BY 1"
 )
 TOP_JOBS = "SELECT * FROM jr ORDER BY total_runs DESC, job_id LIMIT 20"
 
@@ -164,7 +164,7 @@ case(
     lambda t: automation.l_daily_job_runs(t[JR], OR),
     f"SELECT {day('period_start_time')} AS day, count(*) AS total_runs, "
     "CAST(sum(CASE WHEN result_state = 'SUCCEEDED' THEN 1 ELSE 0 END) AS BIGINT) AS succeeded "
-    f"FROM {JR} WHERE period_start_time >= {O_SINCE} GROUP BY 1",
+    f"FROM {JR} WHERE period_start_time >= {O_SINCE} AND period_start_time < {O_UNTIL} GROUP BY 1",
     JR,
 )
 TASK_ROWS = (
@@ -179,10 +179,10 @@ FRIENDLY = (
 case(
     "l_task_types",
     lambda t: automation.l_task_types(t["l_job_payloads"], job_rollup(t)),
-    f"SELECT {FRIENDLY} AS task_type, count(*) AS count FROM tasks WHERE job_id IN (SELECT job_id FROM top) GROUP BY 1",
+    f"SELECT {FRIENDLY} AS task_type, count(*) AS count FROM tasks WHERE job_id IN (SELECT job_id FROM jr) GROUP BY 1",
     JR,
     "l_job_payloads",
-    ctes={"jr": JOB_ROLL, "top": TOP_JOBS, "tasks": TASK_ROWS},
+    ctes={"jr": JOB_ROLL, "tasks": TASK_ROWS},
 )
 
 # ---- inventories
@@ -212,14 +212,14 @@ case(
     "source_cloud IS DISTINCT FROM target_cloud OR source_region IS DISTINCT FROM target_region AS cross_region, "
     f"bytes / {GB}::DOUBLE AS total_gb FROM ("
     "SELECT transfer_type, source_cloud, source_region, target_cloud, target_region, CAST(sum(bytes_transferred) AS BIGINT) AS bytes "
-    f"FROM {DT} WHERE start_time >= {L_SINCE} GROUP BY ALL) ORDER BY bytes DESC, transfer_type, source_cloud, source_region, "
+    f"FROM {DT} WHERE start_time >= {L_SINCE} AND start_time < {L_UNTIL} GROUP BY ALL) ORDER BY bytes DESC, transfer_type, source_cloud, source_region, "
     "target_cloud NULLS FIRST, target_region LIMIT 20",
     DT,
 )
 case(
     "w_data_transfer_total",
     lambda t: inventory.w_data_transfer_total(t[DT], LI),
-    f"SELECT CAST(sum(bytes_transferred) AS BIGINT) / {GB}::DOUBLE AS total_gb FROM {DT} WHERE start_time >= {L_SINCE}",
+    f"SELECT CAST(sum(bytes_transferred) AS BIGINT) / {GB}::DOUBLE AS total_gb FROM {DT} WHERE start_time >= {L_SINCE} AND start_time < {L_UNTIL}",
     DT,
 )
 POLICIES = (
@@ -250,7 +250,7 @@ case(
 
 # ---- logins
 LOGINS = "w_login_history"
-E_RECENT = f"event_timestamp >= {E_SINCE}"
+E_RECENT = f"event_timestamp >= {E_SINCE} AND event_timestamp < {E_UNTIL}"
 BASE_CLIENT = (
     "CASE WHEN coalesce(trim(client_application_id), '') = '' THEN 'Unknown' "
     "ELSE regexp_replace(trim(client_application_id), '\\s+v?[0-9][0-9a-zA-Z.\\-]*$', '') END"
@@ -258,7 +258,7 @@ BASE_CLIENT = (
 case(
     "w_sessions_by_client",
     lambda t: logins.w_sessions_by_client(t["w_sessions"], EV),
-    f"SELECT {BASE_CLIENT} AS client_application_id, count(*) AS session_count FROM w_sessions WHERE created_on >= {E_SINCE} GROUP BY 1",
+    f"SELECT {BASE_CLIENT} AS client_application_id, count(*) AS session_count FROM w_sessions WHERE created_on >= {E_SINCE} AND created_on < {E_UNTIL} GROUP BY 1",
     "w_sessions",
 )
 OCTETS = "string_split({0}, '.')"
@@ -324,7 +324,7 @@ case(
 MLFLOW = (
     "SELECT (SELECT count(*) FROM l_experiments WHERE delete_time IS NULL) AS total_experiments, count(*) AS total_runs, "
     "CAST(sum(CASE WHEN status = 'FINISHED' THEN 1 ELSE 0 END) AS BIGINT) AS finished_runs FROM l_runs "
-    f"WHERE start_time >= {E_SINCE}"
+    f"WHERE start_time >= {E_SINCE} AND start_time < {E_UNTIL}"
 )
 case("l_mlflow_summary", lambda t: ai_usage.l_mlflow_summary(t["l_experiments"], t["l_runs"], EV), MLFLOW, "l_experiments", "l_runs")
 case(
@@ -334,7 +334,7 @@ case(
     ),
     "SELECT (SELECT count(*) FROM w_lifecycle WHERE deleted_on IS NULL) AS policies, count(*) AS total_requests, "
     "CAST(sum(coalesce(input_token_count, 0) + coalesce(output_token_count, 0)) AS BIGINT) AS total_tokens "
-    f"FROM l_endpoint_usage WHERE request_time >= {E_SINCE}",
+    f"FROM l_endpoint_usage WHERE request_time >= {E_SINCE} AND request_time < {E_UNTIL}",
     "l_endpoint_usage",
     "w_lifecycle",
 )
@@ -354,20 +354,20 @@ case(
     "l_serving_usage",
     lambda t: ai_usage.l_serving_usage(t["l_endpoint_usage"], EV),
     "SELECT count(*) AS total_requests, CAST(sum(coalesce(input_token_count, 0) + coalesce(output_token_count, 0)) AS BIGINT) AS total_tokens "
-    f"FROM l_endpoint_usage WHERE request_time >= {E_SINCE}",
+    f"FROM l_endpoint_usage WHERE request_time >= {E_SINCE} AND request_time < {E_UNTIL}",
     "l_endpoint_usage",
 )
 GATEWAY = (
     "SELECT coalesce(destination_type, 'UNKNOWN') AS destination_type, coalesce(destination_name, 'UNKNOWN') AS destination_name, "
     "count(*) AS request_count, CAST(sum(coalesce(total_tokens, 0)) AS BIGINT) AS total_tokens "
-    f"FROM l_gateway_usage g WHERE event_time >= {E_SINCE} GROUP BY 1, 2"
+    f"FROM l_gateway_usage g WHERE event_time >= {E_SINCE} AND event_time < {E_UNTIL} GROUP BY 1, 2"
 )
 case("l_ai_gateway", lambda t: ai_usage.l_ai_gateway(t["l_gateway_usage"], EV), GATEWAY, "l_gateway_usage")
 case(
     "l_ai_gateway_totals",
     lambda t: ai_usage.l_ai_gateway_totals(ai_usage.l_ai_gateway(t["l_gateway_usage"], EV)),
     "SELECT count(*) AS request_count, CAST(sum(coalesce(total_tokens, 0)) AS BIGINT) AS total_tokens "
-    f"FROM l_gateway_usage WHERE event_time >= {E_SINCE}",
+    f"FROM l_gateway_usage WHERE event_time >= {E_SINCE} AND event_time < {E_UNTIL}",
     "l_gateway_usage",
 )
 case(
@@ -376,7 +376,7 @@ case(
     "SELECT count(DISTINCT table_id) AS tables_monitored, count(*) AS check_runs, "
     "CAST(sum(CASE WHEN status = 'Healthy' THEN 1 ELSE 0 END) AS BIGINT) AS healthy_runs, "
     "round(sum(CASE WHEN status = 'Healthy' THEN 1 ELSE 0 END)::DOUBLE / count(*) * 100, 6) AS healthy_percent "
-    f"FROM l_quality_results WHERE event_time >= {E_SINCE}",
+    f"FROM l_quality_results WHERE event_time >= {E_SINCE} AND event_time < {E_UNTIL}",
     "l_quality_results",
 )
 case(

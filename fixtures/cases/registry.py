@@ -36,6 +36,7 @@ def _since(as_of: str, days: int) -> str:
 E_SINCE = _since(EVENTS_AS_OF, EVENTS_DAYS)
 O_SINCE = _since(ORDERS_AS_OF, ORDERS_DAYS)
 L_SINCE = _since(LINEITEM_AS_OF, LINEITEM_DAYS)
+E_UNTIL, O_UNTIL, L_UNTIL = (_since(as_of, 0) for as_of in (EVENTS_AS_OF, ORDERS_AS_OF, LINEITEM_AS_OF))
 GB = "1073741824.0"
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fixtures.cases.access import LIN, TS
 from fixtures.cases.activity import ACTOR, CLASSIFIED, CLUSTERS, EMPLOYEE, BUCKET, ENDPOINTS, LH, WH
 from fixtures.cases.inventory import BASE_CLIENT, DT, FRIENDLY, IP_LONG, STATEMENT, TASK_ROWS
-from fixtures.cases.registry import E_SINCE, EV, GB, O_SINCE, OR, case
+from fixtures.cases.registry import E_SINCE, E_UNTIL, EV, GB, O_SINCE, O_UNTIL, OR, case
 from fixtures.cases.users import DISPLAY, PRINCIPALS
 from fixtures.views import DOMAIN, EMPLOYEES, K, View, VIEWS
 from meterlens import functions as f
@@ -17,13 +17,13 @@ BL, AT = "w_billing", "w_attribution"
 case(
     "lookback_ts",
     lambda t: t[WH].filter(f.lookback_ts("start_time", EV.as_of, EV.days)).select("query_id"),
-    f"SELECT query_id FROM {WH} WHERE start_time >= {E_SINCE}",
+    f"SELECT query_id FROM {WH} WHERE start_time >= {E_SINCE} AND start_time < {E_UNTIL}",
     WH,
 )
 case(
     "lookback_date",
     lambda t: t[BL].filter(f.lookback_date("usage_date", OR.as_of, OR.days)).select("usage_date", "usage_type"),
-    f"SELECT usage_date, usage_type FROM {BL} WHERE usage_date >= CAST({O_SINCE} AS DATE)",
+    f"SELECT usage_date, usage_type FROM {BL} WHERE usage_date >= CAST({O_SINCE} AS DATE) AND usage_date < CAST({O_UNTIL} AS DATE)",
     BL,
 )
 case(

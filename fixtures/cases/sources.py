@@ -106,7 +106,7 @@ def billable(t):
 case("billable_usage_csv", billable, BILLABLE_ROWS, "l_usage")
 case(
     "l_real_billed_total",
-    lambda t: cost.l_real_billed_total(billable(t), cost.l_daily_cost(priced(t))),
+    lambda t: cost.l_real_billed_total(billable(t), cost.l_daily_cost(priced(t, "usage_date"))),
     REAL,
     *PV,
     ctes=REAL_CTES,
@@ -114,7 +114,7 @@ case(
 
 
 def _discount(t):
-    daily = cost.l_daily_cost(priced(t))
+    daily = cost.l_daily_cost(priced(t, "usage_date"))
     return cost.l_discount(cost.l_real_billed_total(billable(t), daily), daily)
 
 
@@ -156,7 +156,7 @@ case(
 )
 case(
     "data_span",
-    lambda t: ranking.data_span(cost.l_daily_cost(priced(t)), LI.days),
+    lambda t: ranking.data_span(cost.l_daily_cost(priced(t, "usage_date")), LI.days),
     "SELECT min(day) AS first_day, max(day) AS last_day, CAST(CAST(max(day) AS DATE) - CAST(min(day) AS DATE) + 1 AS INT) AS day_count FROM daily",
     *PV,
     ctes=PR | {"daily": L_DAILY},

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fixtures.cases.activity import ACTIVE_BY_TYPE, ACTOR, CLASSIFIED, EMPLOYEE, LH, RECENT, TYPED_CTES, USER_TYPES, WH
-from fixtures.cases.registry import E_SINCE, EV, case, day
+from fixtures.cases.registry import E_SINCE, E_UNTIL, EV, case, day
 from fixtures.views import DOMAIN, EMPLOYEES
 from meterlens.operators import access
 from meterlens.operators import users as u
@@ -59,7 +59,7 @@ case(
     ctes={"principals": PRINCIPALS},
 )
 
-AUDIT = f"event_date >= CAST({E_SINCE} AS DATE)"
+AUDIT = f"event_date >= CAST({E_SINCE} AS DATE) AND event_date < CAST({E_UNTIL} AS DATE)"
 DAILY_ACTIVE = (
     f"SELECT {day('event_time')} AS day, {ACTOR.format('email')} AS actor_type, count(DISTINCT email) AS distinct_users, "
     f"count(*) AS action_count FROM l_audit WHERE {AUDIT} GROUP BY 1, 2"

@@ -15,9 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENTS_AS_OF, EVENTS_DAYS = "2024-01-31", 20
-ORDERS_AS_OF, ORDERS_DAYS = "2001-08-02", 365
-LINEITEM_AS_OF, LINEITEM_DAYS = "2001-11-05", 365
+# every source has rows before and after its window
+EVENTS_AS_OF, EVENTS_DAYS = "2024-01-26", 20
+ORDERS_AS_OF, ORDERS_DAYS = "2001-06-15", 365
+LINEITEM_AS_OF, LINEITEM_DAYS = "2001-09-15", 365
 DOMAIN = "corp.example"
 EMPLOYEES = "Employees"
 ACCOUNT, CURRENCY = "AC1", "USD"

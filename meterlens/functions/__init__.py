@@ -25,12 +25,14 @@ from meterlens.functions.network import cidr_range, cross_region_flag, ipv4_to_l
 from meterlens.functions.numbers import (
     bytes_to_gb,
     count_where,
+    exact,
     ms_to_seconds,
     per_tb_to_per_gb,
     safe_percent,
     safe_ratio,
     seconds_to_hours,
     sum_double,
+    sum_exact,
     sum_long,
 )
 from meterlens.functions.timewindow import (

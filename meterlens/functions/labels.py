@@ -125,7 +125,7 @@ def friendly_task_type(task_key: ColumnLike) -> Column:
     key = col(task_key)
     labels = F.create_map(*[F.lit(x) for pair in TASK_LABELS.items() for x in pair])
     stem = F.regexp_replace(F.regexp_replace(key, "_task$", ""), "_+$", "")
-    words = F.transform(F.split(stem, "_"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20)))
+    words = F.transform(F.split(stem, "_"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2))))
     return F.coalesce(F.try_element_at(labels, key), F.array_join(words, " "))
 
 
@@ -142,7 +142,8 @@ def not_internal_schema(schema: ColumnLike) -> Column:
 
 
 def qualified_name(*parts: ColumnLike) -> Column:
-    return F.concat_ws(".", *[col(p) for p in parts])
+    """Parts joined by dots, NULL if one is NULL: a name with a gap could be that of another table."""
+    return F.concat(*[x for p in parts for x in (F.lit("."), col(p))][1:])
 
 
 def default_label(value: ColumnLike, label: str = UNKNOWN, blank_too: bool = False) -> Column:

@@ -11,6 +11,7 @@ BYTES_PER_GB = 1024.0**3
 MS_PER_SECOND = 1000.0
 SECONDS_PER_HOUR = 3600.0
 GB_PER_TB = 1024.0
+EXACT = "decimal(38,12)"
 
 
 def safe_ratio(a: ColumnLike, b: ColumnLike) -> Column:
@@ -43,13 +44,24 @@ def sum_long(c: ColumnLike) -> Column:
     return F.coalesce(F.sum(col(c)), F.lit(0)).cast("long")
 
 
-def sum_double(c: ColumnLike, digits: int = 6) -> Column:
-    """Floating sum where no input means 0.
+def exact(c: ColumnLike) -> Column:
+    """An amount as a decimal: sums of these do not depend on the order of tasks.  Too large, NaN or infinite is an error."""
+    return col(c).cast(EXACT)
 
-    Rounded to ``digits``: task order changes the last bits of a double sum, and
-    a report that is re-run (or a retried stage) must give the same money.
+
+def sum_exact(c: ColumnLike) -> Column:
+    """Decimal sum for folds that are folded further, NULL without input."""
+    return F.sum(exact(c))
+
+
+def sum_double(c: ColumnLike, digits: int | None = 6) -> Column:
+    """Sum of amounts where no input means 0: added as decimals, then cast and rounded once.
+
+    A report that is re-run, or partitioned in another way, gives the same money.  ``digits=None`` leaves
+    the sum as it is, for totals that are added up again.
     """
-    return F.round(F.coalesce(F.sum(col(c)), F.lit(0.0)), digits)
+    total = F.coalesce(sum_exact(c), F.lit(0)).cast("double")
+    return total if digits is None else F.round(total, digits)
 
 
 def count_where(condition: Column) -> Column:

@@ -22,22 +22,30 @@ def _as_datetime(as_of: str | date | datetime) -> datetime:
     return datetime.fromisoformat(as_of if isinstance(as_of, str) else as_of.isoformat())
 
 
+def _last_day(as_of: str | date | datetime) -> date:
+    """The last day with a moment before ``as_of``: the day before, if that is midnight."""
+    return (_as_datetime(as_of) - timedelta(microseconds=1)).date()
+
+
 def lookback_ts(ts: ColumnLike, as_of: str | date | datetime, days: int) -> Column:
-    """Rolling cut-off: ``ts >= as_of - days``."""
-    cutoff = _as_datetime(as_of) - timedelta(days=days)
-    return col(ts) >= F.lit(cutoff.isoformat(sep=" "))
+    """Rolling window: ``as_of - days <= ts < as_of``."""
+    end = _as_datetime(as_of)
+    return (col(ts) >= F.lit((end - timedelta(days=days)).isoformat(sep=" "))) & (col(ts) < F.lit(end.isoformat(sep=" ")))
 
 
 def lookback_date(day: ColumnLike, as_of: str | date | datetime, days: int) -> Column:
-    """Calendar cut-off: ``day >= date(as_of) - days``."""
+    """Calendar window: ``date(as_of) - days <= day``, and the day begins before ``as_of``.
+
+    At midnight the day of ``as_of`` is out, as for timestamps; later in the day it is in.
+    """
     cutoff = _as_datetime(as_of).date() - timedelta(days=days)
-    return col(day) >= F.lit(cutoff.isoformat())
+    return (col(day) >= F.lit(cutoff.isoformat())) & (col(day) <= F.lit(_last_day(as_of).isoformat()))
 
 
 def months_between(as_of: str | date | datetime, days: int) -> list[str]:
     """Every ``yyyy-MM`` that the lookback window touches, oldest first."""
-    last = _as_datetime(as_of).date()
-    first = last - timedelta(days=days)
+    last = _last_day(as_of)
+    first = _as_datetime(as_of).date() - timedelta(days=days)
     span = range(first.year * 12 + first.month - 1, last.year * 12 + last.month)
     return [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in span]
 
@@ -61,7 +69,7 @@ def month_of(ts: ColumnLike) -> Column:
 
 
 class Lookback(NamedTuple):
-    """The window of a report: everything in the ``days`` before ``as_of``."""
+    """The window of a report: everything in the ``days`` before ``as_of``, nothing from then on."""
 
     as_of: str | date | datetime
     days: int

@@ -77,11 +77,10 @@ def w_user_action_counts(events: DataFrame) -> DataFrame:
 def w_user_table_counts(events: DataFrame, user_types: DataFrame, domain: str, limit: int = 50) -> DataFrame:
     """Tables that service accounts use most; reading and writing one table in a query counts once.
 
-    Counted for everyone and then restricted: the semi join meets (user, table) rows, never the
-    events of a hot user.
+    Other users' events leave before the distinct count shuffles them.
     """
-    counts = distinct_queries(events, "user_name", "object_name")
-    return top_k(service_account_filter(counts, user_types, domain), limit, "distinct_queries", "user_name", "object_name")
+    counts = distinct_queries(service_account_filter(events, user_types, domain), "user_name", "object_name")
+    return top_k(counts, limit, "distinct_queries", "user_name", "object_name")
 
 
 def live_tables(table_storage: DataFrame) -> DataFrame:
@@ -129,9 +128,11 @@ def w_table_access_detail(
 ) -> DataFrame:
     """Reads and writes per table and user bucket, the busiest first, with the size of the table.
 
-    A query has one user, so its bucket is part of the distinct key.
+    A query has one user, so its bucket is part of the distinct key.  Tables are matched by their case-folded
+    name and shown under the smallest of the names they were used by.
     """
-    bucketed = _table_events(events).withColumn("user_name", bucket_people("user_name", domain, label))
+    used = _table_events(events)
+    bucketed = used.withColumn("user_name", bucket_people("user_name", domain, label))
     counts = (
         distinct_queries(bucketed, "match_name", "user_name", "action")
         .groupBy("match_name", "user_name")
@@ -139,8 +140,10 @@ def w_table_access_detail(
     )
     top = top_k(counts, limit, F.col("read_count") + F.col("write_count"), "match_name", "user_name")
     sizes = live_tables(table_storage).groupBy("match_name").agg(F.sum("active_bytes").alias("active_bytes"))
-    return attach_to_top(top, "match_name", sizes, "match_name", "active_bytes", "_bytes").select(
-        F.col("match_name").alias("qualified_name"),
+    names = used.select("match_name", "object_name")
+    named = attach_to_top(top, "match_name", sizes, "match_name", "active_bytes", "_bytes")
+    return attach_to_top(named, "match_name", names, "match_name", "object_name", "_name", F.min).select(
+        F.col("_name").alias("qualified_name"),
         bytes_to_gb(F.coalesce("_bytes", F.lit(0))).alias("active_gb"),
         "user_name",
         "read_count",

@@ -254,21 +254,32 @@ def l_compute_signals(rollup: DataFrame, endpoints: DataFrame, clusters: DataFra
 # ---- failures ----------------------------------------------------------------
 
 
-def _top_errors(failed: DataFrame, reason: Column, name: str, limit: int) -> DataFrame:
-    """The sample is the smallest message, which is stable; only failed rows reach this aggregate."""
-    counts = failed.groupBy(reason.alias(name)).agg(F.min("error_message").alias("sample_message"), _rows().alias("count"))
-    return top_k(counts, limit, "count", name)
+def _top_errors(failed: DataFrame, reason: Column, name: str, limit: int, message: Column) -> DataFrame:
+    """Reasons are counted by a hash aggregate; messages are read again for the ``limit`` that lead.
+
+    The sample is the smallest message, which is stable.  Minimums of text need a sort, which so meets
+    the failed rows of a few reasons only.
+    """
+    reasons = failed.select(reason.alias(name), message.alias("sample_message"))
+    top = top_k(reasons.groupBy(name).agg(_rows().alias("count")), limit, "count", name)
+    marks = F.broadcast(top.select(F.col(name).alias("_top")))
+    led = reasons.join(marks, F.col(name).eqNullSafe(F.col("_top")), "left_semi")
+    samples = led.groupBy(F.col(name).alias("_reason")).agg(F.min("sample_message").alias("sample_message"))
+    named = top.join(samples, F.col(name).eqNullSafe(F.col("_reason")), "left")
+    return top_k(named.select(name, "sample_message", "count"), limit, "count", name)
 
 
 def w_top_errors(log: DataFrame, window: Lookback, limit: int = 15) -> DataFrame:
     failed = log.filter(window.ts("start_time") & (F.col("execution_status") != "SUCCESS"))
-    top = _top_errors(failed, default_label("error_code", "UNKNOWN"), "error_code", limit)
+    # cut to the length that is shown before the minimum, which gives the same one
+    cut = F.when(F.col("error_message").isNotNull(), sample_message("error_message"))
+    top = _top_errors(failed, default_label("error_code", "UNKNOWN"), "error_code", limit, cut)
     return top.withColumn("sample_message", sample_message("sample_message"))
 
 
 def l_top_errors(log: DataFrame, window: Lookback, limit: int = 15) -> DataFrame:
     failed = log.filter(window.ts("start_time") & (F.col("execution_status") == "FAILED"))
-    return _top_errors(failed, error_class("error_message"), "error_class", limit)
+    return _top_errors(failed, error_class("error_message"), "error_class", limit, F.col("error_message"))
 
 
 def failure_rate(exec_stats: DataFrame) -> DataFrame:
@@ -298,10 +309,10 @@ def w_total_credits(metering: DataFrame, window: Lookback) -> DataFrame:
     return metering.filter(window.ts("start_time")).agg(sum_double("credits_used").alias("total_credits"))
 
 
-def w_credits_by_warehouse(metering: DataFrame, window: Lookback, limit: int | None = 15) -> DataFrame:
+def w_credits_by_warehouse(metering: DataFrame, window: Lookback, limit: int | None = 15, digits: int | None = 6) -> DataFrame:
     credits = (
         metering.filter(window.ts("start_time"))
         .groupBy("warehouse_name")
-        .agg(sum_double("credits_used").alias("total_credits"))
+        .agg(sum_double("credits_used", digits).alias("total_credits"))
     )
     return credits if limit is None else top_k(credits, limit, "total_credits", "warehouse_name")

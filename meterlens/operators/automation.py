@@ -167,8 +167,8 @@ def l_daily_job_runs(job_runs: DataFrame, window: Lookback) -> DataFrame:
     return daily.withColumn("day", day_of("day"))
 
 
-def l_task_types(payloads: DataFrame, job_rollup: DataFrame, limit: int = 20) -> DataFrame:
-    """Task kinds of the top jobs; at most ``limit`` job ids are broadcast to the payloads."""
-    top = F.broadcast(l_top_jobs(job_rollup, limit).select("job_id"))
-    tasks = job_tasks_from_json(payloads.join(top, "job_id", "left_semi"))
+def l_task_types(payloads: DataFrame, job_rollup: DataFrame, limit: int | None = None) -> DataFrame:
+    """Task kinds of all jobs that ran, or of the ``limit`` busiest; only then are their ids broadcast."""
+    ran = job_rollup.select("job_id") if limit is None else F.broadcast(l_top_jobs(job_rollup, limit).select("job_id"))
+    tasks = job_tasks_from_json(payloads.join(ran, "job_id", "left_semi"))
     return tasks.groupBy(friendly_task_type("task_type").alias("task_type")).agg(F.count(F.lit(1)).alias("count"))

@@ -16,6 +16,7 @@ from meterlens.functions import (
     per_tb_to_per_gb,
     safe_ratio,
     sum_double,
+    sum_exact,
 )
 from meterlens.operators.lookup import attach
 from meterlens.operators.ranking import top_k, top_n_with_other
@@ -53,7 +54,7 @@ def w_monthly_bill(bill: DataFrame) -> DataFrame:
 
 def w_rate_per_credit(bill: DataFrame, total_credits: DataFrame) -> DataFrame:
     """One row: billed compute USD per credit, 0 without credits."""
-    compute = F.coalesce(F.sum(F.when(F.col("usage_type") == COMPUTE_USAGE, F.col("usd"))), F.lit(0.0))
+    compute = sum_double(F.when(F.col("usage_type") == COMPUTE_USAGE, F.col("usd")), None)
     return bill.agg(compute.alias("compute_usd")).select(
         F.round(safe_ratio("compute_usd", total_credits.scalar()), 9).alias("usd_per_credit")
     )
@@ -104,7 +105,7 @@ def wasted_compute_cost(exec_stats: DataFrame, credits_by_warehouse: DataFrame,
     )
     # both times are in ms, so their ratio needs no conversion
     lost_credits = F.col("failed_exec_ms") * safe_ratio(F.coalesce("total_credits", F.lit(0.0)), "total_exec_ms")
-    return joined.agg(F.coalesce(F.sum(lost_credits), F.lit(0.0)).alias("lost")).select(
+    return joined.agg(sum_double(lost_credits, None).alias("lost")).select(
         F.round(F.col("lost") * _rate(rate), 6).alias("wasted_compute_cost_usd")
     )
 
@@ -152,34 +153,25 @@ def w_cost_basis(
 # ---- lakehouse: priced usage -------------------------------------------------
 
 
-# Slices that a hot SKU is cut into should the pricing join have to shuffle.
-SKU_SLICES = 8
+def _at_list_price(usage: DataFrame, list_prices: DataFrame, extra_keys: Sequence[str]) -> DataFrame:
+    """Usage aliased ``u`` with the price ``p`` in force when it started; usage without a price drops out."""
+    u, p = usage.alias("u"), list_prices.alias("p")
+    start, end, at = F.col("p.price_start_time"), F.col("p.price_end_time"), F.col("u.usage_start_time")
+    condition = (at >= start) & (end.isNull() | (at < end))
+    for key in ("sku_name", *extra_keys):
+        condition = condition & (F.col(f"u.{key}") == F.col(f"p.{key}"))
+    return u.join(p, condition)
 
 
-def priced_usage(
-    usage: DataFrame,
-    list_prices: DataFrame,
-    window: Lookback,
-    extra_keys: Sequence[str] = (),
-    slices: int = SKU_SLICES,
-) -> DataFrame:
-    """Usage at the list price in force when it started; usage without a price drops out.
+def priced_usage(usage: DataFrame, list_prices: DataFrame, window: Lookback, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Usage, row by row, at the list price in force when it started.
 
     An equi join on the SKU with the validity interval as residual condition.  Price lists are
-    small, so Spark broadcasts them when their size is under its threshold.  Beyond it both sides
-    shuffle: the key then includes a slice of the usage, each slice meeting a copy of the price
-    list, so that no task gets all rows of a hot SKU.  ``extra_keys`` (cloud, currency ...) must
-    exist on both sides.
+    small, so Spark broadcasts them when their size is under its threshold; beyond it both sides
+    shuffle and AQE splits a hot SKU.  Sums do not need the rows: see :func:`l_cost_rollup`.
+    ``extra_keys`` (cloud, currency ...) must exist on both sides.
     """
-    sliced = F.pmod(F.xxhash64("usage_start_time", "usage_quantity", "identity_metadata.run_as"), F.lit(slices))
-    u = usage.filter(window.date("usage_date")).withColumn("_slice", sliced.cast("int")).alias("u")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    p = list_prices.withColumn("_slice", copies).alias("p")
-    start, end, at = F.col("p.price_start_time"), F.col("p.price_end_time"), F.col("u.usage_start_time")
-    condition = (at >= start) & (end.isNull() | (at < end))
-    for key in ("sku_name", "_slice", *extra_keys):
-        condition = condition & (F.col(f"u.{key}") == F.col(f"p.{key}"))
-    return u.join(p, condition).select(
+    return _at_list_price(usage.filter(window.date("usage_date")), list_prices, extra_keys).select(
         "u.usage_date",
         "u.sku_name",
         F.col("u.billing_origin_product").alias("product"),
@@ -192,11 +184,23 @@ def priced_usage(
 COST_KEYS = ("usage_date", "sku_name", "product", "run_as")
 
 
-def l_cost_rollup(priced: DataFrame, *keys: str) -> DataFrame:
-    """Daily grain that all five cost tables fold further, so that usage is priced once."""
-    return priced.groupBy(*(keys or COST_KEYS)).agg(
-        F.sum("usd").alias("usd"), F.sum("dbu_quantity").alias("dbu_quantity")
-    )
+def l_cost_rollup(
+    usage: DataFrame, list_prices: DataFrame, window: Lookback, *keys: str, extra_keys: Sequence[str] = ()
+) -> DataFrame:
+    """Cost and quantity per ``keys`` (by default the daily grain that all cost tables fold further).
+
+    Quantity is linear in the price, so usage is folded to its SKU and start time first: the log is read once,
+    with the columns of ``keys`` only, and combined on the map side however hot a SKU is; the pricing join
+    meets one row per start time and key.
+    """
+    keys = keys or COST_KEYS
+    columns = {"product": F.col("billing_origin_product"), "run_as": F.col("identity_metadata.run_as")}
+    grain = dict.fromkeys((*keys, "sku_name", "usage_start_time", *extra_keys))
+    rows = usage.filter(window.date("usage_date")).select(*[columns.get(k, F.col(k)).alias(k) for k in grain], "usage_quantity")
+    folded = rows.groupBy(*grain).agg(sum_exact("usage_quantity").alias("dbu_quantity"))
+    usd = F.col("u.dbu_quantity").cast("double") * F.col("p.pricing.default")
+    priced = _at_list_price(folded, list_prices, extra_keys).select(*[f"u.{k}" for k in keys], usd.alias("usd"), "u.dbu_quantity")
+    return priced.groupBy(*keys).agg(sum_exact("usd").alias("usd"), sum_exact("dbu_quantity").alias("dbu_quantity"))
 
 
 def l_daily_cost(priced: DataFrame) -> DataFrame:
@@ -217,7 +221,7 @@ def l_daily_cost_by_product(priced: DataFrame) -> DataFrame:
 
 def l_user_cost(priced: DataFrame, principals: DataFrame, domain: str, label: str) -> DataFrame:
     """Cost of every displayed identity; unattributed usage is left out, so it sums below the total."""
-    per_identity = priced.filter(F.col("run_as").isNotNull()).groupBy("run_as").agg(F.sum("usd").alias("usd"))
+    per_identity = priced.filter(F.col("run_as").isNotNull()).groupBy("run_as").agg(sum_exact("usd").alias("usd"))
     named = attach(per_identity, "run_as", principals, "id", "name", "_name")
     return named.groupBy(display_name("run_as", "_name", domain, label).alias("actor")).agg(sum_double("usd").alias("usd"))
 
@@ -259,7 +263,7 @@ def l_real_billed_total(billable: DataFrame, daily_cost: DataFrame) -> DataFrame
 
 def l_discount(real_billed: DataFrame, daily_cost: DataFrame) -> DataFrame:
     """One row: billed over list price, and the discount in percent; NULL without a billed total."""
-    listed = daily_cost.agg(F.sum("usd")).scalar()
+    listed = daily_cost.agg(sum_exact("usd").cast("double")).scalar()
     ratio = real_billed.withColumn("_ratio", F.col("real_total_usd") / F.nullif(listed, F.lit(0.0)))
     return ratio.select(
         F.round("_ratio", 6).alias("real_billed_discount_ratio"),

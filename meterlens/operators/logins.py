@@ -45,8 +45,8 @@ def login_channel(by_ip: DataFrame, policies: DataFrame) -> DataFrame:
     networks = policies.select("channel", "priority", cidr_prefix("cidr").alias("prefix"), low.alias("base")).filter(
         F.col("base").isNotNull()
     )
-    first = networks.groupBy("prefix", "base").agg(F.min("priority").alias("priority"))
-    channels = networks.groupBy("priority").agg(F.min("channel").alias("channel"))
+    # the channel goes with its priority: policies may share one
+    first = networks.groupBy("prefix", "base").agg(F.min(F.struct("priority", "channel")).alias("policy"))
     prefixes = networks.select(F.collect_set("prefix")).scalar()
 
     address = by_ip.select("client_ip", "login_count", ipv4_to_long("client_ip").alias("address"))
@@ -56,8 +56,8 @@ def login_channel(by_ip: DataFrame, policies: DataFrame) -> DataFrame:
         blocks.withColumn("base", network_base("address", "prefix"))
         .join(first, ["prefix", "base"], "left")
         .groupBy("client_ip")
-        .agg(F.max("login_count").alias("login_count"), F.min("priority").alias("priority"))
-        .join(channels, "priority", "left")
+        .agg(F.max("login_count").alias("login_count"), F.min("policy").alias("policy"))
+        .select("client_ip", "login_count", "policy.channel")
     )
     return matched.select("client_ip", _channel_label().alias("channel"), "login_count")
 

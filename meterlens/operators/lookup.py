@@ -6,33 +6,41 @@ size hint is given unless the rows themselves are bounded by a top-k.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.functions import compute_name
 
+Pick = Callable[[str], Column]
+
 
-def lookup_map(dimension: DataFrame, key: str, value: str) -> DataFrame:
+def lookup_map(dimension: DataFrame, key: str, value: str, pick: Pick = F.max) -> DataFrame:
     """One row per key: a repeated key would multiply the rows it is joined to."""
-    return dimension.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
+    return dimension.filter(F.col(key).isNotNull()).groupBy(key).agg(pick(value).alias(value))
 
 
-def attach(rows: DataFrame, key: str, dimension: DataFrame, dim_key: str, dim_value: str, alias: str) -> DataFrame:
+def attach(
+    rows: DataFrame, key: str, dimension: DataFrame, dim_key: str, dim_value: str, alias: str, pick: Pick = F.max
+) -> DataFrame:
     """Left join one dimension column on as ``alias``."""
-    names = lookup_map(dimension, dim_key, dim_value).select(
+    names = lookup_map(dimension, dim_key, dim_value, pick).select(
         F.col(dim_key).alias(f"_{alias}_key"), F.col(dim_value).alias(alias)
     )
     return rows.join(names, F.col(key) == F.col(f"_{alias}_key"), "left").drop(f"_{alias}_key")
 
 
-def attach_to_top(rows: DataFrame, key: str, dimension: DataFrame, dim_key: str, dim_value: str, alias: str) -> DataFrame:
+def attach_to_top(
+    rows: DataFrame, key: str, dimension: DataFrame, dim_key: str, dim_value: str, alias: str, pick: Pick = F.max
+) -> DataFrame:
     """Like :func:`attach` for rows bounded by a top-k: the dimension is first cut down to their keys.
 
     Worth it where the dimension is itself folded from a large table.  The rows are read twice,
     which shares their shuffle only if the ranking needs every column of them.
     """
     wanted = F.broadcast(rows.select(F.col(key).alias(dim_key)).distinct())
-    return attach(rows, key, dimension.join(wanted, dim_key, "left_semi"), dim_key, dim_value, alias)
+    return attach(rows, key, dimension.join(wanted, dim_key, "left_semi"), dim_key, dim_value, alias, pick)
 
 
 def semi_filter(rows: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:

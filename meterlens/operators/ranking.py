@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlens.functions import is_adjustment
+from meterlens.functions import exact, is_adjustment, sum_double, sum_exact
 from meterlens.functions._cols import ColumnLike, col
 
 OTHER = "Other"
@@ -54,9 +54,7 @@ def fold_others(
     marks = kept.select(F.col(key).alias("_kept_key"), F.lit(True).alias("_kept"))
     marked = rows.join(F.broadcast(marks), F.col(key).eqNullSafe(F.col("_kept_key")), "left")
     named = F.coalesce(F.col("_kept"), F.lit(False))
-    total = F.sum(value)
-    if dict(rows.dtypes)[value] == "double":
-        total = F.round(total, digits)
+    total = sum_double(value, digits) if dict(rows.dtypes)[value] == "double" else F.sum(value)
     return (
         marked.select(*dims, F.col(value), named.alias("_named"), F.when(named, F.col(key)).otherwise(label).alias(key))
         .groupBy(*dims, "_named", key)
@@ -77,22 +75,22 @@ def top_n_trend(
 ) -> DataFrame:
     """A series per top key and one for all others.  ``totals`` ranks the keys, by default their sum."""
     if totals is None:
-        totals, measure = rows.groupBy(key).agg(F.sum(value).alias("_total")), "_total"
+        money = dict(rows.dtypes)[value] == "double"
+        totals, measure = rows.groupBy(key).agg((sum_exact(value) if money else F.sum(value)).alias("_total")), "_total"
     return fold_others(rows, kept_keys(totals, key, measure, n, keep_one_over=False), key, value, dims)
 
 
 def cumulative_cost(daily: DataFrame, day: str = "day", value: str = "usd", digits: int = 6) -> DataFrame:
     """Running total; the input has one row per calendar day, so the single ordered window stays short."""
-    running = F.sum(value).over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return daily.select(day, F.round(running, digits).alias(value))
+    running = sum_exact(value).over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return daily.select(day, F.round(running.cast("double"), digits).alias(value))
 
 
 def latest_snapshot(rows: DataFrame, key: str, date: str, value: str, digits: int = 6) -> DataFrame:
     """Per key, the sum of its rows on its own latest date."""
-    per_date = rows.groupBy(key, date).agg(F.sum(value).alias("_sum"))
-    return per_date.groupBy(key).agg(
-        F.max(date).alias(date), F.round(F.coalesce(F.max_by("_sum", date), F.lit(0.0)), digits).alias(value)
-    )
+    per_date = rows.groupBy(key, date).agg(sum_exact(value).alias("_sum"))
+    last = F.coalesce(F.max_by("_sum", date), F.lit(0)).cast("double")
+    return per_date.groupBy(key).agg(F.max(date).alias(date), F.round(last, digits).alias(value))
 
 
 def monthly_bill_pivot(
@@ -111,7 +109,9 @@ def monthly_bill_pivot(
     their own row.  The month list comes from the report window, so no job runs to find it.
     """
     adjustment = is_adjustment(item) if adjustments_apart else F.lit(False)
-    lines = bill.select(F.col(item).alias("line_item"), adjustment.alias("is_adjustment"), month, value)
+    # a month outside the list has no column and is in no total either
+    listed = F.when(F.col(month).isin(*months), F.col(value))
+    lines = bill.select(F.col(item).alias("line_item"), adjustment.alias("is_adjustment"), month, exact(listed).alias(value))
     # adjustments rank last instead of being filtered out: a filter would be pushed below the bill's
     # own aggregate and the bill computed twice instead of its shuffle being shared
     totals = lines.groupBy("line_item", "is_adjustment").agg(F.sum(value).alias("_total"))
@@ -123,11 +123,11 @@ def monthly_bill_pivot(
         F.when(named, F.col("line_item")).otherwise(OTHER).alias("line_item"), "is_adjustment", named.alias("_named"), month, value
     )
     cells = [
-        F.round(F.coalesce(F.sum(F.when(F.col(month) == m, F.col(value))), F.lit(0.0)), digits).alias(m) for m in months
+        sum_double(F.when(F.col(month) == m, F.col(value)), digits).alias(m) for m in months
     ]
     keys = [F.col("line_item"), F.col("is_adjustment"), F.col("_named")]
     grid = labelled.groupingSets([keys, []], *keys).agg(
-        F.grouping("line_item").alias("_is_total"), F.round(F.sum(value), digits).alias("total"), *cells
+        F.grouping("line_item").alias("_is_total"), sum_double(value, digits).alias("total"), *cells
     )
     is_total = F.col("_is_total") == 1
     return grid.select(

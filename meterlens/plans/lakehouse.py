@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlens.functions import sum_double
 from meterlens.operators import access, activity, ai_usage, automation, cost, inventory, storage, users
 from meterlens.operators.ranking import merge_one_row, monthly_bill_pivot
 from meterlens.plans.settings import Inputs, ReportSettings, Stage, no_stage
@@ -20,7 +21,7 @@ def overview(query_totals: DataFrame, daily_cost: DataFrame, real_billed: DataFr
     """The headline row; the billed total is NULL where no export covers the window."""
     parts = [
         query_totals,
-        daily_cost.agg(F.round(F.coalesce(F.sum("usd"), F.lit(0.0)), 6).alias("total_cost_usd")),
+        daily_cost.agg(sum_double("usd").alias("total_cost_usd")),
     ]
     if real_billed is not None:
         parts.append(real_billed.select("real_total_usd"))
@@ -40,9 +41,8 @@ def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no
 
     log, log_window = inputs["l_query_history"], w("l_query_history")
     compute = stage("compute_rollup", activity.l_compute_rollup(log, log_window))
-    priced = cost.priced_usage(inputs["l_usage"], inputs["l_list_prices"], w("l_usage"))
     # five cost tables, one pricing join
-    costs = stage("cost_rollup", cost.l_cost_rollup(priced))
+    costs = stage("cost_rollup", cost.l_cost_rollup(inputs["l_usage"], inputs["l_list_prices"], w("l_usage")))
     daily_cost, by_sku = cost.l_daily_cost(costs), cost.l_cost_by_sku(costs)
     monthly = cost.l_monthly_cost_by_sku(costs)
     user_cost = cost.l_user_cost(costs, principals, domain, label)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.functions import Lookback, sum_long
+from meterlens.functions import Lookback, sum_double, sum_long
 from meterlens.operators import access, activity, automation, cost, inventory, logins, storage, users
 from meterlens.operators.ranking import cumulative_cost, data_span, merge_one_row, monthly_bill_pivot, top_k
 from meterlens.plans.settings import Inputs, ReportSettings, Stage, no_stage
@@ -45,7 +45,7 @@ def _activity(inputs: Inputs, settings: ReportSettings, stage: Stage) -> Report:
     by_warehouse = activity.fold_cube(cube, "warehouse_name")
     with_database = cube.filter(F.col("database_name").isNotNull())
     by_database = with_database.groupBy("day", "database_name").agg(sum_long("query_count").alias("query_count"))
-    credits = stage("credits_by_warehouse", activity.w_credits_by_warehouse(metering, metering_window, limit=None))
+    credits = stage("credits_by_warehouse", activity.w_credits_by_warehouse(metering, metering_window, limit=None, digits=None))
     exec_stats = activity.w_exec_stats(by_warehouse)
     return {
         "query_cube": cube,
@@ -62,8 +62,8 @@ def _activity(inputs: Inputs, settings: ReportSettings, stage: Stage) -> Report:
         "daily_duration": activity.w_daily_duration(log, window),
         "daily_credits": activity.w_daily_credits(metering, metering_window),
         "all_credits_by_warehouse": credits,
-        "credits_by_warehouse": top_k(credits, 15, "total_credits", "warehouse_name"),
-        "total_credits": credits.agg(F.round(F.coalesce(F.sum("total_credits"), F.lit(0.0)), 6).alias("total_credits")),
+        "credits_by_warehouse": top_k(credits, 15, "total_credits", "warehouse_name").withColumn("total_credits", F.round("total_credits", 6)),
+        "total_credits": credits.agg(sum_double("total_credits").alias("total_credits")),
         "active_user_count": users.w_active_user_count(inputs["w_users"]),
     }
 

@@ -15,6 +15,8 @@ PLAN_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # days of a report per task before a percentile aggregate falls back to sorting the log
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 # Cluster start values: many small shuffle partitions that AQE merges to the advisory size.
@@ -45,9 +47,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) does it fall back to a local temporary folder.
+    Only a local session that names none (tests) falls back to a temporary folder; on a cluster each
+    executor would write to its own disk, so there it is an error.  The folders below it belong to the
+    caller, who removes them when the results are read.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if shared:
         return f"{shared.rstrip('/')}/meterlens/{purpose}-{uuid.uuid4().hex}"
     return f"{tempfile.mkdtemp(prefix='meterlens-')}/{purpose}"

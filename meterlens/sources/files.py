@@ -14,10 +14,13 @@ STORAGE_BEARING = ("MANAGED", "EXTERNAL", "STREAMING_TABLE", "MATERIALIZED_VIEW"
 
 
 def billable_usage_csv(spark: SparkSession, path: str) -> DataFrame | None:
-    """Daily billed usage exported as ``timestamp,dbus,dollars``; ``None`` if there is no export."""
+    """Daily billed usage exported as ``timestamp,dbus,dollars``; ``None`` if there is no export.
+
+    A header with other names or another order is an error, not swapped columns.
+    """
     if not path_exists(spark, path):
         return None
-    rows = spark.read.schema(schema("l_billable_csv")).option("header", "true").csv(path)
+    rows = spark.read.schema(schema("l_billable_csv")).option("header", "true").option("enforceSchema", "false").csv(path)
     return rows.select(F.to_date(F.substring("timestamp", 1, 10)).alias("usage_date"), "dbus", "dollars")
 
 

@@ -13,21 +13,26 @@ from pyspark.sql import functions as F
 from meterlens.functions import not_deleted, yes_no_to_bool
 from meterlens.schemas import SchemaMismatch, conform, schema
 
+JDBC_PARTITIONING = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
 
 def scan_usage_table(
     spark: SparkSession, table: str, location: str, fmt: str = "parquet", **options: str
 ) -> DataFrame:
     """Open a usage table and check it against its declared schema.
 
-    ``fmt="table"`` reads a catalog table, ``fmt="jdbc"`` a live source (give
-    ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` so that it is read in
-    parallel); any other format is a path.  Filters and column lists of the operators on top
+    ``fmt="table"`` reads a catalog table, ``fmt="jdbc"`` a live source (which needs
+    ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``, else one task would read
+    it all); any other format is a path.  Filters and column lists of the operators on top
     reach the scan, so no SQL is written by hand.
     """
     reader = spark.read.options(**options)
     if fmt == "table":
         df = reader.table(location)
     elif fmt == "jdbc":
+        missing = [o for o in JDBC_PARTITIONING if o.lower() not in {k.lower() for k in options}]
+        if missing:
+            raise ValueError(f"a JDBC source is read in parallel only with {', '.join(missing)}")
         df = reader.format("jdbc").option("dbtable", location).load()
     else:
         df = reader.format(fmt).load(location)

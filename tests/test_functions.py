@@ -24,7 +24,8 @@ def test_lookback_is_inclusive_at_the_cut_off(spark, kind):
     df = spark.sql(
         f"SELECT CAST(x AS {kind}) AS ts FROM VALUES ('2024-01-10 23:59:59.999'), ('2024-01-11 00:00:00'), ('2024-02-01') AS t(x)"
     )
-    assert df.filter(f.lookback_ts("ts", "2024-01-31", 20)).count() == 2
+    assert df.filter(f.lookback_ts("ts", "2024-01-31", 20)).count() == 1
+    assert df.filter(f.lookback_ts("ts", "2024-02-01 00:00:01", 22)).count() == 3
 
 
 def test_lookback_date_ignores_the_time_of_as_of(spark):
