@@ -26,6 +26,7 @@ from fixtures.cases.users import DAILY_ACTIVE
 from fixtures.views import DOMAIN
 from meterlens.operators import activity, automation, cost, inventory, storage, users
 from meterlens.plans import comparison, lakehouse, summary, warehouse
+from meterlens.plans.settings import stage_to
 from meterlens.session import scratch_dir
 from meterlens.sources import read_summary_json, user_types, write_summary_json
 
@@ -76,11 +77,14 @@ case("w_platform_summary", _w_summary, W_SUMMARY, *W_VIEWS, ctes=W_CTES)
 
 
 def _l_summary(t):
-    costs = priced(t, "usage_date", "sku_name")
+    """From staged rollups, one pass over each log."""
+    stage = stage_to(scratch_dir(t.spark, "summary-rollups"))
+    costs = stage("costs", priced(t, "usage_date", "sku_name"))
+    cube = stage("query_cube", activity.l_query_cube(t[LH], EV))
     daily = cost.l_daily_cost(costs)
     return summary.l_platform_summary(
-        activity.l_compute_rollup(t[LH], EV),
-        activity.l_overview(t[LH], EV),
+        activity.l_fold_compute(cube),
+        activity.query_totals(activity.l_fold_users(cube), "executed_by"),
         users.l_daily_active_users(users.l_audit_rollup(t["l_audit"], EV)),
         daily,
         cost.l_cost_by_sku(costs),
@@ -123,13 +127,7 @@ L_CTES = (
 case("l_platform_summary", _l_summary, L_SUMMARY, *L_VIEWS, ctes=L_CTES)
 
 
-def _summary_json(t):
-    path = scratch_dir(t.spark, "summary")
-    write_summary_json(_w_summary(t), path)
-    return read_summary_json(t.spark, path)
-
-
-case("summary_json", _summary_json, W_SUMMARY, *W_VIEWS, ctes=W_CTES)
+case("summary_json", lambda t: _stored(t, "summary", _w_summary(t)), W_SUMMARY, *W_VIEWS, ctes=W_CTES)
 case(
     "overview",
     lambda t: warehouse.overview(
@@ -178,8 +176,15 @@ PROJECTION = (
 )
 
 
+def _stored(t, name, row):
+    path = scratch_dir(t.spark, name)
+    write_summary_json(row, path)
+    return read_summary_json(t.spark, path)
+
+
 def _both(t):
-    return _w_summary(t), _l_summary(t)
+    """The two summaries as their reports leave them."""
+    return _stored(t, "summary-w", _w_summary(t)), _stored(t, "summary-l", _l_summary(t))
 
 
 case(

@@ -205,27 +205,50 @@ def w_failed_waste(exec_stats: DataFrame, limit: int | None = 15) -> DataFrame:
     return waste if limit is None else top_k(waste, limit, "wasted_seconds", "warehouse_name")
 
 
-def l_compute_rollup(log: DataFrame, window: Lookback) -> DataFrame:
-    """One pass over the log for both measures of every compute; failed means status ``FAILED``."""
+COMPUTE_KEYS = ("compute_type", "warehouse_id", "cluster_id")
+
+
+def _compute_keys() -> list[Column]:
+    return [F.col(f"compute.{c}").alias(k) for c, k in zip(("type", "warehouse_id", "cluster_id"), COMPUTE_KEYS, strict=True)]
+
+
+def _compute_measures() -> list[Column]:
+    """Additive measures of the query log; failed means status ``FAILED``."""
     failed = F.col("execution_status") == "FAILED"
-    return (
-        log.filter(window.ts("start_time"))
-        .groupBy(
-            F.col("compute.type").alias("compute_type"),
-            F.col("compute.warehouse_id").alias("warehouse_id"),
-            F.col("compute.cluster_id").alias("cluster_id"),
-        )
-        .agg(
-            _rows().alias("query_count"),
-            sum_long("total_duration_ms").alias("total_exec_ms"),
-            count_where(failed).alias("failed_count"),
-            sum_long(F.when(failed, F.col("total_duration_ms"))).alias("failed_exec_ms"),
-            count_where(F.col("spilled_local_bytes") > 0).alias("queries_with_spill"),
-            sum_long("spilled_local_bytes").alias("total_spilled_bytes"),
-            count_where(F.col("waiting_for_compute_duration_ms") > 0).alias("queries_with_queueing"),
-            sum_long("waiting_for_compute_duration_ms").alias("total_queued_ms"),
-        )
-    )
+    return [
+        _rows().alias("query_count"),
+        sum_long("total_duration_ms").alias("total_exec_ms"),
+        count_where(failed).alias("failed_count"),
+        sum_long(F.when(failed, F.col("total_duration_ms"))).alias("failed_exec_ms"),
+        count_where(F.col("spilled_local_bytes") > 0).alias("queries_with_spill"),
+        sum_long("spilled_local_bytes").alias("total_spilled_bytes"),
+        count_where(F.col("waiting_for_compute_duration_ms") > 0).alias("queries_with_queueing"),
+        sum_long("waiting_for_compute_duration_ms").alias("total_queued_ms"),
+    ]
+
+
+def l_compute_rollup(log: DataFrame, window: Lookback) -> DataFrame:
+    """One pass over the log for both measures of every compute."""
+    return log.filter(window.ts("start_time")).groupBy(*_compute_keys()).agg(*_compute_measures())
+
+
+def l_query_cube(log: DataFrame, window: Lookback) -> DataFrame:
+    """The log folded to (day, identity, compute): the one pass that a report needs.
+
+    Volume, users, computes and service accounts are folds of it.
+    """
+    rows = _with_day(log.filter(window.ts("start_time")), "start_time")
+    ends = F.min("start_time").alias("first"), F.max("start_time").alias("last")
+    return _day_text(rows.groupBy("day", "executed_by", *_compute_keys()).agg(*_compute_measures(), *ends))
+
+
+def l_fold_compute(cube: DataFrame) -> DataFrame:
+    measures = [c for c in cube.columns if c not in ("day", "executed_by", "first", "last", *COMPUTE_KEYS)]
+    return cube.groupBy(*COMPUTE_KEYS).agg(*[sum_long(m).alias(m) for m in measures])
+
+
+def l_fold_users(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("day", "executed_by").agg(sum_long("query_count").alias("query_count"))
 
 
 def l_compute_exec_stats(rollup: DataFrame, endpoints: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -109,19 +109,30 @@ def _run_counts():
     return F.count(F.lit(1)).alias("total_runs"), count_where(ok).alias("succeeded")
 
 
-def l_job_rollup(job_runs: DataFrame, window: Lookback) -> DataFrame:
-    runs, succeeded = _run_counts()
-    rollup = (
-        job_runs.filter(window.ts("period_start_time"))
-        .groupBy("job_id")
-        .agg(
-            runs,
-            succeeded,
-            F.avg("execution_duration_seconds").alias("avg_seconds"),
-            sum_long("execution_duration_seconds").alias("total_seconds"),
-        )
+def l_job_cube(job_runs: DataFrame, window: Lookback) -> DataFrame:
+    """Runs per (day, job): job and daily measures are folds of it."""
+    rows = job_runs.filter(window.ts("period_start_time"))
+    return rows.groupBy(F.to_date("period_start_time").alias("day"), "job_id").agg(
+        *_run_counts(),
+        sum_long("execution_duration_seconds").alias("total_seconds"),
+        F.count("execution_duration_seconds").alias("timed_runs"),
     )
-    return rollup.withColumn("failed", F.col("total_runs") - F.col("succeeded"))
+
+
+def l_fold_jobs(cube: DataFrame) -> DataFrame:
+    measures = ("total_runs", "succeeded", "total_seconds", "timed_runs")
+    rollup = cube.groupBy("job_id").agg(*[sum_long(m).alias(m) for m in measures])
+    average = F.when(F.col("timed_runs") > 0, F.col("total_seconds") / F.col("timed_runs"))
+    return rollup.withColumns({"avg_seconds": average, "failed": F.col("total_runs") - F.col("succeeded")}).drop("timed_runs")
+
+
+def l_days_of_jobs(cube: DataFrame) -> DataFrame:
+    daily = cube.groupBy("day").agg(sum_long("total_runs").alias("total_runs"), sum_long("succeeded").alias("succeeded"))
+    return daily.withColumn("day", day_of("day"))
+
+
+def l_job_rollup(job_runs: DataFrame, window: Lookback) -> DataFrame:
+    return l_fold_jobs(l_job_cube(job_runs, window))
 
 
 def l_top_jobs(job_rollup: DataFrame, limit: int = 20) -> DataFrame:

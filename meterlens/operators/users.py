@@ -125,6 +125,20 @@ def l_service_account_stats(
         .groupBy("executed_by", F.coalesce("compute.warehouse_id", "compute.cluster_id").alias("compute"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("start_time").alias("first"), F.max("start_time").alias("last"))
     )
+    return _service_accounts(per_compute, principals, domain, label)
+
+
+def l_service_accounts_of(cube: DataFrame, principals: DataFrame, domain: str, label: str) -> DataFrame:
+    """The same from the rollup by day, identity and compute."""
+    per_compute = (
+        cube.filter(~F.col("executed_by").contains("@"))
+        .groupBy("executed_by", F.coalesce("warehouse_id", "cluster_id").alias("compute"))
+        .agg(F.sum("query_count").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    )
+    return _service_accounts(per_compute, principals, domain, label)
+
+
+def _service_accounts(per_compute: DataFrame, principals: DataFrame, domain: str, label: str) -> DataFrame:
     stats = per_compute.groupBy("executed_by").agg(
         F.sum("n").alias("query_count"),
         F.count("compute").alias("compute_count"),
@@ -143,6 +157,20 @@ def l_service_account_stats(
 # ---- audit -------------------------------------------------------------------
 
 
+def l_audit_cube(audit: DataFrame, window: Lookback) -> DataFrame:
+    """Actions per (day, e-mail, service): the one pass over the audit log that a report needs."""
+    keys = F.to_date("event_time").alias("day"), F.col("user_identity.email").alias("email"), "service_name"
+    return audit.filter(window.date("event_date")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def l_fold_audit(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("day", "email").agg(F.sum("n").alias("n"))
+
+
+def l_services_of(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("service_name").agg(F.sum("n").alias("action_count"))
+
+
 def l_audit_rollup(audit: DataFrame, window: Lookback) -> DataFrame:
     """Actions per (day, e-mail); daily users and top actors are folds of it."""
     return (

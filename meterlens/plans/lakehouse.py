@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlens.functions import sum_double
 from meterlens.operators import access, activity, ai_usage, automation, cost, inventory, storage, users
-from meterlens.operators.ranking import merge_one_row, monthly_bill_pivot
+from meterlens.operators.ranking import densify_daily_series, merge_one_row, monthly_bill_pivot, top_n_with_other
 from meterlens.plans.settings import Inputs, ReportSettings, Stage, no_stage
 from meterlens.plans.summary import l_platform_summary
 from meterlens.sources.files import table_sizes_from_files
@@ -15,6 +15,7 @@ from meterlens.sources.payloads import endpoint_names, principal_names
 from meterlens.sources.tables import cluster_names, job_names
 
 Report = dict[str, DataFrame | None]
+TOP = 5  # groups that a share chart names, the rest is Other
 
 
 def overview(query_totals: DataFrame, daily_cost: DataFrame, real_billed: DataFrame | None, lookback_days: int) -> DataFrame:
@@ -29,6 +30,12 @@ def overview(query_totals: DataFrame, daily_cost: DataFrame, real_billed: DataFr
     return row if real_billed is not None else row.withColumn("real_total_usd", F.lit(None).cast("double"))
 
 
+def no_sizes(rows: DataFrame) -> DataFrame:
+    """Table sizes where no manifest is given: none is known."""
+    columns = {"qualified_name": "string", "format": "string", "num_files": "long", "size_bytes": "long"}
+    return rows.limit(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()])
+
+
 def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no_stage) -> Report:
     """All lakehouse measures by name.
 
@@ -40,7 +47,9 @@ def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no
     clusters, jobs = cluster_names(inputs["l_clusters"]), job_names(inputs["l_jobs"])
 
     log, log_window = inputs["l_query_history"], w("l_query_history")
-    compute = stage("compute_rollup", activity.l_compute_rollup(log, log_window))
+    # each log is folded once; durations and errors are read from the log itself
+    cube = stage("query_cube", activity.l_query_cube(log, log_window))
+    compute, by_user = activity.l_fold_compute(cube), activity.l_fold_users(cube)
     # five cost tables, one pricing join
     costs = stage("cost_rollup", cost.l_cost_rollup(inputs["l_usage"], inputs["l_list_prices"], w("l_usage")))
     daily_cost, by_sku = cost.l_daily_cost(costs), cost.l_cost_by_sku(costs)
@@ -49,10 +58,11 @@ def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no
     billable = inputs.get("l_billable")
     real = None if billable is None else cost.l_real_billed_total(billable, daily_cost)
 
-    by_user = stage("query_by_user", activity.l_daily_query_by_user(log, log_window))
-    audit = stage("audit_rollup", users.l_audit_rollup(inputs["l_audit"], w("l_audit")))
+    audit_cube = stage("audit_cube", users.l_audit_cube(inputs["l_audit"], w("l_audit")))
+    audit = users.l_fold_audit(audit_cube)
     lineage = stage("lineage_rollup", access.l_lineage_rollup(inputs["l_lineage"], w("l_lineage")))
-    job_rollup = stage("job_rollup", automation.l_job_rollup(inputs["l_job_runs"], w("l_job_runs")))
+    job_cube = stage("job_cube", automation.l_job_cube(inputs["l_job_runs"], w("l_job_runs")))
+    job_rollup = automation.l_fold_jobs(job_cube)
     manifest = inputs.get("l_file_manifest")
     sizes = None if manifest is None else stage("table_sizes", table_sizes_from_files(manifest, inputs["l_tables"]))
     exec_stats = activity.l_compute_exec_stats(compute, endpoints, clusters)
@@ -75,6 +85,7 @@ def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no
         "top_errors": activity.l_top_errors(log, log_window),
         "daily_cost": daily_cost,
         "cost_by_sku": by_sku,
+        "cost_by_sku_top": top_n_with_other(by_sku.select("sku_name", "usd"), "sku_name", "usd", TOP),
         "daily_cost_by_product": cost.l_daily_cost_by_product(costs),
         "cost_by_user": cost.l_cost_by_user(user_cost),
         "top_users_by_cost": cost.l_top_users_by_cost(user_cost),
@@ -83,48 +94,53 @@ def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no
         "real_billed_total": real,
         "discount": None if real is None else cost.l_discount(real, daily_cost),
         "daily_active_users": users.l_daily_active_users(audit),
+        "daily_active_series": densify_daily_series(users.l_daily_active_users(audit), "actor_type", "distinct_users"),
         "top_actors": users.l_top_actors(audit, principals, domain, label),
-        "actions_by_service": users.l_actions_by_service(inputs["l_audit"], w("l_audit")),
+        "actions_by_service": users.l_services_of(audit_cube),
+        "actions_by_service_top": top_n_with_other(users.l_services_of(audit_cube), "service_name", "action_count", TOP),
         "top_read_tables": access.l_top_read_tables(lineage),
         "top_write_tables": access.l_top_write_tables(lineage),
         "user_table_reads": access.l_user_table_reads(lineage),
         "user_table_writes": access.l_user_table_writes(lineage),
-        "service_accounts": users.l_service_account_stats(log, principals, log_window, domain, label),
+        "service_accounts": users.l_service_accounts_of(cube, principals, domain, label),
         "service_account_tables": access.l_service_account_tables(lineage, principals, domain, label),
-        "table_access_detail": None
-        if sizes is None
-        else access.l_table_access_detail(lineage, principals, sizes, domain, label),
+        # sizes are unknown without a manifest
+        "table_access_detail": access.l_table_access_detail(
+            lineage, principals, no_sizes(lineage) if sizes is None else sizes, domain, label
+        ),
         "object_inventory": inventory.l_object_inventory(inputs["l_tables"]),
         "catalog_schema_counts": inventory.l_catalog_schema_counts(inputs["l_catalogs"], inputs["l_schemata"]),
         "job_runs": automation.l_job_runs(job_rollup, jobs),
         "job_totals": automation.l_job_totals(job_rollup),
-        "daily_job_runs": automation.l_daily_job_runs(inputs["l_job_runs"], w("l_job_runs")),
+        "daily_job_runs": automation.l_days_of_jobs(job_cube),
         "task_types": given("l_job_payloads", lambda df, _: automation.l_task_types(df, job_rollup)),
         "storage": None if sizes is None else storage.l_storage(sizes),
         "largest_tables": None if sizes is None else storage.l_largest_tables(sizes),
         "mlflow": mlflow,
         "serving_endpoints": given("l_served_entities", lambda df, _: ai_usage.l_serving_endpoints(df)),
         "serving_usage": given("l_endpoint_usage", ai_usage.l_serving_usage),
+        "serving_endpoint_total": given(
+            "l_served_entities", lambda df, _: ai_usage.l_serving_endpoint_total(ai_usage.l_serving_endpoints(df))
+        ),
+        "ai_gateway_totals": given("l_gateway_usage", lambda df, window: ai_usage.l_ai_gateway_totals(ai_usage.l_ai_gateway(df, window))),
         "ai_gateway": given("l_gateway_usage", ai_usage.l_ai_gateway),
         "quality_monitoring": given("l_quality_results", ai_usage.l_quality_monitoring),
         "classification": given("l_classification", lambda df, _: ai_usage.l_classification(df)),
     }
     days = settings.window.days
     report["overview"] = overview(report["query_totals"], daily_cost, real, days)
-    report["platform_summary"] = None
-    if sizes is not None:
-        report["platform_summary"] = l_platform_summary(
-            compute,
-            report["query_totals"],
-            report["daily_active_users"],
-            daily_cost,
-            by_sku,
-            report["object_inventory"],
-            report["catalog_schema_counts"],
-            report["storage"],
-            report["job_totals"],
-            real,
-            days,
-            settings.generated_at,
-        )
+    report["platform_summary"] = l_platform_summary(
+        compute,
+        report["query_totals"],
+        report["daily_active_users"],
+        daily_cost,
+        by_sku,
+        report["object_inventory"],
+        report["catalog_schema_counts"],
+        report["storage"],
+        report["job_totals"],
+        real,
+        days,
+        settings.generated_at,
+    )
     return report

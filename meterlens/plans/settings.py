@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from meterlens.functions import Lookback
-from meterlens.sources.staging import stage_read, stage_write
+from meterlens.sources.staging import stage_read, stage_read_optional, stage_write
 
 Inputs = Mapping[str, DataFrame | None]
 Stage = Callable[[str, DataFrame], DataFrame]
@@ -17,6 +17,7 @@ class ReportSettings:
     """What the caller decides: window, employer, account, prices.
 
     ``windows`` overrides the window of single tables (billing often reaches further back).
+    ``watched_login`` names the channel and the client type whose shares of all logins are reported.
     """
 
     window: Lookback
@@ -27,6 +28,7 @@ class ReportSettings:
     credit_price: float | None = None
     storage_price_per_tb: float | None = None
     generated_at: str = ""
+    watched_login: tuple[str, str] | None = None
     windows: Mapping[str, Lookback] = field(default_factory=dict)
 
     def window_of(self, table: str) -> Lookback:
@@ -37,14 +39,19 @@ def no_stage(_name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def stage_to(stage_dir: str) -> Stage:
+def stage_to(stage_dir: str, resume: bool = False) -> Stage:
     """Write each shared rollup as Parquet and read it back.
 
     Several outputs then start from the small table instead of each rescanning the log, and the
-    lineage ends at a file that outlives any executor.
+    lineage ends at a file that outlives any executor.  With ``resume`` a rollup that is already
+    staged is read instead of computed, so that a report can be built anew, with another domain or
+    price say, after its logs are gone.
     """
 
     def stage(name: str, df: DataFrame) -> DataFrame:
+        staged = stage_read_optional(df.sparkSession, stage_dir, name, df.schema) if resume else None
+        if staged is not None:
+            return staged
         stage_write(df, stage_dir, name)
         return stage_read(df.sparkSession, stage_dir, name, df.schema)
 

@@ -104,14 +104,17 @@ def l_platform_summary(
     cost_by_sku: DataFrame,
     object_inventory: DataFrame,
     catalog_schema_counts: DataFrame,
-    storage: DataFrame,
+    storage: DataFrame | None,
     job_totals: DataFrame,
     real_billed: DataFrame | None,
     lookback_days: int,
     generated_at: str,
     platform: str = "lakehouse",
 ) -> DataFrame:
-    """The total is the billed one if known; the compute share always stays a list-price estimate."""
+    """The total is the billed one if known; the compute share always stays a list-price estimate.
+
+    Without a file manifest storage counts as 0.
+    """
 
     def actors(kind: str, alias: str) -> DataFrame:
         return avg_daily_active(daily_active_users, F.col("actor_type") == kind, "distinct_users", alias)
@@ -133,15 +136,18 @@ def l_platform_summary(
         catalog_schema_counts.agg(
             count_of("CATALOG").alias("total_databases_or_catalogs"), count_of("SCHEMA").alias("total_schemas")
         ),
-        storage.select(F.round(bytes_to_gb("total_size_bytes"), 6).alias("total_storage_gb")),
         job_totals.select(
             F.col("total_runs").alias("automation_run_count"),
             F.col("success_rate_percent").alias("automation_success_rate_percent"),
         ),
     ]
+    if storage is not None:
+        parts.append(storage.select(F.round(bytes_to_gb("total_size_bytes"), 6).alias("total_storage_gb")))
     if real_billed is not None:
         parts.append(real_billed.select(F.col("real_total_usd").alias("_real_usd")))
     row = merge_one_row(*parts)
+    if storage is None:
+        row = row.withColumn("total_storage_gb", F.lit(0.0))
     real = F.col("_real_usd") if real_billed is not None else F.lit(None).cast("double")
     return _constants(
         row,

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from meterlens.functions import Lookback, sum_double, sum_long
 from meterlens.operators import access, activity, automation, cost, inventory, logins, storage, users
-from meterlens.operators.ranking import cumulative_cost, data_span, merge_one_row, monthly_bill_pivot, top_k
+from meterlens.operators.ranking import cumulative_cost, data_span, merge_one_row, monthly_bill_pivot, top_k, top_n_with_other
 from meterlens.plans.settings import Inputs, ReportSettings, Stage, no_stage
 from meterlens.plans.summary import w_platform_summary
 from meterlens.sources.tables import user_types
 
 Report = dict[str, DataFrame | None]
+TOP = 5  # groups that a share chart names, the rest is Other
 
 
 def overview(
@@ -140,6 +141,8 @@ def _cost(inputs: Inputs, report: Report, settings: ReportSettings) -> Report:
         "cost_by_user": None,
         "top_users_by_cost": None,
     }
+    section["cost_by_type_top"] = top_n_with_other(section["cost_by_type"], "usage_type", "usd", TOP)
+    section["cost_by_warehouse_top"] = top_n_with_other(section["all_cost_by_warehouse"].select("warehouse_name", "usd"), "warehouse_name", "usd", TOP)
     if inputs.get("w_attribution") is not None:
         user_cost = cost.w_user_cost(
             inputs["w_attribution"], rate, settings.window_of("w_attribution"), settings.domain, settings.employee_label
@@ -165,7 +168,15 @@ def _optional(inputs: Inputs, settings: ReportSettings) -> Report:
             return None
         return logins.w_logins_by_channel(logins.login_channel(logins.logins_by_ip(log, window), policies))
 
+    def top(rows: DataFrame | None, key: str, value: str) -> DataFrame | None:
+        return None if rows is None else top_n_with_other(rows, key, value, TOP)
+
     tasks = given("w_task_history", automation.w_task_rollup)
+    sessions = given("w_sessions", logins.w_sessions_by_client)
+    channels, client_types = given("w_login_history", by_channel), given("w_login_history", logins.w_logins_by_client_type)
+    shares = None
+    if channels is not None and client_types is not None and settings.watched_login is not None:
+        shares = logins.login_shares(channels, client_types, *settings.watched_login)
     return {
         "task_rollup": tasks,
         "task_runs": None if tasks is None else automation.w_task_runs(tasks),
@@ -177,10 +188,16 @@ def _optional(inputs: Inputs, settings: ReportSettings) -> Report:
         "data_transfer": given("w_data_transfer", inventory.w_data_transfer),
         "data_transfer_total": given("w_data_transfer", inventory.w_data_transfer_total),
         "object_inventory": given("w_objects", lambda df, _: inventory.w_object_inventory(df)),
-        "sessions_by_client": given("w_sessions", logins.w_sessions_by_client),
+        "sessions_by_client": sessions,
+        "sessions_by_client_top": top(sessions, "client_application_id", "session_count"),
+        "lifecycle_policy_count": given("w_lifecycle", lambda df, _: inventory.w_lifecycle_policy_count(df)),
         "lifecycle_policies": given("w_lifecycle", lambda df, _: inventory.w_lifecycle_policies(df)),
-        "logins_by_channel": given("w_login_history", by_channel),
-        "logins_by_client_type": given("w_login_history", logins.w_logins_by_client_type),
+        "logins_by_channel": channels,
+        "logins_by_channel_top": top(channels, "channel", "login_count"),
+        "logins_by_client_type": client_types,
+        "logins_by_client_type_top": top(client_types, "client_type", "login_count"),
+        "login_shares": shares,
+        "login_total": given("w_login_history", logins.w_login_total),
         "auth_factors": given("w_login_history", logins.w_auth_factors),
         "replication_usage": given("w_replication", automation.w_replication_usage),
     }

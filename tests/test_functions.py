@@ -164,3 +164,23 @@ def test_sums_of_nothing_are_zero(spark):
 def test_skus_and_adjustments(each):
     assert each(["X_COMPUTE_Y", "compute", None], f.is_compute_sku) == [True, False, None]
     assert each(["Adj for x", "storage", None], f.is_adjustment) == [True, False, False]
+
+
+def test_lookback_ends_before_as_of(spark):
+    df = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-06-30')) AS d").selectExpr("d", "CAST(d AS TIMESTAMP) AS ts")
+    window = f.Lookback("2024-01-31", 30)
+    assert df.filter(window.ts("ts")).count() == df.filter(window.date("d")).count() == 30
+    noon = f.Lookback("2024-01-31 12:00:00", 30)
+    assert df.filter(noon.date("d")).count() == 31 and noon.months() == ["2024-01"]
+    assert f.Lookback("2024-02-01", 31).months() == ["2024-01"]
+
+
+def test_money_does_not_depend_on_partitions(spark):
+    df = spark.range(2_000_000).selectExpr("CAST(rand(7) * 1e5 AS DOUBLE) AS x", "id")
+    df = df.selectExpr("CAST(id * 0.1 + pmod(id * 7919, 100003) / 7.0 AS DOUBLE) AS x")
+    assert len({df.repartition(n).agg(f.sum_double("x", None).alias("s")).first()["s"] for n in (4, 7, 64)}) == 1
+
+
+def test_qualified_name_with_a_gap_is_null(spark):
+    df = spark.sql("SELECT 'c' AS a, CAST(NULL AS STRING) AS b, 't' AS c")
+    assert df.select(f.qualified_name("a", "b", "c"), f.qualified_name("a", "c")).first()[:] == (None, "c.t")

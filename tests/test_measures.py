@@ -285,3 +285,27 @@ def test_a_third_of_the_rows_on_one_key(spark):
         by_user[who, "READ"].add(q)
     assert rows(access.w_table_access_counts(events)) == sorted((k, len(v)) for k, v in by_table.items())
     assert rows(access.w_user_action_counts(events)) == sorted((*k, len(v)) for k, v in by_user.items())
+
+
+def test_channel_is_of_a_range_that_holds_the_address(frame):
+    import ipaddress
+    import random
+
+    from meterlens.operators.logins import login_channel
+
+    rng = random.Random(4)
+    nets = [(f"10.{rng.randrange(3)}.{rng.randrange(4)}.0/{rng.choice([16, 22, 24])}", rng.randrange(3), rng.choice("abcd")) for _ in range(14)]
+    policies = [(str(ipaddress.ip_network(n, strict=False)), p, c) for n, p, c in nets]
+    addresses = [f"10.{rng.randrange(3)}.{rng.randrange(5)}.{rng.randrange(256)}" for _ in range(60)]
+    got = login_channel(frame([(a, 1) for a in set(addresses)], "client_ip string, login_count long"), frame(policies, "cidr string, priority int, channel string"))
+    for row in got.collect():
+        held = [(p, c) for n, p, c in policies if ipaddress.ip_address(row.client_ip) in ipaddress.ip_network(n)]
+        assert row.channel == (min(held)[1] if held else "Unmatched")
+
+
+def test_pivot_total_is_that_of_its_months(frame):
+    from meterlens.operators.ranking import monthly_bill_pivot
+
+    df = frame([("2024-01", "a", 1.0), ("2024-02", "a", 2.0), ("2024-06", "a", 100.0)], "month string, item string, usd double")
+    for row in monthly_bill_pivot(df, ["2024-01", "2024-02"], "item").collect():
+        assert row.total == row["2024-01"] + row["2024-02"] == 3.0

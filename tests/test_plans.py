@@ -5,16 +5,11 @@ import re
 import pytest
 
 from __spark_entry__ import queries
+from fixtures.cases import QUERIES as OWN
 from conftest import SF_DIR
 from plans import plan_text
 
-QUERIES = queries()
-# these write while they are built, which says nothing about their plan
-WRITES = {
-    "scan_usage_table", "stage_write", "stage_read", "stage_read_optional", "stage_scalar", "summary_json", "billable_usage_csv",
-    "l_real_billed_total", "l_discount", "l_platform_summary", "l_report_overview", "lookback_mismatch", "migration_projection",
-    "projection_delta", "comparison_table", "optional_source",
-}
+QUERIES = {key: query for key, query in queries().items() if key in OWN}
 LOG_KEYS = [
     "w_daily_query_stats", "w_database_activity", "w_resource_signals", "w_daily_duration", "w_top_errors", "w_total_credits",
     "access_events", "w_daily_cost", "w_task_runs", "w_pipe_ingest", "w_data_transfer", "w_logins_by_client_type", "priced_usage",
@@ -31,7 +26,7 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("key", [k for k in QUERIES if k not in WRITES])
+@pytest.mark.parametrize("key", list(QUERIES))
 def test_no_pairwise_join_and_no_python(spark, no_broadcast, key):
     text = plan_text(QUERIES[key](spark, SF_DIR))
     for node in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
@@ -41,7 +36,9 @@ def test_no_pairwise_join_and_no_python(spark, no_broadcast, key):
 @pytest.mark.parametrize("key", LOG_KEYS)
 def test_the_window_reaches_the_log_scan(spark, key):
     text = plan_text(QUERIES[key](spark, SF_DIR))
-    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\((ts|o_orderdate|l_shipdate),", text)
+    pushed = " ".join(re.findall(r"PushedFilters: \[[^\n]*", text))
+    assert re.search(r"GreaterThanOrEqual\((ts|o_orderdate|l_shipdate),", pushed)
+    assert re.search(r"LessThan(OrEqual)?\((ts|o_orderdate|l_shipdate),", pushed)
 
 
 @pytest.mark.parametrize("key,columns", [
@@ -87,8 +84,32 @@ def _sorted_scans(text: str) -> int:
 
 
 def test_logs_are_folded_by_hash_aggregates(spark):
-    """Only the sample message of an error needs a sort, over the failed rows alone."""
+    """No log is sorted; the samples of errors are, for the few reasons that lead."""
     logs = [*LOG_KEYS, "w_exec_stats", "w_service_account_stats", "w_table_rw_by_user", "l_service_account_stats", "w_mv_refresh"]
     sorted_scans = {k: _sorted_scans(plan_text(QUERIES[k](spark, SF_DIR))) for k in logs}
     # l_service_account_stats and l_compute_exec_stats sort their small name dimensions
     assert {k for k, n in sorted_scans.items() if n} == {"w_top_errors", "l_service_account_stats", "l_compute_exec_stats"}
+
+
+def test_comparisons_read_stored_summaries(spark):
+    """Two one-row files, no log."""
+    text = plan_text(QUERIES["comparison_table"](spark, SF_DIR))
+    assert text.count("FileScan json") == 2 and "Scan parquet" not in text
+
+
+def test_cost_reads_only_its_keys(spark):
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", plan_text(QUERIES["l_daily_cost"](spark, SF_DIR)))
+    assert not any("l_suppkey" in s for s in read), "the run_as behind it is not needed"
+
+
+def test_a_year_of_days_does_not_sort_the_log(spark):
+    rows = spark.range(0, 40_000, 1, 4).selectExpr(
+        "TIMESTAMP'2023-01-01' + make_dt_interval(CAST(id * 7919 % 365 AS INT)) AS start_time", "id % 1000 AS execution_time"
+    )
+    from meterlens.functions import Lookback
+    from meterlens.operators.activity import w_daily_duration
+
+    df = w_daily_duration(rows, Lookback("2024-01-01", 365))
+    assert df.count() == 365
+    spilled = re.findall(r"number of sort fallback tasks[^\n]*", df._jdf.queryExecution().executedPlan().toString())
+    assert spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold") == "4096" and not spilled

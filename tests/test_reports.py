@@ -47,7 +47,8 @@ WAREHOUSE_KEYS = {
     "dead_tables": "dead_tables", "table_access_detail": "w_table_access_detail", "service_account_tables": "w_user_table_counts",
     "cumulative_cost": "cumulative_cost", "cost_by_warehouse": "w_cost_by_warehouse", "cost_by_user": "w_cost_by_user",
     "wasted_compute_cost": "wasted_compute_cost", "monthly_bill_grid": "monthly_bill_pivot", "task_runs": "w_task_runs",
-    "logins_by_channel": "w_logins_by_channel", "overview": "overview",
+    "logins_by_channel": "w_logins_by_channel", "overview": "overview", "login_total": "w_login_total",
+    "lifecycle_policy_count": "w_lifecycle_policy_count",
 }
 LAKEHOUSE_KEYS = {
     "query_totals": "l_overview", "daily_query_volume": "l_daily_query_volume", "daily_volume_by_type": "l_daily_volume_by_type",
@@ -55,6 +56,9 @@ LAKEHOUSE_KEYS = {
     "cost_by_user": "l_cost_by_user", "monthly_bill_grid": "l_monthly_bill_pivot", "top_actors": "l_top_actors",
     "top_read_tables": "l_top_read_tables", "service_account_tables": "l_service_account_tables", "job_runs": "l_job_runs",
     "job_totals": "l_job_totals", "task_types": "l_task_types", "largest_tables": "l_largest_tables", "mlflow": "l_mlflow_summary",
+    "service_accounts": "l_service_account_stats", "actions_by_service": "l_actions_by_service", "daily_job_runs": "l_daily_job_runs",
+    "daily_active_users": "l_daily_active_users", "ai_gateway_totals": "l_ai_gateway_totals",
+    "serving_endpoint_total": "l_serving_endpoint_total",
 }
 
 
@@ -73,6 +77,8 @@ def test_every_measure_of_a_full_report_has_rows(warehouse, lakehouse):
         for name, df in report.items():
             if name in ("real_billed_total", "discount"):
                 assert df is None, "no export was given"
+            elif name == "login_shares":
+                assert df is None, "no login was named"
             else:
                 assert df is not None and df.limit(1).count() == 1, name
 
@@ -118,8 +124,11 @@ def test_lakehouse_without_optional_sources(tables):
     report = lakehouse_report(
         inputs(tables, "l_", "l_file_manifest", "l_runs", "l_gateway_usage", "l_job_payloads"), settings()
     )
-    for name in ("storage", "mlflow", "ai_gateway", "task_types", "table_access_detail", "platform_summary"):
+    for name in ("storage", "mlflow", "ai_gateway", "ai_gateway_totals", "task_types"):
         assert report[name] is None
+    assert report["platform_summary"].collect()[0].total_storage_gb == 0
+    detail = report["table_access_detail"].collect()
+    assert detail and all(r.size_bytes is None for r in detail)
     assert report["quality_monitoring"].collect()[0].check_runs > 0
 
 
@@ -140,3 +149,27 @@ def test_comparison_of_two_reports(warehouse, lakehouse):
         "lookback_mismatch": 1, "migration_projection": 1, "projection_delta": 1, "comparison_table": 18,
     }
     assert both["migration_projection"].collect()[0].projected_usd > 0
+
+
+def test_shares_and_folds_of_a_report(spark, tables, warehouse, lakehouse):
+    given = inputs(tables, "w_", "w_access_history") | {"network_policies": tables["network_policies"]}
+    report = warehouse_report(given, settings(watched_login=("Unmatched", "UI")))
+    row = report["login_shares"].collect()[0]
+    assert 0 <= row.channel_percent <= 100 and 0 <= row.client_type_percent <= 100
+    pairs = [(warehouse, "cost_by_type", "usd"), (warehouse, "logins_by_channel", "login_count"), (lakehouse, "actions_by_service", "action_count")]
+    for whole, name, value in pairs:
+        top = whole[f"{name}_top"].collect()
+        assert len(top) <= 6 and sum(r[value] for r in top) == pytest.approx(sum(r[value] for r in whole[name].collect()))
+    series = lakehouse["daily_active_series"].groupBy("day").count().collect()
+    assert len({r["count"] for r in series}) == 1
+
+
+def test_a_report_is_rebuilt_from_its_stage(spark, tables):
+    stage_dir = scratch_dir(spark, "report-resume")
+    full = lakehouse_report(inputs(tables, "l_"), settings(), stage_to(stage_dir))
+    gone = inputs(tables, "l_")
+    for log in ("l_query_history", "l_audit", "l_job_runs", "l_usage"):
+        gone[log] = gone[log].limit(0)
+    again = lakehouse_report(gone, settings(), stage_to(stage_dir, resume=True))
+    for name in ("job_totals", "daily_cost", "top_actors", "service_accounts", "platform_summary"):
+        assert compare(spark_rows(again[name]), spark_rows(full[name])) is None

@@ -132,3 +132,21 @@ def test_a_table_of_two_formats_is_one_table(frame):
 def test_current_dimensions(spark):
     df = spark.sql("SELECT '1' AS job_id, 'a' AS name, CAST(NULL AS TIMESTAMP) AS delete_time UNION ALL SELECT '2','b',TIMESTAMP'2024-01-01'")
     assert rows(s.job_names(df)) == [("1", "a")]
+
+
+def test_refusals(spark, tmp_path):
+    from meterlens.session import scratch_dir
+    from meterlens.sources import billable_usage_csv, scan_usage_table
+
+    with pytest.raises(ValueError, match="numPartitions"):
+        scan_usage_table(spark, "w_query_history", "log", "jdbc", url="jdbc:none")
+    (tmp_path / "swapped.csv").write_text("timestamp,dollars,dbus\n2024-01-01,1.5,2.5\n")
+    with pytest.raises(Exception, match="CSV header"):
+        billable_usage_csv(spark, str(tmp_path / "swapped.csv")).collect()
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod({"spark.master": "spark://host:7077"}.get)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_dir(Cluster(), "x")
