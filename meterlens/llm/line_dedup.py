@@ -67,16 +67,14 @@ def probes(length: int, threshold: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _fresh_lines(batches: Iterator[pa.RecordBatch], mask: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows (line_id, line) once per task (or more often, where a task has very many); with ``mask``, only ids it holds."""
+def _fresh_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (line_id, line) once per task, or more often, where a task has very many."""
     seen: set[int] = set()
     for batch in batches:
-        ids = np.asarray(batch.column("line_id"))
-        wanted = np.ones(len(ids), bool) if mask is None else mask[ids.view(np.uint64) >> np.uint64(64 - FILTER_BITS)]
         keep = []
-        for k in np.flatnonzero(wanted).tolist():
-            if ids[k] not in seen:
-                seen.add(int(ids[k]))
+        for k, line_id in enumerate(batch.column("line_id").to_pylist()):
+            if line_id not in seen:
+                seen.add(line_id)
                 keep.append(k)
         if len(seen) > FRESH:
             seen.clear()
@@ -192,20 +190,20 @@ def linked_lines(spark: SparkSession, lines: DataFrame, threshold: int = THRESHO
         raise ValueError("lines must be longer than the threshold")
     texts = lines.select("line_id", "line").filter(F.char_length("line") >= min_chars)
     shape = "line_id long, line string"
-    once = texts.mapInArrow(lambda batches: _fresh_lines(batches, None), shape).repartition("line_id")
-    once = once.mapInArrow(lambda batches: _fresh_lines(batches, None), shape)
+    once = texts.mapInArrow(_fresh_lines, shape).repartition("line_id").mapInArrow(_fresh_lines, shape)
     entries = once.mapInArrow(lambda batches: _keys(batches, threshold, True), "key long, line_id long")
     lookups = once.mapInArrow(lambda batches: _keys(batches, threshold, False), "key long, line_id long")
     held = entries.select("key", F.col("line_id").alias("x"))
     met = held.join(lookups.unionByName(entries).select("key", F.col("line_id").alias("y")), "key").filter("x != y")
     pairs = staged(spark, met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
-    # a filter of fixed size leaves out most lines that are in no pair before their texts are shuffled
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id"))
-    places = ids.select(F.shiftrightunsigned("line_id", 64 - FILTER_BITS).alias("place")).distinct().toArrow()
-    mask = np.zeros(1 << FILTER_BITS, bool)
-    mask[np.asarray(places.column("place"))] = True
-    wanted = texts.mapInArrow(lambda batches: _fresh_lines(batches, mask), shape).groupBy("line_id").agg(F.max("line").alias("line"))
-    wanted = staged(spark, wanted.join(ids.distinct(), "line_id"), "line-texts")
+    # a million places at most stand for the ids in pairs: as a table of known size it is small enough to be
+    # broadcast by Spark's own threshold, and most lines in no pair leave before their texts are shuffled
+    ids = staged(spark, pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct(), "line-ids")
+    place = F.shiftrightunsigned("line_id", 64 - FILTER_BITS).cast("int")
+    places = staged(spark, ids.select(place.alias("place")).distinct().coalesce(1), "line-places")
+    wanted = texts.withColumn("place", place).join(places, "place", "left_semi").select("line_id", "line")
+    wanted = wanted.mapInArrow(_fresh_lines, shape).groupBy("line_id").agg(F.max("line").alias("line"))
+    wanted = staged(spark, wanted.join(ids, "line_id"), "line-texts")
     rows = pairs.join(wanted.select(F.col("line_id").alias("a"), F.col("line").alias("line_a")), "a")
     rows = rows.join(wanted.select(F.col("line_id").alias("b"), F.col("line").alias("line_b")), "b").select("a", "b", "line_a", "line_b")
     return staged(spark, rows.mapInArrow(lambda batches: _verify(batches, threshold), "a long, b long"), "line-links")
