@@ -2,17 +2,27 @@
 
 from fixtures.cases.access import LIVE, MANIFEST, SIZES, TS
 from fixtures.cases.registry import E_SINCE, E_UNTIL, EV, GB, L_SINCE, L_UNTIL, LI, O_SINCE, O_UNTIL, OR, case, day
-from meterlens.functions.labels import STATEMENT_LABELS, TASK_LABELS
 from meterlens.operators import ai_usage, automation, inventory, logins, ranking, storage
 from meterlens.sources import job_names, table_sizes_from_files
 
+# ---- expected labels, stated here on their own and not taken from the engine
+VERBS = (
+    "WHEN verb LIKE 'CALL%' THEN 'Stored Procedure Call' WHEN verb LIKE 'EXECUTE IMMEDIATE%' THEN 'EXECUTE IMMEDIATE' "
+    "WHEN verb LIKE 'COPY%' THEN 'COPY INTO' WHEN verb SIMILAR TO '(MERGE|INSERT|UPDATE|DELETE|CREATE|ALTER|TRUNCATE).*' "
+    "THEN regexp_extract(verb, '^[A-Z]+')"
+)
+TASKS_SEEN = (
+    "WHEN 'notebook_task' THEN 'Notebook' WHEN 'sql_task' THEN 'SQL' WHEN 'spark_jar_task' THEN 'JAR' WHEN 'unknown_task' THEN 'Unknown'"
+)
+
 # ---- storage
 case(
     "w_storage_summary",
     lambda t: storage.w_storage_summary(t[TS]),
     "SELECT "
     + ", ".join(
-        f"CAST(sum({col}) AS BIGINT) / {GB}::DOUBLE AS {name}" for name, col in storage.STORAGE_CLASSES.items()
+        f"CAST(sum({col}_bytes) AS BIGINT) / {GB}::DOUBLE AS total_{col}_gb"
+        for col in ("active", "time_travel", "failsafe", "retained_for_clone")
     )
     + f" FROM {TS} WHERE NOT deleted",
     TS,
@@ -83,7 +93,7 @@ case(
 # ---- automation
 STATEMENT = (
     "CASE WHEN coalesce(trim(query_text), '') = '' THEN 'Unknown' "
-    + " ".join(f"WHEN upper(trim(query_text)) LIKE '{verb}%' THEN '{label}'" for verb, label in STATEMENT_LABELS)
+    + VERBS.replace("verb", "upper(trim(query_text))")
     + " ELSE 'Other SQL' END"
 )
 TASKS = (
@@ -173,7 +183,7 @@ TASK_ROWS = (
     "SELECT job_id, unnest(CASE WHEN json_valid(payload) THEN json_extract(payload, '$.settings.tasks[*]') END) AS task FROM l_job_payloads)"
 )
 FRIENDLY = (
-    "CASE task_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TASK_LABELS.items()) + " ELSE array_to_string("
+    "CASE task_type " + TASKS_SEEN + " ELSE array_to_string("
     "list_transform(string_split(regexp_replace(task_type, '_task$', ''), '_'), lambda w: upper(w[1]) || w[2:]), ' ') END"
 )
 case(
