@@ -122,7 +122,7 @@ def _with_label(rows: DataFrame, labels: DataFrame, node: str, label: str) -> Da
     return rows.join(known, F.col(node) == F.col("l_node"), "left").withColumn(label, F.coalesce("l_label", node)).drop("l_node", "l_label")
 
 
-def _block_rows(held: DataFrame) -> DataFrame:
+def _block_rows(spark: SparkSession, held: DataFrame) -> DataFrame:
     """Rows (pivot, node, label) dealt to the block pairs in which they are tested.
 
     Classes outside the largest component of a pivot make blocks that meet each other (kind 0, i <= j) and every
@@ -141,6 +141,8 @@ def _block_rows(held: DataFrame) -> DataFrame:
         blocks(F.col("size") - F.col("top.size"), F.col("weight") - F.col("top.weight")).alias("few"),
         blocks(F.col("top.size"), F.col("top.weight")).alias("many"),
     )
+    # one row per pivot: as a table of known size it is broadcast, or a hot pivot's classes are split by the join
+    apart = staged(spark, apart, "pivots-apart")
     rows = held.join(apart, "pivot").withColumn("inside", F.col("label") == F.col("top"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("many")).otherwise(F.col("few"))).cast("int"))
 
@@ -244,7 +246,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # what shares a pivot and is still apart
     held = _with_label(pairs, labels, "node", "label").join(classes.select("node", "n"), "node")
     held = staged(spark, held.select("pivot", "node", "label", "n"), "apart")
-    last = staged(spark, _block_rows(held).join(texts, "node").groupBy("pivot", "kind", "i", "j").applyInArrow(_block_links, "a long, b long"), "links-3")
+    last = staged(spark, _block_rows(spark, held).join(texts, "node").groupBy("pivot", "kind", "i", "j").applyInArrow(_block_links, "a long, b long"), "links-3")
     if not last.isEmpty():
         labels = components(spark, links.union(last))
 
