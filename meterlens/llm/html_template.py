@@ -57,7 +57,7 @@ OUTSIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation",
     "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related", "respond", "share", "sharing", "sidebar",
-    "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 #: Opening one of these ends an open element of its kind, up to the container named.
