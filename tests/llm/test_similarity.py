@@ -117,13 +117,33 @@ def test_keys_tell_substrings_apart():
 
     lines = ["abcdefghijklmnop", "qrstuvwxyzabcdef", "abcdeXXXijklmnop", "xx" * 9]
     batch = pa.record_batch({"line_id": pa.array(range(4)), "line": pa.array(lines)})
-    (out,) = line_dedup._keys(iter([batch]), 2, True)
-    keys = dict(enumerate(zip(*[iter(sorted(zip(out.column("line_id").to_pylist(), out.column("key").to_pylist(), strict=True)))] * 3, strict=True)))
-    sets = {k: {key for _, key in triple} for k, triple in keys.items()}
+    (out,) = line_dedup._keys(iter([batch]), 2)
+    rows = zip(out.column("line_id").to_pylist(), out.column("key").to_pylist(), out.column("entry").to_pylist(), strict=True)
+    sets = {k: set() for k in range(4)}
+    for k, key, entry in rows:
+        if entry:
+            sets[k].add(key)
     assert not sets[0] & sets[1] and len(sets[0] & sets[2]) == 2 and all(len(s) == 3 for s in sets.values())
 
 
-def test_line_links_match_brute_force(spark):
+def test_keys_that_span_batches_are_met_whole():
+    import pyarrow as pa
+
+    rows = [(1, 5, True), (1, 6, False), (2, 7, True), *[(3, k, k % 2 == 0) for k in range(40)], (4, 1, True), (4, 1, False), (5, 2, False), (5, 3, False)]
+    batches = [pa.record_batch({"key": [r[0] for r in part], "line_id": [r[1] for r in part], "entry": [r[2] for r in part]})
+               for part in (rows[i : i + 7] for i in range(0, len(rows), 7))]
+    for fresh in (1 << 18, 5):
+        line_dedup.FRESH, before = fresh, line_dedup.FRESH
+        out = pa.Table.from_batches(line_dedup._met(iter(batches), 10)).to_pylist()
+        line_dedup.FRESH = before
+        assert [(r["x"], r["y"]) for r in out if not r["hot"]] == [(5, 6)]
+        assert [(r["x"], r["y"], r["entry"]) for r in out if r["hot"]] == [r for r in rows if r[0] == 3]
+
+
+@pytest.mark.parametrize("few,block", [(64, 256), (1, 3)])
+def test_line_links_match_brute_force(spark, monkeypatch, few, block):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(3)
     base = ["".join(rng.choice("abcde fg") for _ in range(rng.randint(9, 40))).strip() for _ in range(40)]
     rows = []
