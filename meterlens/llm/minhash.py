@@ -94,7 +94,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, text_a, text_b) the pairs whose sets have 100 * common >= 75 * union."""
     for batch in batches:
-        for part in slices(batch, "text_a"):
+        for part in slices(batch, "text_a", 1 << 20):
             one, at_one, n_one = shingles(part.column("text_a"))
             texts_b = part.column("text_b").dictionary_encode()  # a pivot comes in runs
             two, at_two, n_two = shingles(texts_b.dictionary)
