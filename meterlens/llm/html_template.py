@@ -9,11 +9,14 @@ them are template text.  What is left are slots.  The text of a page is that of
 that they are no part of the article: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments.  If the page has article or main elements, only slots inside them count.
 
-Support is at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's, and hosts with fewer than MIN_PAGES different pages
-have no template: text that a few copies of a page share is not boilerplate.
+Support is at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's.  Pages of a host with the same text outside the
+places named above count as one page, whatever their markup.  A page is a near copy, and does not count, if the text
+that it shares with support enough is ``NEAR`` times its other text or more (two such pages are three quarters equal, as in
+near-dedup): text that copies of an article share is not boilerplate.  Hosts with fewer than MIN_PAGES pages that
+count have no template.
 
 Defined cases: a null or empty html gives an empty text; a null url or one without a host has no template;
-repeated rows are pages like others; unclosed and stray tags are taken as browsers do, roughly; white space, also
+repeated rows are copies; unclosed and stray tags are taken as browsers do, roughly; white space, also
 the unbreakable kind, becomes one space, a line break too; other columns are ignored; an empty table gives no rows.
 """
 
@@ -34,6 +37,7 @@ from meterlens.llm.textnum import slices
 
 MIN_PAGES = 10
 MIN_SHARE = 0.1
+NEAR = 6  # shared / (shared + 2 * own) is 0.75
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -207,45 +211,74 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host, token, parent, is_tag, n, mark``: each token of each page once; ``mark`` fingerprints (page, count)."""
+_PAGE = (
+    "page long, host string, content long, texts array<long>, chars array<long>, "
+    "tokens array<struct<token: long, parent: long, is_tag: boolean, n: long>>"
+)
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_PAGE``: each token of each page once; ``content`` is a hash of the texts that are not outside, ``texts`` and ``chars`` tell their share."""
+    kind = pa.list_(pa.struct({"token": pa.int64(), "parent": pa.int64(), "is_tag": pa.bool_(), "n": pa.int64()}))
     for batch in batches:
         for part in slices(batch, "html"):
-            hosts, tokens, parents, tag, counts, marks = [], [], [], [], [], []
-            for row in part.to_pylist():
-                tags, blocks = parsed(row["html"] or "")
+            contents, texts, chars, tokens = [], [], [], []
+            for page in part.column("html").to_pylist():
+                tags, blocks = parsed(page or "")
                 found = Counter((path, parent, True) for path, parent in tags)
                 found.update((b.token, b.path, False) for b in blocks)
-                for (token, parent, is_tag), n in found.items():
-                    hosts.append(row["host"])
-                    tokens.append(_signed(token))
-                    parents.append(_signed(parent))
-                    tag.append(is_tag)
-                    counts.append(n)
-                    marks.append(_signed(xxhash.xxh64_intdigest(f"{row['page']} {n}")))
+                tokens.append([{"token": _signed(t), "parent": _signed(p), "is_tag": k, "n": n} for (t, p, k), n in found.items()])
+                inside = [b for b in blocks if not b.outside]
+                contents.append(_signed(xxhash.xxh64_intdigest("\n".join(b.text for b in inside).encode("utf-8", "surrogatepass"))))
+                long: Counter[int] = Counter()
+                for b in inside:
+                    long[_signed(b.token)] += len(b.text)
+                texts.append(list(long))
+                chars.append(list(long.values()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(parents, pa.int64()), pa.array(tag, pa.bool_()),
-                    pa.array(counts, pa.int64()), pa.array(marks, pa.int64()),
+                    part.column("page"), part.column("host"), pa.array(contents, pa.int64()), pa.array(texts, pa.list_(pa.int64())),
+                    pa.array(chars, pa.list_(pa.int64())), pa.array(tokens, kind),
                 ],
-                ["host", "token", "parent", "is_tag", "n", "mark"],
+                ["page", "host", "content", "texts", "chars", "tokens"],
             )
 
 
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host, content, tokens`` of the pages that are no near copies, given the ``common`` texts of their host."""
+    for batch in batches:
+        keep = []
+        for k, row in enumerate(batch.select(["texts", "chars", "common"]).to_pylist()):
+            common = set(row["common"] or ())
+            shared = sum(n for t, n in zip(row["texts"], row["chars"], strict=True) if t in common)
+            if shared < NEAR * (sum(row["chars"]) - shared):
+                keep.append(k)
+        yield batch.select(["host", "content", "tokens"]).take(pa.array(keep, pa.int64()))
+
+
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
 def templates(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``host, texts``: fingerprints of the texts in the valid classes of each host's template."""
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", html).alias("page"), "html").filter("host != ''")
-    different = rows.groupBy("host", F.xxhash64(F.coalesce("html", F.lit(""))).alias("content")).agg(F.count("*").alias("n"))
-    hosts = different.groupBy("host").agg(F.sum("n").alias("host_pages"), F.count("*").alias("contents")).filter(F.col("contents") >= min_pages)
+    rows = pages.select(F.monotonically_increasing_id().alias("page"), host_of(F.col("url")).alias("host"), "html").filter("host != ''")
+    seen = staged(spark, rows.mapInArrow(_pages, _PAGE), "pages")
+    once = staged(spark, seen.groupBy("host", "content").agg(F.min("page").alias("page")), "contents")
+    hosts = once.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= min_pages)
+    seen = seen.join(once.select("page"), "page", "left_semi")
+    common = seen.select("host", F.explode("texts").alias("token")).groupBy("host", "token").agg(F.count("*").alias("support"))
+    common = common.filter(F.col("support") >= min_pages).join(hosts, "host").filter(F.col("support") >= min_share * F.col("host_pages"))
+    common = staged(spark, common.groupBy(F.col("host").alias("c_host")).agg(F.collect_set("token").alias("common")), "common")
+    counting = seen.join(common, F.col("host") == F.col("c_host")).select("host", "content", "tokens", "texts", "chars", "common")
+    counting = counting.mapInArrow(_counting, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seen.select("host", "content", "tokens").schema))
+    counting = staged(spark, counting, "counting")
+    hosts = counting.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= min_pages)
     hosts = staged(spark, hosts, "hosts")
-    tokens = rows.mapInArrow(_tokens, "host string, token long, parent long, is_tag boolean, n long, mark long")
+    # the xor of fingerprints of (page, count) is an occurrence vector
+    tokens = counting.select("host", "content", F.inline("tokens"))
     tokens = tokens.groupBy("host", "token").agg(
-        F.bit_xor("mark").alias("vector"), F.sum("n").alias("total"), F.count("*").alias("support"),
+        F.bit_xor(F.xxhash64("content", "n")).alias("vector"), F.sum("n").alias("total"), F.count("*").alias("support"),
         F.min("parent").alias("parent"), F.max("is_tag").alias("is_tag"),
     ).filter(F.col("support") >= min_pages)
     tokens = tokens.join(hosts, "host").filter(F.col("support") >= min_share * F.col("host_pages"))

@@ -142,6 +142,28 @@ def test_template_text_is_deduced_from_the_pages_of_a_host(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_copies_of_an_article_make_no_template(spark):
+    def page(k, mark, *paragraphs):
+        inner = "".join(f"<p>{x}</p>" for x in paragraphs)
+        return f"<body><div class=top>Welcome to the site</div><div id=post-{mark}>{inner}</div><div class=end>Made with care {k % 1}</div></body>"
+
+    story = [f"Paragraph {i} of one story, told at some length on all copies" for i in range(9)]
+    other = [page(k, k, f"Title {k}", f"Body {k} of a text that no other page has") for k in range(20)]
+    hosts = {
+        "plain": [page(0, 99, *story)] * 15,
+        "markup": [page(0, 99, *story).replace("<body", f"<body data-n={k}") for k in range(15)],
+        "near": [page(0, 99, *story, f"Seen {k} times") for k in range(15)],
+    }
+    rows = [(f"http://{h}.example/", x) for h, copies in hosts.items() for x in other + copies]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text.split("\n") for r in html_template.extracted(spark, df).collect()}
+    for i, (url, html) in enumerate(rows):
+        if "post-99" in html:
+            assert got[i][:9] == story and len(got[i]) == 9 + ("near" in url)
+        else:
+            assert len(got[i]) == 2 and got[i][0].startswith("Title")
+
+
 def test_pages_of_the_fixture(spark):
     import html
     import re
