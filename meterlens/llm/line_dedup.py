@@ -10,9 +10,11 @@ many variants), they are dealt in blocks, a block pair is one task, and only lin
 
 Classes are the connected components of linked lines; of each class the first line, by document and place, is kept.
 
+Lines of up to ``THRESHOLD`` code points have empty segments, under which they meet all lines of their length and up to
+threshold more, so short lines are joined as any others are.
+
 Defined cases: lines are split at line feeds, only lines with a word count, and are compared whole after white space at
-either end is cut; lines of fewer than ``MIN_CHARS`` code points join only their equals; a null text has no lines;
-null doc_ids come first; repeated rows have equal lines; other columns are ignored; an empty table gives
+either end is cut; a null text has no lines; null doc_ids come first; repeated rows have equal lines; other columns are ignored; an empty table gives
 no rows.  Lines are known by 64-bit hashes.
 """
 
@@ -29,7 +31,7 @@ from meterlens.llm.common import bind, components, read, staged
 from meterlens.llm.textnum import BASE, mixed, slices
 
 THRESHOLD = 2
-MIN_CHARS = 12
+MIN_CHARS = 1  # shorter lines would join only their equals
 FILTER_BITS = 20
 FRESH = 1 << 18  # lines remembered by a task before it forgets them
 FEW = 64  # pairs of one key that are listed; more are tested in blocks
@@ -61,7 +63,7 @@ def probes(length: int, threshold: int) -> list[tuple[int, int, int, int]]:
     Those that equal its own index entries are left out: index entries meet each other anyway.
     """
     out = []
-    for shorter in range(min(threshold, length - 1) + 1):
+    for shorter in range(min(threshold, length - 1) + 1):  # there are no lines of length 0
         for i, (at, size) in enumerate(segments(length - shorter, threshold)):
             left, right = i, threshold - i
             low = max(0, at - left, at + shorter - right)
@@ -205,7 +207,7 @@ def _block_links(table: pa.Table, threshold: int) -> pa.Table:
     probing = np.asarray(table.column("probing").combine_chunks().to_numpy(zero_copy_only=False), bool)
     entry = np.asarray(table.column("entry").combine_chunks().to_numpy(zero_copy_only=False), bool)
     ids = np.asarray(table.column("line_id"))
-    points, lengths = _points(table.column("line").to_pylist())
+    points, lengths = _points(_padded(table.column("line").to_pylist(), threshold))
     starts = np.cumsum(lengths) - lengths
     indexed, asking = np.flatnonzero(~probing), np.flatnonzero(probing)
     one, two = np.repeat(indexed, len(asking)), np.tile(asking, len(indexed))
@@ -217,10 +219,18 @@ def _block_links(table: pa.Table, threshold: int) -> pa.Table:
     return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
 
 
+def _padded(lines: list[str], threshold: int) -> list[str]:
+    """Lines as they are or, if one is not longer than ``threshold``, all with the same end, which adds no edits."""
+    if min(map(len, lines), default=threshold + 1) > threshold:
+        return lines
+    return [x + " " * threshold for x in lines]
+
+
 def within(a: list[str], b: list[str], threshold: int) -> np.ndarray:
-    """Edit distances of pairs of strings longer than ``threshold``; threshold + 1 stands for all above it."""
-    one, m = _points(a)
-    two, n = _points(b)
+    """Edit distances of pairs of strings; threshold + 1 stands for all above it."""
+    both = _padded(a + b, threshold)
+    one, m = _points(both[: len(a)])
+    two, n = _points(both[len(a) :])
     return _distances(one, np.cumsum(m) - m, m, two, np.cumsum(n) - n, n, threshold)
 
 
@@ -229,6 +239,8 @@ def _distances(
 ) -> np.ndarray:
     """Distances of the strings of length ``m`` at ``at_one`` in ``one`` and of length ``n`` at ``at_two`` in ``two``.
 
+    All of them are longer than ``threshold``.
+
     One word per pair holds the vertical differences in a band around the diagonal: bit 63 - d is row
     ``column + threshold - d`` of the first string.  The band follows the diagonal until it meets the last row,
     whose differences are then followed to the last column.
@@ -276,8 +288,6 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
 
 def linked_lines(spark: SparkSession, lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs (a < b) of the ids of different lines within ``threshold`` edits."""
-    if min_chars <= threshold:
-        raise ValueError("lines must be longer than the threshold")
     texts = lines.select("line_id", "line").filter(F.char_length("line") >= min_chars)
     shape = "line_id long, line string"
     once = texts.mapInArrow(_fresh_lines, shape).repartition("line_id").mapInArrow(_fresh_lines, shape)

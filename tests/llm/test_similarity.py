@@ -174,6 +174,29 @@ def test_line_links_match_brute_force(spark, monkeypatch, few, block):
         assert r.kept == (first.setdefault(r.class_id, (r.doc_id, r.line_no)) == (r.doc_id, r.line_no))
 
 
+def test_distances_of_short_strings():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 6))) for _ in range(60)]
+    pairs = [(a, b) for a in words for b in words]
+    for threshold in (1, 2, 3):
+        got = line_dedup.within([a for a, _ in pairs], [b for _, b in pairs], threshold)
+        assert got.tolist() == [min(_distance(a, b), threshold + 1) for a, b in pairs]
+
+
+@pytest.mark.parametrize("few,block", [(64, 256), (1, 3)])
+def test_short_lines_are_linked_too(spark, monkeypatch, few, block):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(4)
+    texts = {"".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 14))) for _ in range(150)} | {"Le | treque.", "Le treque.", "a", "é"}
+    df = spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id long, text string").repartition(3)
+    lines = line_dedup.document_lines(df)
+    text = {r.line_id: r.line for r in lines.collect()}
+    ids = sorted(text)
+    expected = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if _distance(text[a], text[b]) <= 2}
+    assert {(r.a, r.b) for r in line_dedup.linked_lines(spark, lines).collect()} == expected
+
+
 def test_lines_of_odd_rows(spark, odd_docs, no_docs):
     rows = line_dedup.line_classes(spark, odd_docs).collect()
     assert {r.doc_id for r in rows} == {1, 2, 6, 7, 8, None}
