@@ -7,7 +7,7 @@ being gathered anywhere.  Tokens of equal vectors form a class.  A class is vali
 and closing tag), has support enough and hangs below at most one other class; valid classes nest into the host's template, and the texts in
 them are template text.  What is left are slots.  The text of a page is that of its slots, without those whose place says
 that they are no part of the article: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments.  If the page has article or main elements, only slots inside them count.
+and reader comments; a part of a paragraph that is such goes alone.  If the page has article or main elements, only slots inside them count.
 
 Support is at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's.  Pages of a host with the same text outside the
 places named above count as one page, whatever their markup.  A page is a near copy, and does not count, if the text
@@ -111,30 +111,21 @@ def parsed(page: str) -> tuple[list[tuple[int, int]], list[Block]]:
     blocks: list[Block] = []
     stack = [_Element("", 0, False, False, False, False)]
     open_names: Counter[str] = Counter()
-    parts: list[str] = []
-    holder: list[_Element] = []  # element of the first text of the block
-    linked = unlinked = 0
+    runs: list[tuple[str, _Element]] = []  # texts of the block
 
     def text(raw: str) -> None:
-        nonlocal linked, unlinked
         if raw:
-            parts.append(raw)
-            if not raw.isspace():
-                holder.append(stack[-1])
-                if stack[-1].link:
-                    linked += 1
-                else:
-                    unlinked += 1
+            runs.append((raw, stack[-1]))
 
     def flush() -> None:
-        nonlocal linked, unlinked
-        if holder:
-            whole = " ".join(entities.unescape("".join(parts)).split())
+        # runs that are outside stand for the block only if there is nothing else in it
+        for some in ([r for r in runs if not r[1].outside], runs):
+            whole = " ".join(entities.unescape("".join(raw for raw, _ in some)).split())
             if whole:
-                blocks.append(Block(whole, holder[0], holder[0].listed and linked > 0 and not unlinked))
-        parts.clear()
-        holder.clear()
-        linked = unlinked = 0
+                holders = [e for raw, e in some if not raw.isspace()]
+                blocks.append(Block(whole, holders[0], holders[0].listed and all(e.link for e in holders)))
+                break
+        runs.clear()
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
@@ -152,7 +143,7 @@ def parsed(page: str) -> tuple[list[tuple[int, int]], list[Block]]:
             continue
         name = name.lower()
         if name == "br":
-            parts.append(" ")
+            text(" ")
             continue
         if name not in INLINE:
             flush()

@@ -127,6 +127,13 @@ def test_article_of_a_page():
     assert html_template.main_text("<p title='a>b'>x</p><p class=\"y>z</p>", set()).startswith("x")
 
 
+def test_parts_of_a_paragraph_that_are_outside_go_alone():
+    page = """<article><p><span class="ad">Ad</span> The article goes on <a class=share href=/s>Share</a>and on.</p>
+<p><a class="share">Share</a> text</p><p><span hidden>no</span>yes</p><p>One<span class=ad> ad</span> <b>two</b></p>
+<p class=ad>Buy <b>now</b></p><p><i class=ad>Only this</i></p></article>"""
+    assert html_template.main_text(page, set()).split("\n") == ["The article goes on and on.", "text", "yes", "One two"]
+
+
 def test_template_text_is_deduced_from_the_pages_of_a_host(spark):
     def page(k, extra=""):
         replies = "".join(f"<li><p>reader {k}{i}</p><p>Reply to this</p></li>" for i in range(k % 4 + 1))
