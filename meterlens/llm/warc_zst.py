@@ -2,7 +2,7 @@
 
 Each task writes its pages into archives of at most ``ARCHIVE_BYTES`` of records (a larger record has one of
 its own).  An archive begins with a skippable frame (magic 0x184D2A5D) that holds a Zstandard dictionary
-built from the archive's own records, an even spread of at most ``SAMPLE_BYTES``; every record follows as a frame of
+built from the archive's own records, slices of at most ``SAMPLE_BYTES`` in all, spread over records and their lengths; every record follows as a frame of
 its own, compressed with that dictionary, so each can be read alone by its offset.  Archives are rows
 (archive id, bytes), since only Spark reaches every store; ``tofile`` of the bytes is the .warc.zst file.
 
@@ -22,6 +22,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +60,14 @@ def _record(page_id, url: str | None, digest: str, size: int, payload: bytes | N
 
 
 def _dictionary(records: list[bytes], sample_bytes: int) -> bytes:
-    """A dictionary from an even spread of record heads; a plain-content one where there is too little to train on."""
+    """A dictionary from slices of records, at places told by their hashes; a plain-content one where there is too little to train on."""
     share = max(256, sample_bytes // max(1, len(records)))
-    step = max(1, len(records) * 256 // sample_bytes)
-    samples = [r[:share] for r in records[::step]]
+    marks = [xxhash.xxh64_intdigest(r) for r in records]
+    chosen = sorted(range(len(records)), key=marks.__getitem__)[: max(1, sample_bytes // share)]
+    samples = []
+    for k in sorted(chosen):
+        at = marks[k] % (max(0, len(records[k]) - share) + 1)
+        samples.append(records[k][at : at + share])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:

@@ -61,6 +61,20 @@ def test_small_payloads_can_stay_responses(spark):
     assert kinds == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
+def test_dictionary_samples_reach_into_records(monkeypatch):
+    seen = []
+    monkeypatch.setattr(warc_zst.zstandard, "train_dictionary", lambda size, samples, level: seen.extend(samples) or warc_zst.zstandard.ZstdCompressionDict(b" " * 8))
+    records = [b"h" * 1000 + bytes([65 + k % 26]) * 7000 for k in range(1000)]
+    warc_zst._dictionary(records, 1 << 20)
+    assert sum(map(len, seen)) <= 1 << 20 and len(seen) == 1000
+    assert sum(s.count(b"h") for s in seen) < 0.25 * sum(map(len, seen))
+    ends = sum(r.endswith(s) or s in r[4000:] for r, s in zip(records, seen, strict=True))
+    assert ends > 300
+    seen.clear()
+    warc_zst._dictionary([b"%d" % k * 300 for k in range(10000)], 1 << 20)
+    assert 4000 <= len(seen) and sum(map(len, seen)) <= 1 << 20
+
+
 def test_damage_is_noticed():
     good = warc_zst.write_archive([b"WARC/1.1\r\n" + bytes([k]) * 50 for k in range(20)])
     with pytest.raises(ValueError, match="no dictionary"):
