@@ -111,7 +111,8 @@ def resampled(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: fl
     )
     # one group, each row counting once: written as columns, so that its joins stay joins by key
     scored = staged(spark, scored.withColumn("whole", F.lit(0)).withColumn("one", F.lit(1).cast("long")), "scored")
-    need = scored.groupBy("whole").agg(F.floor(F.count("*") * share + 0.5).cast("double").alias("need"))
+    # one row of known size, so that no join on the one group shuffles all rows to one task
+    need = staged(spark, scored.groupBy("whole").agg(F.floor(F.count("*") * share + 0.5).cast("double").alias("need")), "need")
     cut = order_cut(scored, need, "whole", "place", "one", ["doc_id"], (3, 6, 9, 12))
     cut = cut.first()  # one row at most
     if cut is None:

@@ -124,6 +124,16 @@ def test_resampling_takes_the_largest_keys(spark):
         assert {r.doc_id for r in rows if r.selected} == best
 
 
+def test_need_is_a_staged_row(spark, monkeypatch):
+    seen = []
+    cut = importance.order_cut
+    monkeypatch.setattr(importance, "order_cut", lambda rows, need, *rest: seen.append(need) or cut(rows, need, *rest))
+    docs = spark.createDataFrame([(k, f"word{k % 7} and more") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    assert sum(r.selected for r in importance.resampled(spark, docs, labels).collect()) == 25
+    assert "Aggregate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString() and seen[0].count() == 1
+
+
 def test_log_weights_match_brute_force(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
     good = importance.good_ids(labels)
