@@ -261,7 +261,7 @@ def templates(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES,
     common = seen.select("host", F.explode("texts").alias("token")).groupBy("host", "token").agg(F.count("*").alias("support"))
     common = common.filter(F.col("support") >= min_pages).join(hosts, "host").filter(F.col("support") >= min_share * F.col("host_pages"))
     common = staged(spark, common.groupBy(F.col("host").alias("c_host")).agg(F.collect_set("token").alias("common")), "common")
-    counting = seen.join(common, F.col("host") == F.col("c_host")).select("host", "content", "tokens", "texts", "chars", "common")
+    counting = seen.join(common, F.col("host") == F.col("c_host"), "left").select("host", "content", "tokens", "texts", "chars", "common")
     counting = counting.mapInArrow(_counting, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seen.select("host", "content", "tokens").schema))
     counting = staged(spark, counting, "counting")
     hosts = counting.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= min_pages)
