@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from meterlens.llm import decontamination, html_template, importance, language_id, line_dedup, minhash, mixing, packing, quality_rules, warc_zst
+from meterlens.llm import (
+    decontamination,
+    html_template,
+    importance,
+    language_id,
+    line_dedup,
+    minhash,
+    mixing,
+    packing,
+    periodic_runs,
+    piece_codec,
+    quality_rules,
+    token_alignment,
+    warc_zst,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_minmax_near_dedup": minhash.op9_minmax_near_dedup,
     "op10_html_template": html_template.op10_html_template,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_piece_codec": piece_codec.op13_piece_codec,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
