@@ -40,9 +40,11 @@ from meterlens.llm.textnum import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Parts of more characters are not remembered.
 REMEMBERED_CHARS = 48
+#: Texts decoded at a time.
+ROWS = 256
 
 # fixed values of the model format
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -110,6 +112,14 @@ class PieceCodec:
                 self.bytes_of.append(" ⁇ ".encode() if kind == UNKNOWN else b"")
             else:
                 raise ValueError(f"piece {piece!r} is of a kind that is not supported")
+        self._automaton = None
+        self._known: dict[str, list[int]] = {}
+        self._old: dict[str, list[int]] = {}
+        self._fit: dict[str, dict[str, bool]] = {}
+        self._pairs = 0
+
+    def _prepare(self) -> None:
+        """What only encoding needs."""
         self._automaton = ahocorasick.Automaton()
         for piece in self.ids:
             self._automaton.add_word(piece, len(piece))
@@ -117,10 +127,6 @@ class PieceCodec:
         inner = "".join(map(re.escape, sorted({c for p in self.ids for c in p} - {BLANK})))
         crossing = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         self._parts = re.compile(f"[{BLANK}{inner}]+|." if crossing else f"{BLANK}*[{inner}]+|{BLANK}+|.", re.DOTALL).findall
-        self._known: dict[str, list[int]] = {}
-        self._old: dict[str, list[int]] = {}
-        self._fit: dict[str, dict[str, bool]] = {}
-        self._pairs = 0
         # length of the longest piece that is a proper prefix; a single character always is one, 0 if none is left
         self._shorter = {p: next((n for n in range(len(p) - 1, 1, -1) if p[:n] in self.ids), min(len(p) - 1, 1)) for p in self.ids}
 
@@ -157,6 +163,8 @@ class PieceCodec:
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text whose blanks are replaced; a character outside the vocabulary is one of them."""
+        if self._automaton is None:
+            self._prepare()
         n = len(text)
         longest = [1] * n
         for last, size in self._automaton.iter(text):  # longest first at each end, ends in order: later ones are longer
@@ -207,6 +215,8 @@ class PieceCodec:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
+        if self._automaton is None:
+            self._prepare()
         ids: list[int] = []
         for part in self._parts(BLANK + text.replace(" ", BLANK)):
             found = self._known.get(part)
@@ -279,8 +289,13 @@ def decoded(rows: DataFrame, *keep: str, path: str = MODEL) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model)
         for batch in batches:
-            texts = [codec.decode(ids or []) for ids in batch.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(texts, pa.string())], [*keep, "decoded"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lists = part.column("_ids")
+                ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).tolist()
+                flat = lists.flatten().to_numpy()
+                texts = [codec.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(texts, pa.string())], [*keep, "decoded"])
 
     return rows.select(*keep, F.col("ids").alias("_ids")).mapInArrow(work, f"{_kept(rows, keep, 'decoded')}decoded string")
 
