@@ -7,6 +7,11 @@ longer one is cut along diagonals: a binary search finds for every ``PIECE_STEPS
 come before it, so pieces have equal work and know nothing of each other; Spark deals them out by (text, piece).  Each
 emits the overlaps of its tokens and the groups that end in it; what is open at its ends is stitched per text.
 
+In front of a blank behind a character that is no white space, tokens of both sides always end: side A's pattern matches none
+across, and no piece of side B has a blank behind another character (else texts stay whole).  Short texts are cut
+there, and of equal parts of a batch one is encoded; the different parts are merged, one behind the other, in pieces
+as above.
+
 Ids that are linked end alike, so the bytes of one are a suffix of the other's.  The vocabularies thus bound the
 number of id pairs, whatever the corpus (about half a million for the default ones, see ``Pairs``): pairs have fixed
 numbers, their counts over the corpus are one small table that goes through the driver back to the tasks.
@@ -26,6 +31,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +40,14 @@ from pyspark.sql import functions as F
 
 from meterlens.llm.common import read, staged
 from meterlens.llm.packing import _encoding, vocabulary
-from meterlens.llm.piece_codec import MODEL
-from meterlens.llm.textnum import slices
+from meterlens.llm.piece_codec import BLANK, MODEL
+from meterlens.llm.textnum import BASE, BYTE_CODES, mixed, slices
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 LONG_BYTES = 1 << 16
 PIECE_STEPS = 1 << 14
+#: Parts that side B encodes together.
+RUN = 128
 NEW = ("n_a", "n_b", "n_groups", "groups", "links")
 FIELDS = "n_a long, n_b long, n_groups long, groups string, links array<int>"
 
@@ -163,6 +171,9 @@ class Aligner:
         self.a, self.b = side_a(file), side_b(model)
         self._encode_a = _encoding({x: k for k, x in enumerate(self.a) if x}).encode_ordinary
         self._encode_b = sentencepiece.SentencePieceProcessor(model_proto=model).encode
+        # what the library gives no ids for: a blank in front of nothing
+        self._blank = [sentencepiece.SentencePieceProcessor(model_proto=model).piece_to_id(BLANK)]
+        self._uncut = any(b" " in x.lstrip(b" ") for x in self.b)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a, self.b))
         self.pairs = Pairs.__new__(Pairs)
         self.pairs.width, self.pairs.keys = len(self.b), keys
@@ -184,6 +195,50 @@ class Aligner:
                 out.append((nothing, nothing))
         return out
 
+    def learn(self, parts: list[str], steps: int) -> "Parts":
+        """What parts have that are encoded one behind the other.  None but a single one may end in white space."""
+        text, sizes = "".join(parts), np.array([len(part.encode()) for part in parts], np.int64)
+        whole = text.encode()
+        a_ids = np.array(self._encode_a(text), np.int64)
+        # the library's time grows faster than its text
+        runs = ["".join(parts[k : k + RUN])[1:] for k in range(0, len(parts), RUN)]
+        b_ids = np.array(list(chain.from_iterable(self._encode_b(runs, num_threads=1))) or self._blank, np.int64)
+        if not (b"".join([self.b[k] for k in b_ids.tolist()]) == whole == b"".join([self.a[k] for k in a_ids.tolist()])):
+            if len(parts) > 1:
+                return Parts.joined([self.learn([part], steps) for part in parts])
+            return Parts(*np.zeros((3, 1), np.int64), [""], np.zeros(0, np.int32), np.array([False]))
+        a_ends, b_ends, upto = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids]), np.cumsum(sizes)
+        links, a_cuts, b_cuts = [], [], []
+        for piece in cut(a_ids, a_ends, b_ids, b_ends, steps):
+            a, b, closed = piece.overlaps()
+            links.append(self.links(piece, a[closed], b[closed]))
+            a_cuts.append(a[closed] + 1 + piece.a_from)
+            b_cuts.append(b[closed] + 1 + piece.b_from)
+        links, a_cuts, b_cuts = (np.concatenate(x) for x in (links, a_cuts, b_cuts))
+        written = self.written(a_ids, b_ids, a_cuts, b_cuts)
+        a_upto, b_upto, g_upto = (np.searchsorted(ends, upto, side="right") for ends in (a_ends, b_ends, a_ends[a_cuts - 1]))
+        last = (a_upto + b_upto).tolist()
+        groups = ["".join(written[i:j])[:-1] for i, j in zip([0, *last], last, strict=False)]
+        n_a, n_b, n_groups = (np.diff(x, prepend=0) for x in (a_upto, b_upto, g_upto))
+        return Parts(n_a, n_b, n_groups, groups, links, np.ones(len(parts), bool))
+
+    def texts(self, texts: list[str | None], steps: int) -> "Parts":
+        """What whole texts have; of equal parts one is encoded."""
+        blocks = [(" " + text).encode() if text else b"" for text in texts]
+        ends = np.cumsum([len(b) for b in blocks])
+        data = np.frombuffer(b"".join(blocks), np.uint8)
+        starts = part_starts(data, ends, self._uncut)
+        which, first = equal_parts(data, starts)
+        stop = np.append(starts[1:], len(data))
+        parts = [data[a:b].tobytes().decode() for a, b in zip(starts[first].tolist(), stop[first].tolist(), strict=True)]
+        alone, together = [], []
+        for k, part in enumerate(parts):
+            (alone if part[-1].isspace() else together).append(k)
+        found = Parts.joined(([self.learn([parts[k] for k in together], steps)] if together else []) + [self.learn([parts[k]], steps) for k in alone])
+        place = np.zeros(len(parts), np.int64)
+        place[together + alone] = np.arange(len(parts))
+        return found.gathered(place[which], np.searchsorted(starts, np.append(0, ends)))
+
     def written(self, a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> list[str]:
         """The ids of closed groups in the order in which they are written, each with what follows it."""
         place = np.zeros(len(a_ids) + len(b_ids), np.int64)
@@ -201,26 +256,77 @@ class Aligner:
         return self.pairs.numbers(np.append(piece.a_ids, piece.a_before_id)[a], piece.b_ids[b]).astype(np.int32)
 
 
+def part_starts(data: np.ndarray, ends: np.ndarray, uncut: bool) -> np.ndarray:
+    """Where parts begin in the UTF-8 of texts: at texts, and at blanks behind a character that is no white space."""
+    begin = np.zeros(len(data) + 1, bool)
+    begin[np.append(0, ends)] = True
+    if not uncut and len(data) > 3:
+        one, two, three = (np.concatenate([np.zeros(k, np.uint8), data[:-k]]) for k in (1, 2, 3))
+        space = ((one >= 9) & (one <= 13)) | ((one >= 28) & (one <= 32)) | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+        space |= ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80))
+        begin[:-1] |= (data == 32) & ~space
+    return np.flatnonzero(begin[:-1])
+
+
+def equal_parts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the different part that each part is, a part for each of these); hashes propose, bytes decide."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(data)))
+    powers = np.cumprod(np.full(int(sizes.max()), BASE, np.uint64))
+    inside = np.arange(len(data)) - np.repeat(starts, sizes)
+    hashes = mixed(np.add.reduceat(BYTE_CODES[data] * powers[inside], starts) + sizes.astype(np.uint64))
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    like = first[which]
+    if (sizes[like] != sizes).any() or (data[np.repeat(starts[like], sizes) + inside] != data).any():
+        first = which = np.arange(len(starts))
+    return which, first
+
+
+@dataclass
+class Parts:
+    """Tokens of both sides, groups, written groups, pair numbers one behind the other, and whether tokens give the part again."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    groups: list[str]
+    links: np.ndarray
+    good: np.ndarray
+
+    @staticmethod
+    def joined(some: list["Parts"]) -> "Parts":
+        if not some:
+            return Parts(*np.zeros((3, 0), np.int64), [], np.zeros(0, np.int32), np.zeros(0, bool))
+        arrays = {name: np.concatenate([getattr(p, name) for p in some]) for name in ("n_a", "n_b", "n_groups", "links", "good")}
+        return Parts(**arrays, groups=list(chain.from_iterable(p.groups for p in some)))
+
+    def gathered(self, which: np.ndarray, bounds: np.ndarray) -> "Parts":
+        """Of texts made of the parts ``which``, cut at ``bounds``; a text with a part that is not good has nothing."""
+        upto = np.append(0, np.cumsum(self.good[which]))
+        good = upto[bounds[1:]] - upto[bounds[:-1]] == bounds[1:] - bounds[:-1]
+        use = np.repeat(good, np.diff(bounds))
+        sums = []
+        for n in (self.n_a, self.n_b, self.n_groups):
+            upto = np.append(0, np.cumsum(np.where(use, n[which], 0)))
+            sums.append(upto[bounds[1:]] - upto[bounds[:-1]])
+        written = np.array(self.groups, object)[which]
+        groups = [";".join(written[a:b]) if ok else "" for a, b, ok in zip(bounds.tolist(), bounds[1:].tolist(), good.tolist(), strict=False)]
+        sizes = np.where(use, self.n_groups[which], 0)
+        begins = (np.cumsum(self.n_groups) - self.n_groups)[which]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
+        return Parts(*sums, groups, self.links[at], good)
+
+
 def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def _align(batches: Iterator[pa.RecordBatch], aligner: Aligner, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    """Texts as they come, those of a batch one behind the other: a text's last tokens end alike, so none runs into the next."""
+def _align(batches: Iterator[pa.RecordBatch], aligner: Aligner, keep: list[str], steps: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "_text", 1 << 19):
-            found = aligner.tokens(part.column("_text").to_pylist())
-            a_ids, b_ids = (np.concatenate([t[k] for t in found]) for k in (0, 1))
-            n_a, n_b = (np.array([len(t[k]) for t in found], np.int64) for k in (0, 1))
-            piece = Piece(a_ids, np.cumsum(aligner.a_sizes[a_ids]), b_ids, np.cumsum(aligner.b_sizes[b_ids]))
-            a, b, closed = piece.overlaps()
-            a, b = a[closed], b[closed]
-            text_of = np.searchsorted(np.cumsum(n_a), a, side="right")
-            n_groups = np.bincount(text_of, minlength=part.num_rows)
-            written = aligner.written(a_ids, b_ids, a + 1, b + 1)
-            ends = np.cumsum(n_a + n_b)
-            groups = ["".join(written[end - size : end])[:-1] for end, size in zip(ends.tolist(), (n_a + n_b).tolist(), strict=True)]
-            new = [pa.array(n_a), pa.array(n_b), pa.array(n_groups), pa.array(groups, pa.string()), _lists(aligner.links(piece, a, b), n_groups)]
+        for part in slices(batch, "_text", 1 << 21):
+            has = aligner.texts(part.column("_text").to_pylist(), steps)
+            new = [pa.array(has.n_a), pa.array(has.n_b), pa.array(has.n_groups), pa.array(has.groups, pa.string()), _lists(has.links, has.n_groups)]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *new], [*keep, *NEW])
 
 
@@ -313,7 +419,7 @@ def aligned(
     names = list(keep)
     texts = docs.select(*keep, F.col("text").alias("_text"))
     is_long = F.coalesce(F.octet_length("_text"), F.lit(0)) > long_bytes
-    short = texts.filter(~is_long).mapInArrow(lambda batches: _align(batches, Aligner(*vocabularies, keys), names), _kept(docs, keep) + FIELDS)
+    short = texts.filter(~is_long).mapInArrow(lambda batches: _align(batches, Aligner(*vocabularies, keys), names, steps), _kept(docs, keep) + FIELDS)
 
     # staged, so that a row keeps its number
     carried, kept = ["_row", *names], "_row long, " + _kept(docs, keep)
