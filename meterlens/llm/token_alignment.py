@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from meterlens.llm.common import read, staged
 from meterlens.llm.packing import _encoding, vocabulary
 from meterlens.llm.piece_codec import BLANK, MODEL
-from meterlens.llm.textnum import BASE, BYTE_CODES, mixed, slices
+from meterlens.llm.textnum import equal_parts, slices
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 LONG_BYTES = 1 << 16
@@ -268,21 +268,6 @@ def part_starts(data: np.ndarray, ends: np.ndarray, uncut: bool) -> np.ndarray:
     return np.flatnonzero(begin[:-1])
 
 
-def equal_parts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the different part that each part is, a part for each of these); hashes propose, bytes decide."""
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(data)))
-    powers = np.cumprod(np.full(int(sizes.max()), BASE, np.uint64))
-    inside = np.arange(len(data)) - np.repeat(starts, sizes)
-    hashes = mixed(np.add.reduceat(BYTE_CODES[data] * powers[inside], starts) + sizes.astype(np.uint64))
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    like = first[which]
-    if (sizes[like] != sizes).any() or (data[np.repeat(starts[like], sizes) + inside] != data).any():
-        first = which = np.arange(len(starts))
-    return which, first
-
-
 @dataclass
 class Parts:
     """Tokens of both sides, groups, written groups, pair numbers one behind the other, and whether tokens give the part again."""
@@ -324,7 +309,7 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def _align(batches: Iterator[pa.RecordBatch], aligner: Aligner, keep: list[str], steps: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "_text", 1 << 21):
+        for part in slices(batch, "_text", 1 << 19):
             has = aligner.texts(part.column("_text").to_pylist(), steps)
             new = [pa.array(has.n_a), pa.array(has.n_b), pa.array(has.n_groups), pa.array(has.groups, pa.string()), _lists(has.links, has.n_groups)]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *new], [*keep, *NEW])
