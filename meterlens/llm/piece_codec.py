@@ -8,8 +8,8 @@ fits, the last one is given up for its next shorter prefix.  The pieces that lea
 so a position that failed once is marked in a bitfield and never tried again; the work is linear in the text.
 
 Equal priorities (runs of blanks have them) go to the leftmost pair, as in the library.  Texts are cut where no merge
-can reach across: before a run of blanks, and beside characters that no piece contains; the parts are remembered per
-task, ``REMEMBERED`` at most of each kind, which changes the speed only.
+can reach across: before a run of blanks, and beside characters that no piece contains; parts are remembered per
+task, ``REMEMBERED`` at most, which changes the speed only.
 
 One narrow pass, no shuffle: a task that is run again gives the same rows.  The model (half a megabyte) is read by
 the driver and sent to the tasks.
@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -40,7 +42,7 @@ from meterlens.llm.textnum import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 #: Parts of more characters are not remembered.
 REMEMBERED_CHARS = 48
 #: Texts decoded at a time.
@@ -113,9 +115,8 @@ class PieceCodec:
             else:
                 raise ValueError(f"piece {piece!r} is of a kind that is not supported")
         self._automaton = None
-        self._known: dict[str, list[int]] = {}
-        self._old: dict[str, list[int]] = {}
-        self._fit: dict[str, dict[str, bool]] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
+        self._fit: defaultdict[str, dict[str, bool]] = defaultdict(dict)
         self._pairs = 0
 
     def _prepare(self) -> None:
@@ -154,61 +155,67 @@ class PieceCodec:
         return self.merged(left + right) == ([left, right] if left else [right])
 
     def _behind(self, left: str, right: str) -> bool:
-        if self._pairs >= REMEMBERED:
-            self._fit.clear()
-            self._pairs = 0
-        self._pairs += 1
-        found = self._fit.setdefault(left, {})[right] = self.fits(left, right)
+        found = self._fit[left].get(right)
+        if found is None:
+            if self._pairs >= REMEMBERED:
+                for some in self._fit.values():  # emptied in place: a caller may hold one
+                    some.clear()
+                self._pairs = 0
+            self._pairs += 1
+            found = self._fit[left][right] = self.fits(left, right)
         return found
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text whose blanks are replaced; a character outside the vocabulary is one of them."""
         if self._automaton is None:
             self._prepare()
-        n = len(text)
-        longest = [1] * n
-        for last, size in self._automaton.iter(text):  # longest first at each end, ends in order: later ones are longer
-            longest[last - size + 1] = size
-        failed, failures = bytearray((n >> 3) + 1), False
+        n, matches, fit, shorter = len(text), self._automaton.iter_long, self._fit, self._shorter
         taken: list[str] = []
-        fit, shorter, nothing = self._fit, self._shorter, {}
+        failed: bytearray | None = None  # one bit for each position
         before, at = "", 0
-        behind = fit.get(before, nothing)
         while at < n:
-            size = longest[at]
+            piece = ""
+            for last, size in matches(text, at):  # longest matches one behind the other, as long as they fit
+                end = last + 1
+                if end - size != at:
+                    break
+                piece = text[at:end]
+                if failed is not None and failed[end >> 3] >> (end & 7) & 1:
+                    break
+                if not (fit[before].get(piece) or self._behind(before, piece)):
+                    break
+                taken.append(piece)
+                before, at, piece = piece, end, ""
+            if at == n:
+                break
+            # a character of no piece, or a shorter prefix, or another piece before
+            size = shorter.get(piece, 0) if piece else 1
             while True:
-                end = at + size
-                if not failures or not failed[end >> 3] >> (end & 7) & 1:
-                    piece = text[at:end]
-                    good = behind.get(piece)
-                    if good or (good is None and self._behind(before, piece)):
-                        break
-                size = shorter.get(text[at:end], 0)
-                while size == 0:  # nothing fits here: give up the piece before
-                    failures = True
+                while size == 0:
+                    if failed is None:
+                        failed = bytearray((n >> 3) + 1)
                     failed[at >> 3] |= 1 << (at & 7)
                     piece = taken.pop()
                     at -= len(piece)
                     before = taken[-1] if taken else ""
-                    behind = fit.get(before, nothing)
                     size = shorter.get(piece, 0)
+                end = at + size
+                piece = text[at:end]
+                if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (fit[before].get(piece) or self._behind(before, piece)):
+                    break
+                size = shorter.get(piece, 0)
             taken.append(piece)
             before, at = piece, end
-            behind = fit.get(before, nothing)
         return taken
 
-    def _part(self, part: str) -> list[int]:
-        ids = self._old.get(part)
-        if ids is not None:
-            self._known[part] = ids
-            return ids
+    def _part(self, part: str) -> tuple[int, ...]:
         pieces = self.pieces(part)
-        ids = list(map(self.ids.get, pieces))
+        ids = tuple(map(self.ids.get, pieces))
         if None in ids:
-            ids = [j for k, piece in zip(ids, pieces, strict=True) for j in ([k] if k is not None else map(self.byte_ids.__getitem__, piece.encode()))]
+            ids = tuple(j for k, piece in zip(ids, pieces, strict=True) for j in ([k] if k is not None else map(self.byte_ids.__getitem__, piece.encode())))
         if len(part) <= REMEMBERED_CHARS:
-            if len(self._known) >= REMEMBERED:  # the older half goes, whatever was used since came back
-                self._old, self._known = self._known, {}
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
             self._known[part] = ids
         return ids
 
@@ -217,15 +224,12 @@ class PieceCodec:
             return []
         if self._automaton is None:
             self._prepare()
-        ids: list[int] = []
-        for part in self._parts(BLANK + text.replace(" ", BLANK)):
-            found = self._known.get(part)
-            ids += self._part(part) if found is None else found
-        return ids
-
-    def token_bytes(self) -> list[bytes]:
-        """The bytes each id stands for inside a text (its blank as a space)."""
-        return self.bytes_of
+        parts = self._parts(BLANK + text.replace(" ", BLANK))
+        found = list(map(self._known.get, parts))
+        if None in found:
+            known = self._known
+            found = [(known.get(part) or self._part(part)) if ids is None else ids for part, ids in zip(parts, found, strict=True)]
+        return list(chain.from_iterable(found))
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes_of
@@ -256,12 +260,6 @@ def _each_wrong_byte(data: bytes) -> str:
     return "".join(out)
 
 
-def _id_lists(lists: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-    flat = np.fromiter((k for ids in lists for k in ids), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
 def _kept(df: DataFrame, keep: tuple[str, ...], new: str) -> str:
     if new in keep:
         raise ValueError(f"a kept column may not be named {new}")
@@ -276,8 +274,10 @@ def encoded(docs: DataFrame, *keep: str, path: str = MODEL) -> DataFrame:
         codec = PieceCodec(model)
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
-                ids = _id_lists([codec.encode(text) if text else [] for text in part.column("_text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), ids], [*keep, "ids"])
+                ids = [codec.encode(text or "") for text in part.column("_text").to_pylist()]
+                flat = np.array(list(chain.from_iterable(ids)), np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), lists], [*keep, "ids"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(work, f"{_kept(docs, keep, 'ids')}ids array<int>")
 
