@@ -92,7 +92,7 @@ case(
 )
 case(
     "w_table_access_detail",
-    lambda t: a.w_table_access_detail(t[TS], events(t), DOMAIN, EMPLOYEES),
+    lambda t: a.w_table_access_detail(t[TS], a.by_query(events(t)), DOMAIN, EMPLOYEES),
     f"SELECT o.own AS qualified_name, coalesce(l.bytes, 0) / {GB}::DOUBLE AS active_gb, user_name, read_count, write_count FROM ("
     f"SELECT upper(object_name) AS qualified_name, {BUCKET.format('user_name')} AS user_name, "
     "count(DISTINCT CASE WHEN action = 'READ' THEN query_id END) AS read_count, "

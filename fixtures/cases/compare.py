@@ -26,6 +26,7 @@ from fixtures.cases.users import DAILY_ACTIVE
 from fixtures.views import DOMAIN
 from meterlens.operators import activity, automation, cost, inventory, storage, users
 from meterlens.plans import comparison, lakehouse, summary, warehouse
+from meterlens.plans.published import published_or
 from meterlens.plans.settings import stage_to
 from meterlens.session import scratch_dir
 from meterlens.sources import read_summary_json, user_types, write_summary_json
@@ -81,18 +82,15 @@ def _l_summary(t):
     stage = stage_to(scratch_dir(t.spark, "summary-rollups"))
     costs = stage("costs", priced(t, "usage_date", "sku_name"))
     cube = stage("query_cube", activity.l_query_cube(t[LH], EV))
-    daily = cost.l_daily_cost(costs)
     return summary.l_platform_summary(
-        activity.l_fold_compute(cube),
-        activity.query_totals(activity.l_fold_users(cube), "executed_by"),
+        cube,
         users.l_daily_active_users(users.l_audit_rollup(t["l_audit"], EV)),
-        daily,
-        cost.l_cost_by_sku(costs),
+        costs,
         inventory.l_object_inventory(t["l_tables"]),
         inventory.l_catalog_schema_counts(t["l_catalogs"], t["l_schemata"]),
         storage.l_storage(sizes(t)),
         automation.l_job_totals(job_rollup(t)),
-        cost.l_real_billed_total(billable(t), daily),
+        cost.l_real_billed_total(billable(t), cost.l_daily_cost(costs)),
         L_DAYS,
         GENERATED,
     )
@@ -182,9 +180,18 @@ def _stored(t, name, row):
     return read_summary_json(t.spark, path)
 
 
+STORES: dict[str, str] = {}
+
+
 def _both(t):
-    """The two summaries as their reports leave them."""
-    return _stored(t, "summary-w", _w_summary(t)), _stored(t, "summary-l", _l_summary(t))
+    """The two summaries as their reports leave them: published once per session and data, then looked up."""
+    session = t.spark.sparkContext.applicationId
+    store = STORES.setdefault(session, scratch_dir(t.spark, "summaries"))
+
+    def side(platform, days, build):
+        return published_or(t.spark, f"{store}/{t.sf_dir.strip('/')}", platform, days, GENERATED, lambda: build(t))
+
+    return side("warehouse", DAYS, _w_summary), side("lakehouse", L_DAYS, _l_summary)
 
 
 case(

@@ -3,7 +3,7 @@
 from fixtures.cases.access import LIVE, MANIFEST, SIZES, TS
 from fixtures.cases.registry import E_SINCE, E_UNTIL, EV, GB, L_SINCE, L_UNTIL, LI, O_SINCE, O_UNTIL, OR, case, day
 from meterlens.operators import ai_usage, automation, inventory, logins, ranking, storage
-from meterlens.sources import job_names, table_sizes_from_files
+from meterlens.sources import job_names, live_files, table_sizes_from_files
 
 # ---- expected labels, stated here on their own and not taken from the engine
 VERBS = (
@@ -73,6 +73,22 @@ def sizes(t):
     return table_sizes_from_files(t[MANIFEST], t["l_tables"])
 
 
+# of each file the last action, an add before a remove of the same version
+LIVE_FILES = (
+    "SELECT qualified_name, format, path, coalesce(length, 0) AS length FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name, format, path "
+    "ORDER BY version DESC, action, length DESC) AS n FROM l_table_log) WHERE n = 1 AND action = 'add'"
+)
+case("live_files", lambda t: live_files(t["l_table_log"]), "SELECT * FROM live", "l_table_log", ctes={"live": LIVE_FILES})
+case(
+    "table_sizes_from_log",
+    lambda t: table_sizes_from_files(live_files(t["l_table_log"]), t["l_tables"]),
+    "SELECT * FROM sizes",
+    "l_table_log",
+    "l_tables",
+    ctes={"live": LIVE_FILES, "bearing": BEARING}
+    | {"sizes": "SELECT qualified_name, format, count(*) AS num_files, CAST(sum(length) AS BIGINT) AS size_bytes FROM live "
+       "WHERE qualified_name IN (SELECT qualified_name FROM bearing) GROUP BY 1, 2"},
+)
 case(
     "l_storage",
     lambda t: storage.l_storage(sizes(t)),

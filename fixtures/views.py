@@ -379,6 +379,18 @@ VIEWS: dict[str, View] = {
             "length": "CAST(floor(l_extendedprice) AS BIGINT)",
         },
     ),
+    # files are added again and again, and every third action removes one
+    "l_table_log": View(
+        "lineitem",
+        {
+            "qualified_name": _l_table("l_partkey"),
+            "format": "CASE WHEN l_partkey%2=0 THEN 'delta' ELSE 'parquet' END",
+            "version": "CAST(l_orderkey*8+l_linenumber AS BIGINT)",
+            "action": "CASE WHEN (l_orderkey+l_linenumber)%3=0 THEN 'remove' ELSE 'add' END",
+            "path": "concat('part-',l_suppkey%4)",
+            "length": "CASE WHEN (l_orderkey+l_linenumber)%3=0 THEN NULL ELSE CAST(floor(l_extendedprice) AS BIGINT) END",
+        },
+    ),
     "l_job_runs": View(
         "orders",
         {

@@ -80,5 +80,9 @@ class Lookback(NamedTuple):
     def date(self, column: ColumnLike) -> Column:
         return lookback_date(column, self.as_of, self.days)
 
+    def day_span(self) -> tuple[date, date]:
+        """First and last day with a moment in the window."""
+        return _as_datetime(self.as_of).date() - timedelta(days=self.days), _last_day(self.as_of)
+
     def months(self) -> list[str]:
         return months_between(self.as_of, self.days)

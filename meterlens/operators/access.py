@@ -46,6 +46,11 @@ def access_events(access_history: DataFrame, window: Lookback) -> DataFrame:
     )
 
 
+def by_query(events: DataFrame) -> DataFrame:
+    """Events dealt out by query: every grain of distinct queries then folds without another shuffle of them."""
+    return events.repartition("query_id")
+
+
 def distinct_queries(events: DataFrame, *keys: str | Column) -> DataFrame:
     """Distinct queries per key, over tables only.
 
@@ -129,18 +134,19 @@ def w_table_access_detail(
     """Reads and writes per table and user bucket, the busiest first, with the size of the table.
 
     A query has one user, so its bucket is part of the distinct key.  Tables are matched by their case-folded
-    name and shown under the smallest of the names they were used by.
+    name and shown under the smallest of the names they were used by.  Counts and names both start from the distinct
+    touches; give events that are dealt :func:`by_query`, and those are one pass and one shuffle.
     """
-    used = _table_events(events)
-    bucketed = used.withColumn("user_name", bucket_people("user_name", domain, label))
+    columns = ("match_name", "object_name", "object_domain", "user_name", "action", "query_id")
+    used = _table_events(events).withColumn("user_name", bucket_people("user_name", domain, label)).select(*columns).distinct()
     counts = (
-        distinct_queries(bucketed, "match_name", "user_name", "action")
+        distinct_queries(used, "match_name", "user_name", "action")
         .groupBy("match_name", "user_name")
         .agg(*[_action_sum(action, name) for action, name in ((READ, "read_count"), (WRITE, "write_count"))])
     )
     top = top_k(counts, limit, F.col("read_count") + F.col("write_count"), "match_name", "user_name")
     sizes = live_tables(table_storage).groupBy("match_name").agg(F.sum("active_bytes").alias("active_bytes"))
-    names = used.select("match_name", "object_name")
+    names = used.groupBy("match_name", "object_name").agg(F.count(F.lit(1)).alias("_touches"))
     named = attach_to_top(top, "match_name", sizes, "match_name", "active_bytes", "_bytes")
     return attach_to_top(named, "match_name", names, "match_name", "object_name", "_name", F.min).select(
         F.col("_name").alias("qualified_name"),

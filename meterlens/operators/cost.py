@@ -18,7 +18,7 @@ from meterlens.functions import (
     sum_double,
     sum_exact,
 )
-from meterlens.operators.lookup import attach
+from meterlens.operators.lookup import attach, fits_broadcast
 from meterlens.operators.ranking import top_k, top_n_with_other
 
 # fixed values
@@ -163,15 +163,38 @@ def _at_list_price(usage: DataFrame, list_prices: DataFrame, extra_keys: Sequenc
     return u.join(p, condition)
 
 
+def _at_price_of_day(usage: DataFrame, list_prices: DataFrame, window: Lookback, extra_keys: Sequence[str]) -> DataFrame:
+    """As :func:`_at_list_price`, by (SKU, day).
+
+    Days before the window count as the day before it and later ones as the day after, on both sides, so prices
+    without an end and usage that started outside of its day's window are matched as well, and an interval has at
+    most as many rows as the window has days, and two.  The interval itself still decides.
+    """
+    first, last = (F.lit(day.isoformat()).cast("date") for day in window.day_span())
+    before, after = F.date_sub(first, 1), F.date_add(last, 1)
+
+    def day(at: str) -> Column:
+        return F.least(F.greatest(F.to_date(at), before), after)
+
+    days = F.sequence(day("price_start_time"), F.when(F.col("price_end_time").isNull(), after).otherwise(day("price_end_time")))
+    real = F.col("price_end_time").isNull() | (F.col("price_end_time") > F.col("price_start_time"))
+    expanded = list_prices.filter(real).withColumn("_day", F.explode(days))
+    return _at_list_price(usage.withColumn("_day", day("usage_start_time")), expanded, (*extra_keys, "_day"))
+
+
 def priced_usage(usage: DataFrame, list_prices: DataFrame, window: Lookback, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Usage, row by row, at the list price in force when it started.
 
-    An equi join on the SKU with the validity interval as residual condition.  Price lists are
-    small, so Spark broadcasts them when their size is under its threshold; beyond it both sides
-    shuffle and AQE splits a hot SKU.  Sums do not need the rows: see :func:`l_cost_rollup`.
-    ``extra_keys`` (cloud, currency ...) must exist on both sides.
+    A price list under Spark's broadcast threshold goes to every task: an equi join on the SKU with the validity
+    interval as residual condition, and usage stays where it is.  A larger one is expanded to the days that each
+    price holds, and both sides meet by (SKU, day), so that a hot SKU is spread over the days of the window.
+    Sums do not need the rows: see :func:`l_cost_rollup`.  ``extra_keys`` (cloud, currency ...) must exist on both
+    sides.
     """
-    return _at_list_price(usage.filter(window.date("usage_date")), list_prices, extra_keys).select(
+    rows = usage.filter(window.date("usage_date"))
+    small = fits_broadcast(list_prices)
+    priced = _at_list_price(rows, list_prices, extra_keys) if small else _at_price_of_day(rows, list_prices, window, extra_keys)
+    return priced.select(
         "u.usage_date",
         "u.sku_name",
         F.col("u.billing_origin_product").alias("product"),

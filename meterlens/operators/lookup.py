@@ -43,6 +43,13 @@ def attach_to_top(
     return attach(rows, key, dimension.join(wanted, dim_key, "left_semi"), dim_key, dim_value, alias, pick)
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of a table is under its broadcast threshold; an unknown size is not."""
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return threshold >= 0 and int(size) <= threshold
+
+
 def semi_filter(rows: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
     """Rows whose key is among the members."""
     return rows.join(members.select(F.col(member).alias(key)).distinct(), key, "left_semi")

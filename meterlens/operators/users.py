@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.functions import (
@@ -209,7 +211,15 @@ def l_actions_by_service(audit: DataFrame, window: Lookback) -> DataFrame:
 
 def avg_daily_active(daily: DataFrame, matches, value: str, alias: str) -> DataFrame:
     """Active users of the matching rows per day on which such rows exist; 0 if there are none."""
-    per_day = daily.filter(matches).groupBy("day").agg(F.sum(value).alias("n"))
+    return avg_daily_active_by(daily.filter(matches), {alias: F.lit(True)}, value)
+
+
+def avg_daily_active_by(daily: DataFrame, kinds: Mapping[str, Column], value: str) -> DataFrame:
+    """One row with such an average for each of several kinds, from one aggregate."""
+    per_day = daily.groupBy("day").agg(
+        *(F.sum(F.when(kind, F.col(value))).alias(f"_{alias}") for alias, kind in kinds.items()),
+        *(F.max(F.when(kind, 1)).alias(f"_has_{alias}") for alias, kind in kinds.items()),
+    )
     return per_day.agg(
-        F.round(safe_ratio(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))), 6).alias(alias)
+        *(F.round(safe_ratio(F.coalesce(F.sum(f"_{alias}"), F.lit(0)), F.count(f"_has_{alias}")), 6).alias(alias) for alias in kinds)
     )

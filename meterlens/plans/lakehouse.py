@@ -12,6 +12,7 @@ from meterlens.plans.settings import Inputs, ReportSettings, Stage, no_stage
 from meterlens.plans.summary import l_platform_summary
 from meterlens.sources.files import table_sizes_from_files
 from meterlens.sources.payloads import endpoint_names, principal_names
+from meterlens.sources.tablelog import live_files
 from meterlens.sources.tables import cluster_names, job_names
 
 Report = dict[str, DataFrame | None]
@@ -39,31 +40,35 @@ def no_sizes(rows: DataFrame) -> DataFrame:
 def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no_stage) -> Report:
     """All lakehouse measures by name.
 
-    Optional sources: the AI and ML tables, the file manifest, job payloads and the billed export
-    (``l_billable``); a measure whose source is missing is ``None``.
+    Optional sources: the AI and ML tables, the tables' logs (or a file manifest), job payloads and the billed
+    export (``l_billable``); a measure whose source is missing is ``None``.
     """
     domain, label, w = settings.domain, settings.employee_label, settings.window_of
     principals, endpoints = principal_names(inputs["l_principals"]), endpoint_names(inputs["l_endpoints"])
     clusters, jobs = cluster_names(inputs["l_clusters"]), job_names(inputs["l_jobs"])
 
     log, log_window = inputs["l_query_history"], w("l_query_history")
-    # each log is folded once; durations and errors are read from the log itself
-    cube = stage("query_cube", activity.l_query_cube(log, log_window))
+    # each log is folded once, and once more for sketches of durations; errors are read from the log itself
+    durations = stage.days("duration_sketches", lambda window: activity.l_duration_sketches(log, window), log_window)
+    cube = stage.days("query_cube", lambda window: activity.l_query_cube(log, window), log_window)
     compute, by_user = activity.l_fold_compute(cube), activity.l_fold_users(cube)
     # five cost tables, one pricing join
-    costs = stage("cost_rollup", cost.l_cost_rollup(inputs["l_usage"], inputs["l_list_prices"], w("l_usage")))
+    costs = stage("cost_rollup", cost.l_cost_rollup(inputs["l_usage"], inputs["l_list_prices"], w("l_usage")), w("l_usage"))
     daily_cost, by_sku = cost.l_daily_cost(costs), cost.l_cost_by_sku(costs)
     monthly = cost.l_monthly_cost_by_sku(costs)
     user_cost = cost.l_user_cost(costs, principals, domain, label)
     billable = inputs.get("l_billable")
     real = None if billable is None else cost.l_real_billed_total(billable, daily_cost)
 
-    audit_cube = stage("audit_cube", users.l_audit_cube(inputs["l_audit"], w("l_audit")))
+    audit_cube = stage("audit_cube", users.l_audit_cube(inputs["l_audit"], w("l_audit")), w("l_audit"))
     audit = users.l_fold_audit(audit_cube)
-    lineage = stage("lineage_rollup", access.l_lineage_rollup(inputs["l_lineage"], w("l_lineage")))
-    job_cube = stage("job_cube", automation.l_job_cube(inputs["l_job_runs"], w("l_job_runs")))
+    lineage = stage("lineage_rollup", access.l_lineage_rollup(inputs["l_lineage"], w("l_lineage")), w("l_lineage"))
+    job_cube = stage("job_cube", automation.l_job_cube(inputs["l_job_runs"], w("l_job_runs")), w("l_job_runs"))
     job_rollup = automation.l_fold_jobs(job_cube)
-    manifest = inputs.get("l_file_manifest")
+    # the log tells live files, a manifest is taken as it is
+    table_log, manifest = inputs.get("l_table_log"), inputs.get("l_file_manifest")
+    if table_log is not None:
+        manifest = live_files(table_log)
     sizes = None if manifest is None else stage("table_sizes", table_sizes_from_files(manifest, inputs["l_tables"]))
     exec_stats = activity.l_compute_exec_stats(compute, endpoints, clusters)
 
@@ -78,7 +83,8 @@ def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no
         "query_totals": activity.query_totals(by_user, "executed_by"),
         "daily_query_volume": activity.daily_stats(by_user, "executed_by"),
         "daily_volume_by_type": activity.volume_by_actor_type(by_user),
-        "daily_duration": activity.l_daily_duration(log, log_window),
+        "daily_duration": activity.durations_of(durations, seconds=False),
+        "monthly_duration": activity.durations_by_month(durations, seconds=False),
         "compute_exec_stats": exec_stats,
         "compute_signals": activity.l_compute_signals(compute, endpoints, clusters),
         "failure_rate": activity.failure_rate(exec_stats),
@@ -130,11 +136,9 @@ def lakehouse_report(inputs: Inputs, settings: ReportSettings, stage: Stage = no
     days = settings.window.days
     report["overview"] = overview(report["query_totals"], daily_cost, real, days)
     report["platform_summary"] = l_platform_summary(
-        compute,
-        report["query_totals"],
+        cube,
         report["daily_active_users"],
-        daily_cost,
-        by_sku,
+        costs,
         report["object_inventory"],
         report["catalog_schema_counts"],
         report["storage"],

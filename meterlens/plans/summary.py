@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meterlens.functions import bytes_to_gb, is_compute_sku, ms_to_seconds, safe_percent, sum_double, sum_long
 from meterlens.functions.labels import ACTOR_PERSON, ACTOR_SERVICE, PERSON
 from meterlens.operators.ranking import merge_one_row
-from meterlens.operators.users import avg_daily_active
+from meterlens.operators.users import avg_daily_active_by
 from meterlens.schemas import schema
 
 
@@ -51,10 +51,8 @@ def w_platform_summary(
     missing: dict[str, Column] = {}
     if daily_active_by_type is not None:
         person = F.col("user_type") == PERSON
-        parts += [
-            avg_daily_active(daily_active_by_type, person, "active_users", "active_users_human"),
-            avg_daily_active(daily_active_by_type, ~person, "active_users", "active_users_service"),
-        ]
+        kinds = {"active_users_human": person, "active_users_service": ~person}
+        parts.append(avg_daily_active_by(daily_active_by_type, kinds, "active_users"))
     else:
         missing |= {"active_users_human": F.lit(0.0), "active_users_service": F.lit(0.0)}
     if cost_basis is not None and cost_by_warehouse is not None:
@@ -96,12 +94,21 @@ def w_platform_summary(
     )
 
 
+def _list_costs(costs: DataFrame) -> DataFrame:
+    """One row: list price of all days, and of compute SKUs, each rounded as its own table shows it."""
+    sets = costs.groupingSets([["usage_date"], ["sku_name"]], "usage_date", "sku_name")
+    shown = sets.agg(sum_double("usd").alias("usd"), F.grouping("usage_date").alias("_by_sku"))
+    by_sku = F.col("_by_sku") == 1
+    return shown.agg(
+        sum_double(F.when(~by_sku, F.col("usd"))).alias("_list_usd"),
+        sum_double(F.when(by_sku & is_compute_sku("sku_name"), F.col("usd"))).alias("compute_cost_usd"),
+    )
+
+
 def l_platform_summary(
-    compute_rollup: DataFrame,
-    overview: DataFrame,
+    query_cube: DataFrame,
     daily_active_users: DataFrame,
-    daily_cost: DataFrame,
-    cost_by_sku: DataFrame,
+    costs: DataFrame,
     object_inventory: DataFrame,
     catalog_schema_counts: DataFrame,
     storage: DataFrame | None,
@@ -113,25 +120,25 @@ def l_platform_summary(
 ) -> DataFrame:
     """The total is the billed one if known; the compute share always stays a list-price estimate.
 
-    Without a file manifest storage counts as 0.
+    ``query_cube`` and ``costs`` are the staged rollups (``l_query_cube``; priced usage by day and SKU): each is read
+    by one aggregate, whatever number of measures it gives.  Without table sizes storage counts as 0.
     """
 
-    def actors(kind: str, alias: str) -> DataFrame:
-        return avg_daily_active(daily_active_users, F.col("actor_type") == kind, "distinct_users", alias)
-
     def count_of(kind: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("object_type") == kind, F.col("object_count"))), F.lit(0))
 
     parts = [
-        compute_rollup.agg(
+        query_cube.agg(
             F.round(ms_to_seconds(sum_long("total_exec_ms")), 6).alias("total_compute_seconds"),
             sum_long("failed_count").alias("failed_query_count"),
+            sum_long("query_count").alias("total_queries"),
+        ),
+        avg_daily_active_by(
+            daily_active_users,
+            {"active_users_human": F.col("actor_type") == ACTOR_PERSON, "active_users_service": F.col("actor_type") == ACTOR_SERVICE},
+            "distinct_users",
         ),
-        overview.select("total_queries"),
-        actors(ACTOR_PERSON, "active_users_human"),
-        actors(ACTOR_SERVICE, "active_users_service"),
-        daily_cost.agg(sum_double("usd").alias("_list_usd")),
-        cost_by_sku.filter(is_compute_sku("sku_name")).agg(sum_double("usd").alias("compute_cost_usd")),
+        _list_costs(costs),
         object_inventory.agg(sum_long("object_count").alias("total_tables")),
         catalog_schema_counts.agg(
             count_of("CATALOG").alias("total_databases_or_catalogs"), count_of("SCHEMA").alias("total_schemas")

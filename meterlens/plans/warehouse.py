@@ -41,12 +41,15 @@ def overview(
 def _activity(inputs: Inputs, settings: ReportSettings, stage: Stage) -> Report:
     log, window = inputs["w_query_history"], settings.window_of("w_query_history")
     metering, metering_window = inputs["w_metering"], settings.window_of("w_metering")
-    cube = stage("query_cube", activity.w_query_cube(log, window))
+    cube = stage.days("query_cube", lambda days: activity.w_query_cube(log, days), window)
+    durations = stage.days("duration_sketches", lambda days: activity.w_duration_sketches(log, days), window)
     by_user = cube.groupBy("day", "user_name").agg(sum_long("query_count").alias("query_count"))
     by_warehouse = activity.fold_cube(cube, "warehouse_name")
     with_database = cube.filter(F.col("database_name").isNotNull())
     by_database = with_database.groupBy("day", "database_name").agg(sum_long("query_count").alias("query_count"))
-    credits = stage("credits_by_warehouse", activity.w_credits_by_warehouse(metering, metering_window, limit=None, digits=None))
+    credits = stage(
+        "credits_by_warehouse", activity.w_credits_by_warehouse(metering, metering_window, limit=None, digits=None), metering_window
+    )
     exec_stats = activity.w_exec_stats(by_warehouse)
     return {
         "query_cube": cube,
@@ -60,7 +63,8 @@ def _activity(inputs: Inputs, settings: ReportSettings, stage: Stage) -> Report:
         "failed_waste": activity.w_failed_waste(exec_stats),
         "failure_rate": activity.failure_rate(exec_stats),
         "top_errors": activity.w_top_errors(log, window),
-        "daily_duration": activity.w_daily_duration(log, window),
+        "daily_duration": activity.durations_of(durations, seconds=True),
+        "monthly_duration": activity.durations_by_month(durations, seconds=True),
         "daily_credits": activity.w_daily_credits(metering, metering_window),
         "all_credits_by_warehouse": credits,
         "credits_by_warehouse": top_k(credits, 15, "total_credits", "warehouse_name").withColumn("total_credits", F.round("total_credits", 6)),
@@ -88,8 +92,9 @@ def _access(inputs: Inputs, settings: ReportSettings, stage: Stage) -> Report:
         names = ("table_access_counts", "user_action_counts", "dead_tables", "size_vs_access", "table_access_detail")
         return dict.fromkeys(names)
     flat = access.access_events(history, settings.window_of("w_access_history"))
-    # every measure counts distinct queries, so repeated touches can go before staging
-    events = stage("access_events", flat.distinct())
+    # every measure counts distinct queries, so repeated touches go before staging; the one shuffle by query
+    # serves all of them
+    events = stage.keyed("access_events", flat, "query_id")
     counts = access.w_table_access_counts(events)
     report: Report = {
         "table_access_counts": access.w_top_accessed_tables(counts),

@@ -50,6 +50,7 @@ DDL: dict[str, str] = {
     "l_catalogs": "catalog_name string",
     "l_schemata": "catalog_name string, schema_name string",
     "l_file_manifest": "qualified_name string, format string, path string, length bigint",
+    "l_table_log": "qualified_name string, format string, version bigint, action string, path string, length bigint",
     "l_job_runs": "job_id string, period_start_time timestamp, result_state string, execution_duration_seconds bigint",
     "l_jobs": "job_id string, name string, delete_time timestamp",
     "l_clusters": "cluster_id string, cluster_name string, delete_time timestamp",

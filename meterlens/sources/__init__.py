@@ -10,6 +10,7 @@ from meterlens.sources.staging import (
     stage_write,
     write_summary_json,
 )
+from meterlens.sources.tablelog import live_files, scan_table_log
 from meterlens.sources.tables import (
     cluster_names,
     job_names,

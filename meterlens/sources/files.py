@@ -33,9 +33,10 @@ def storage_bearing_tables(tables: DataFrame) -> DataFrame:
 def scan_file_manifest(spark: SparkSession, root: str, fmt: str = "parquet", depth: int = 3) -> DataFrame:
     """List the files below ``root`` as a manifest; file contents are never read.
 
-    The ``depth`` folders below ``root`` name the table (``catalog/schema/table``).  Spark keeps a
-    file listing on the driver; beyond some ten million files use the object store's inventory
-    export as the manifest instead.
+    For small folders of plain files only: the listing is kept on the driver, and files that a table no longer
+    holds are in it.  Sizes of tables with a log come from :func:`~meterlens.sources.tablelog.live_files`, those of
+    other large folders from the object store's inventory export, a table with the columns of a manifest.
+    The ``depth`` folders below ``root`` name the table (``catalog/schema/table``).
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)

@@ -309,3 +309,131 @@ def test_pivot_total_is_that_of_its_months(frame):
     df = frame([("2024-01", "a", 1.0), ("2024-02", "a", 2.0), ("2024-06", "a", 100.0)], "month string, item string, usd double")
     for row in monthly_bill_pivot(df, ["2024-01", "2024-02"], "item").collect():
         assert row.total == row["2024-01"] + row["2024-02"] == 3.0
+
+
+# ---- prices by day, ranges of policies, sketches ---------------------------------
+
+
+def _brute_prices(usage, prices, window):
+    out = []
+    for day, at, sku, quantity in usage:
+        first, last = window.day_span()
+        if day is not None and first <= day <= last:
+            for s, a, b, price in prices:
+                if s == sku and at is not None and a is not None and a <= at and (b is None or at < b):
+                    out.append((str(day), sku, quantity * price))
+    return sorted(out)
+
+
+def test_prices_by_day_against_brute_force(spark, frame, tmp_path):
+    """A SKU with nine tenths of the usage, open, touching, overlapping and empty intervals, usage outside its day."""
+    from datetime import datetime, timedelta
+
+    window = Lookback("2024-02-01", 20)
+    rng = random.Random(9)
+    at = lambda lo, hi: datetime(2024, 1, 1) + timedelta(hours=rng.randrange(lo, hi))
+    usage, prices = [], []
+    for _ in range(400):
+        t = at(-300, 1100)
+        usage.append(((t + timedelta(days=rng.choice([0, 0, 0, 1, -1]))).date(), rng.choice([t, t.replace(hour=0)]), "hot" if rng.random() < 0.9 else rng.choice("abc"), 1.0))
+    usage += [(datetime(2024, 1, 15).date(), None, "hot", 1.0), (None, at(0, 9), "hot", 1.0)]
+    for sku in ("hot", "a", "b"):
+        for _ in range(8):
+            a = at(-2000, 1200)
+            prices.append((sku, a, rng.choice([None, a, a + timedelta(hours=rng.randrange(1, 900)), a + timedelta(days=3), a - timedelta(days=1)]), float(rng.randrange(1, 99))))
+    prices += [("hot", None, None, 7.0), ("hot", datetime(2023, 1, 1), None, 5.0), ("hot", datetime(2024, 1, 14, 5), datetime(2024, 1, 20), 3.0)]
+    u = frame(usage, "usage_date date, usage_start_time timestamp, sku_name string, usage_quantity double").withColumns(
+        {"billing_origin_product": F.lit("p"), "identity_metadata": F.struct(F.lit("w").alias("run_as"))}
+    )
+    p = frame(prices, "sku_name string, price_start_time timestamp, price_end_time timestamp, d double").withColumn("pricing", F.struct(F.col("d").alias("default")))
+    p.write.parquet(str(tmp_path / "prices"))  # whose size is known
+    p = spark.read.parquet(str(tmp_path / "prices"))
+    expected = _brute_prices(usage, prices, window)
+    assert len(expected) > 100 and {e[1] for e in expected} >= {"hot", "a"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold, by_day in (("-1", True), ("100g", False)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = cost.priced_usage(u, p, window)
+            assert rows(got.select(F.col("usage_date").cast("string"), "sku_name", "usd")) == expected
+            assert ("_day" in got._jdf.queryExecution().optimizedPlan().toString()) == by_day
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_hot_sku_is_dealt_out_by_day(spark):
+    """With broadcasts off no task gets more than a few days of it."""
+    u = spark.range(9000).selectExpr(
+        "timestampadd(DAY, CAST(id % 300 AS INT), TIMESTAMP'2023-03-01') AS usage_start_time", "CASE WHEN id % 10 = 0 THEN concat('s', id % 7) ELSE 'hot' END AS sku_name",
+        "'p' AS billing_origin_product", "named_struct('run_as', 'w') AS identity_metadata", "1.0D AS usage_quantity",
+    ).withColumn("usage_date", F.to_date("usage_start_time"))
+    p = spark.sql("SELECT 'hot' AS sku_name, TIMESTAMP'2020-01-01' AS price_start_time, CAST(NULL AS TIMESTAMP) AS price_end_time, named_struct('default', 2.0D) AS pricing")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        per_task = [r["count"] for r in cost.priced_usage(u, p, Lookback("2024-01-01", 365)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(per_task) == 8100 and max(per_task) < 8100 / 4
+
+
+def test_ranges_of_policies_are_disjoint_and_complete(frame):
+    import ipaddress
+
+    rng = random.Random(12)
+    for round_ in range(3):
+        nets = [f"10.{rng.randrange(3)}.{rng.randrange(4)}.{rng.randrange(256)}/{rng.choice([8, 14, 16, 22, 24, 30, 32])}" for _ in range(25)]
+        nets += ["0.0.0.0/0"] if round_ == 1 else ["255.255.255.255", "0.0.0.0/32", "broken", "1.2.3.4/40"]
+        policies = [(rng.choice("abc"), n, rng.randrange(4)) for n in nets] + [(None, "10.1.0.0/30", 9)]
+        parsed = [(p, c or "", ipaddress.ip_network(n, strict=False), c) for c, n, p in policies if "/40" not in n and n != "broken"]
+        ranges = rows(logins.channel_ranges(frame(policies, "channel string, cidr string, priority int")))
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:])) and all(low <= high for low, high, _ in ranges)
+        assert not any(a[1] + 1 == b[0] and a[2] == b[2] for a, b in zip(ranges, ranges[1:])), "neighbours of one channel are one range"
+        points = {int(n.network_address) + d for *_, n, _ in parsed for d in (-1, 0, 1)} | {int(n.broadcast_address) + d for *_, n, _ in parsed for d in (-1, 0, 1)}
+        points |= {rng.randrange(10 << 24, 11 << 24) for _ in range(200)}
+        addresses = {x: str(ipaddress.ip_address(x)) for x in points if 0 <= x < 1 << 32}
+        got = logins.login_channel(frame([(a, 2) for a in addresses.values()], "client_ip string, login_count long"), frame(policies, "channel string, cidr string, priority int"))
+        found = {r.client_ip: r.channel for r in got.collect()}
+        for x, text in addresses.items():
+            held = [(p, order, c) for p, order, n, c in parsed if ipaddress.ip_address(text) in n]
+            channel = min(held)[2] if held else None
+            assert found[text] == (channel or "Unmatched"), text
+            inside = [c for low, high, c in ranges if low <= x <= high]
+            assert inside == ([channel] if held else [])
+
+
+def test_channels_without_policies_or_logins(frame):
+    none, ddl = frame([], "channel string, cidr string, priority int"), "client_ip string, login_count long"
+    got = {r.client_ip: (r.channel, r.login_count) for r in logins.login_channel(frame([("1.2.3.4", 1), ("", 2), (None, 3), ("x", 4)], ddl), none).collect()}
+    assert got == {"1.2.3.4": ("Unmatched", 1), "": ("Unknown", 2), None: ("Unknown", 3), "x": ("Unmatched", 4)}
+    assert logins.login_channel(frame([], ddl), frame([("a", "0.0.0.0/0", 1)], "channel string, cidr string, priority int")).count() == 0
+
+
+def test_sketched_quartiles_are_within_their_rank_error(spark):
+    """Per day and merged to months, over 200,000 skewed durations; exact where a day has few rows."""
+    from meterlens.operators import activity
+
+    log = spark.range(0, 200_000, 1, 8).selectExpr(
+        "timestampadd(DAY, CAST(id % 40 AS INT), TIMESTAMP'2024-01-01') AS start_time", "CAST(pow(id * 7919 % 99991, 1.7) AS BIGINT) + 1 AS execution_time"
+    ).union(spark.range(1, 12).selectExpr("TIMESTAMP'2024-03-01' AS start_time", "id AS execution_time"))
+    window = Lookback("2024-03-02", 90)
+    sketches = activity.w_duration_sketches(log, window)
+    days = {r.day: r for r in activity.durations_of(sketches, seconds=False).collect()}
+    months = {r.month: r for r in activity.durations_by_month(sketches, seconds=False).collect()}
+    assert len(days) == 41 and set(months) == {"2024-01", "2024-02", "2024-03"}
+    values = {}
+    for r in log.selectExpr("date_format(start_time, 'yyyy-MM-dd') AS day", "execution_time AS v").collect():
+        for key in (r.day, r.day[:7]):
+            values.setdefault(key, []).append(r.v)
+    for key, row in (days | months).items():
+        exact = sorted(values[key])
+        assert (row.min_ms, row.max_ms) == (exact[0], exact[-1])
+        for q, value in zip((0.25, 0.5, 0.75), (row.q1_ms, row.median_ms, row.q3_ms), strict=True):
+            low, high = (sum(v < value for v in exact) / len(exact), sum(v <= value for v in exact) / len(exact))
+            assert low - 2 * activity.RANK_ERROR <= q <= high + 2 * activity.RANK_ERROR
+    assert (days["2024-03-01"].q1_ms, days["2024-03-01"].median_ms, days["2024-03-01"].q3_ms) == (3, 6, 9)
+    plain = {r.day: tuple(r) for r in activity.w_daily_duration(log, Lookback("2024-03-02", 1)).collect()}
+    assert plain == {r.day: tuple(r) for r in activity.durations_of(activity.w_duration_sketches(log, Lookback("2024-03-02", 1)), seconds=True).collect()}

@@ -37,7 +37,7 @@ def warehouse(spark, tables):
 
 @pytest.fixture(scope="module")
 def lakehouse(spark, tables):
-    return lakehouse_report(inputs(tables, "l_"), settings(), stage_to(scratch_dir(spark, "report-l")))
+    return lakehouse_report(inputs(tables, "l_", "l_table_log"), settings(), stage_to(scratch_dir(spark, "report-l")))
 
 
 WAREHOUSE_KEYS = {
@@ -120,9 +120,17 @@ def test_cost_falls_back_to_prices_and_then_to_none(tables):
     assert (summary.total_cost_usd, summary.cost_is_estimate, summary.total_tables, summary.automation_run_count) == (0.0, True, 0, 0)
 
 
+def test_table_sizes_are_those_of_the_log_where_there_is_one(tables, duck):
+    report = lakehouse_report(inputs(tables, "l_", "l_file_manifest"), settings())
+    sized = spark_rows(report["largest_tables"])
+    whole = duck_rows(duck, ORACLES["table_sizes_from_log"])
+    order = [sized[0].index(c) for c in whole[0]]
+    assert sized[1] and {tuple(r[k] for k in order) for r in sized[1]} <= {*map(tuple, whole[1])}
+
+
 def test_lakehouse_without_optional_sources(tables):
     report = lakehouse_report(
-        inputs(tables, "l_", "l_file_manifest", "l_runs", "l_gateway_usage", "l_job_payloads"), settings()
+        inputs(tables, "l_", "l_file_manifest", "l_table_log", "l_runs", "l_gateway_usage", "l_job_payloads"), settings()
     )
     for name in ("storage", "mlflow", "ai_gateway", "ai_gateway_totals", "task_types"):
         assert report[name] is None

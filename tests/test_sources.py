@@ -1,5 +1,8 @@
 """Scans, staging, payloads, file listings."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +153,77 @@ def test_refusals(spark, tmp_path):
 
     with pytest.raises(ValueError, match="checkpoint"):
         scratch_dir(Cluster(), "x")
+
+
+# ---- table logs ----------------------------------------------------------------
+
+LOG = "qualified_name string, format string, version bigint, action string, path string, length bigint"
+
+
+def _replayed(log, upto=None):
+    """The log one action after the other, adds of a version behind its removes."""
+    live = {}
+    for table, fmt, version, action, path, length in sorted(log, key=lambda a: (a[2], a[3] == "add")):
+        if upto is None or version <= upto:
+            if action == "add":
+                live[table, fmt, path] = length or 0
+            else:
+                live.pop((table, fmt, path), None)
+    return sorted((*key, length) for key, length in live.items())
+
+
+def test_live_files_are_those_of_a_replay(frame):
+    rng = random.Random(11)
+    log = [("c.s.hot" if rng.random() < 0.4 else f"c.s.t{rng.randrange(4)}", "delta", version, action, f"p{rng.randrange(12)}", None)
+           for version in range(300) for action in rng.sample(["add", "remove"], rng.randint(1, 2))]
+    log = [(*a[:5], 1000 * a[2] + 7 if a[3] == "add" else None) for a in {(a[0], a[2], a[3], a[4]): a for a in log}.values()]
+    df = frame(log, LOG)
+    for upto in (None, 0, 57, 299):
+        assert rows(s.live_files(df, upto)) == _replayed(log, upto)
+    live = _replayed(log)
+    totals = sorted((t, "delta", sum(x[0] == t for x in live), sum(x[3] for x in live if x[0] == t)) for t in {x[0] for x in live})
+    assert rows(s.table_sizes_from_files(s.live_files(df))) == totals
+
+
+def test_files_removed_added_again_and_replaced(frame):
+    log = [
+        ("t", "delta", 0, "add", "gone", 1), ("t", "delta", 1, "remove", "gone", None),
+        ("t", "delta", 0, "add", "back", 2), ("t", "delta", 1, "remove", "back", None), ("t", "delta", 2, "add", "back", 3),
+        ("t", "delta", 3, "remove", "marked", None), ("t", "delta", 3, "add", "marked", 5), ("t", "delta", 0, "add", "marked", 4),
+        ("t", "delta", 9, "remove", "never added", None), ("t", "delta", 4, "add", "no size", None), ("u", "delta", 1, "remove", "only removed", None),
+    ]
+    df = frame(log, LOG)
+    assert rows(s.live_files(df)) == [("t", "delta", "back", 3), ("t", "delta", "marked", 5), ("t", "delta", "no size", 0)]
+    assert rows(s.table_sizes_from_files(s.live_files(df, 0))) == [("t", "delta", 3, 7)]
+    assert rows(s.live_files(frame([], LOG))) == []
+
+
+def test_the_replay_hashes_and_combines_before_it_shuffles(frame):
+    plan = s.live_files(frame([("t", "delta", 0, "add", "p", 1)], LOG))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and plan.count("Exchange") == 1
+
+
+def test_logs_are_read_from_commits_and_checkpoints(spark, tmp_path):
+    root = tmp_path / "lake"
+    commits = {
+        "t 1+": {
+            3: [{"commitInfo": {"operation": "WRITE"}}, {"add": {"path": "a", "size": 3, "partitionValues": {}}}, {"add": {"path": "b", "size": 4}}],
+            4: [{"remove": {"path": "a", "deletionTimestamp": 1}}, {"add": {"path": "c", "size": 5}}],
+        },
+        "t2": {11: [{"remove": {"path": "old1"}}, {"add": {"path": "new", "size": 9}}]},
+    }
+    for table, versions in commits.items():
+        log = root / "cat" / "sch" / table / "_delta_log"
+        log.mkdir(parents=True)
+        (log.parent / "part-0.parquet").write_bytes(b"not a log")
+        for version, actions in versions.items():
+            (log / f"{version:020d}.json").write_text("\n".join(map(json.dumps, actions)))
+    # older commits of t2 are gone, its checkpoint holds what they left
+    checkpoint = root / "cat" / "sch" / "t2" / "_delta_log" / f"{10:020d}.checkpoint.parquet"
+    state = spark.createDataFrame([(("old1", 1), None), (("old2", 2), None), (None, ("long ago",))], "add struct<path: string, size: bigint>, remove struct<path: string>")
+    state.coalesce(1).write.parquet(str(tmp_path / "state"))
+    next((tmp_path / "state").glob("part-*.parquet")).rename(checkpoint)
+    log = s.scan_table_log(spark, str(root))
+    assert log.schema.simpleString() == spark.createDataFrame([], LOG).schema.simpleString()
+    assert rows(s.live_files(log)) == [("cat.sch.t 1+", "delta", "b", 4), ("cat.sch.t 1+", "delta", "c", 5), ("cat.sch.t2", "delta", "new", 9), ("cat.sch.t2", "delta", "old2", 2)]
+    assert rows(s.table_sizes_from_files(s.live_files(log, 3))) == [("cat.sch.t 1+", "delta", 2, 7)]
