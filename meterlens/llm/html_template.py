@@ -3,20 +3,31 @@
 Tokens of a page are its opening tags, told apart by their path (names, classes and ids from the root), and the
 texts of its blocks, told apart by path and wording.  A token's occurrence vector says how often it occurs on
 each page of the host; it is kept as an order-free fingerprint over (page, count), so vectors are compared without
-being gathered anywhere.  Tokens of equal vectors form a class.  A class is valid if it holds an element (its opening
-and closing tag), has support enough and hangs below at most one other class; valid classes nest into the host's template, and the texts in
-them are template text.  What is left are slots.  The text of a page is that of its slots, without those whose place says
-that they are no part of the article: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments; a part of a paragraph that is such goes alone.  If the page has article or main elements, only slots inside them count.
-
-Support is at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's.  Pages of a host with the same text outside the
-places named above count as one page, whatever their markup.  A page is a near copy, and does not count, if the text
-that it shares with support enough is ``NEAR`` times its other text or more (two such pages are three quarters equal, as in
-near-dedup): text that copies of an article share is not boilerplate.  Hosts with fewer than MIN_PAGES pages that
-count have no template.
-
-Defined cases: a null or empty html gives an empty text; a null url or one without a host has no template;
-repeated rows are copies; unclosed and stray tags are taken as browsers do, roughly; white space, also
+being gathered anywhere.  Tokens of equal vectors form a class.
+
+A class of tags is valid if its tags occur once on each of its pages, on at least ``TAG_SHARE`` of the host's pages,
+and hang below at most one other class; valid classes nest into the host's template, a tree of elements.  Every text
+belongs to the slot of the deepest template element around it, and the slots of all pages of the host decide:
+
+- A slot of which links hold ``LINKED`` of the characters is a menu, if the host has several pages.
+- The article is in the template's article or main element if that holds more than ``DOMINANT`` of the weight of all
+  slots, else in the whole page.  Weight is the length of texts outside links; being in such an element, or below a class or
+  id that names an outside part, only shifts it (``ARTICLE``, ``NAMED``), so a teaser does not hide a longer text.
+
+The text of a page is that of its slots in that region without menus, and without the footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments in it; a class or id that says so does not count for an
+element that holds half of the region.  A page that lacks the region is its own host.
+
+Texts of valid classes (occurring alike, and with an element) are template text and no part of a slot.  Their support is
+at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's.  Pages of a host with the same texts count as one page, whatever
+their markup.  For texts, a page is a near copy, and does not count, if the text that it shares with support enough is
+``NEAR`` times its other text or more (two such pages are three quarters equal, as in near-dedup): text that copies of
+an article share is not boilerplate.
+
+Pages are parsed once; what is staged (tokens and blocks) serves the deduction and the extraction.
+
+Defined cases: a null or empty html gives an empty text; a page with a null url, or one without a host, is its own
+host; repeated rows are copies; unclosed and stray tags are taken as browsers do, roughly; white space, also
 the unbreakable kind, becomes one space, a line break too; other columns are ignored; an empty table gives no rows.
 """
 
@@ -29,7 +40,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlens.llm.common import read, staged
@@ -38,6 +49,9 @@ from meterlens.llm.textnum import slices
 MIN_PAGES = 10
 MIN_SHARE = 0.1
 NEAR = 6  # shared / (shared + 2 * own) is 0.75
+TAG_SHARE = 0.5
+DOMINANT = 0.5
+LINKED = 0.5
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -64,6 +78,11 @@ OUTSIDE_WORDS = {
     "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
+#: How much a character weighs that stands in no named part, in an article or main element, below a class or id that
+#: names an outside part, in an element that is such a part.
+PLAIN, ARTICLE, NAMED, APART = 4, 16, 1, 0
+#: Elements that leave an open head.
+_HEAD = {"title", "meta", "link", "style", "script", "base", "noscript", "template", "basefont", "bgsound"}
 #: Opening one of these ends an open element of its kind, up to the container named.
 SIBLINGS = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "option": ("option", ("select",)),
@@ -73,43 +92,62 @@ _NO_P = INLINE | VOID - {"hr"}
 
 
 class _Element:
-    __slots__ = ("article", "link", "listed", "name", "outside", "path")
+    __slots__ = ("apart", "article", "link", "mark", "name", "number", "path")
 
-    def __init__(self, name: str, path: int, outside: bool, article: bool, link: bool, listed: bool):
-        self.name, self.path, self.outside, self.article, self.link, self.listed = name, path, outside, article, link, listed
+    def __init__(self, name: str, path: int, number: int, mark: int, article: bool, link: bool):
+        self.name, self.path, self.number, self.mark, self.article, self.link = name, path, number, mark, article, link
+        self.apart = False  # stands in an outside part of a paragraph
 
 
 class Block:
     """A run of text between block boundaries, and where it stands."""
 
-    __slots__ = ("article", "menu", "outside", "path", "text", "token")
+    __slots__ = ("link_chars", "number", "text", "token")
 
-    def __init__(self, text: str, element: _Element, menu: bool):
-        self.text, self.path, self.outside, self.article, self.menu = text, element.path, element.outside, element.article, menu
+    def __init__(self, text: str, element: _Element, link_chars: int):
+        self.text, self.number, self.link_chars = text, element.number, link_chars
         self.token = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=element.path)
 
 
-def _opened(name: str, attributes: str, parent: _Element) -> _Element:
+def _opened(name: str, attributes: str, parent: _Element, number: int) -> _Element:
     found = {}
     for m in _ATTRIBUTE.finditer(attributes):
         found.setdefault((m[1] or m[5]).lower(), m[2] or m[3] or m[4] or "")
     label = f"{found.get('class', '')} {found.get('id', '')}".strip().lower()
     path = xxhash.xxh64_intdigest(f"{name} {label}".encode("utf-8", "surrogatepass"), seed=parent.path)
-    article = parent.article or (name in ("article", "main") or found.get("role") == "main")
-    outside = parent.outside or name in OUTSIDE or found.get("role", "").lower() in OUTSIDE_ROLES
-    if not outside and name not in ("html", "body", "article", "main"):
+    role = found.get("role", "").lower()
+    article = parent.article or name in ("article", "main") or role == "main"
+    mark = PLAIN
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in re.sub(r"\s", "", found.get("style", "").lower())
+    if (name in OUTSIDE and name != "form") or hidden:
+        mark = APART
+    elif name not in ("html", "body", "article", "main"):
         words = set(_WORD.findall(label))
-        outside = bool(words & OUTSIDE_WORDS) or (not parent.article and (name == "header" or "header" in words))
-        outside = outside or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        outside = outside or "display:none" in re.sub(r"\s", "", found.get("style", "").lower())
-    return _Element(name, path, outside, article, parent.link or name == "a", parent.listed or name in ("ul", "ol"))
+        if name == "form" or role in OUTSIDE_ROLES or words & OUTSIDE_WORDS or (not parent.article and (name == "header" or "header" in words)):
+            mark = NAMED
+    element = _Element(name, path, number, mark, article, parent.link or name == "a")
+    element.apart = name in INLINE and (mark != PLAIN or parent.apart)
+    return element
 
 
-def parsed(page: str) -> tuple[list[tuple[int, int]], list[Block]]:
-    """((path, path of the parent) of every opening tag, blocks in page order)."""
-    tags: list[tuple[int, int]] = []
-    blocks: list[Block] = []
-    stack = [_Element("", 0, False, False, False, False)]
+class Page:
+    """Elements in page order as (path, number of the parent, mark, in an article), and blocks in page order.  Element 0 is the page itself."""
+
+    def __init__(self) -> None:
+        self.paths, self.parents, self.marks, self.articles = [0], [-1], [PLAIN], [False]
+        self.blocks: list[Block] = []
+
+    def add(self, e: _Element, parent: int) -> None:
+        self.paths.append(e.path)
+        self.parents.append(parent)
+        self.marks.append(e.mark)
+        self.articles.append(e.article)
+
+
+def parsed(page: str) -> Page:
+    out = Page()
+    blocks = out.blocks
+    stack = [_Element("", 0, 0, PLAIN, False, False)]
     open_names: Counter[str] = Counter()
     runs: list[tuple[str, _Element]] = []  # texts of the block
 
@@ -118,13 +156,15 @@ def parsed(page: str) -> tuple[list[tuple[int, int]], list[Block]]:
             runs.append((raw, stack[-1]))
 
     def flush() -> None:
-        # runs that are outside stand for the block only if there is nothing else in it
-        for some in ([r for r in runs if not r[1].outside], runs):
+        # a part of a paragraph that is an outside part goes alone; what is left stands in the innermost element around it
+        if not runs:
+            return
+        for some in ([r for r in runs if not r[1].apart], [r for r in runs if r[1].apart]):
             whole = " ".join(entities.unescape("".join(raw for raw, _ in some)).split())
             if whole:
-                holders = [e for raw, e in some if not raw.isspace()]
-                blocks.append(Block(whole, holders[0], holders[0].listed and all(e.link for e in holders)))
-                break
+                holders = [(raw, e) for raw, e in some if not raw.isspace()]
+                linked = sum(len(raw.strip()) for raw, e in holders if e.link)
+                blocks.append(Block(whole, holders[0][1], min(linked, len(whole))))
         runs.clear()
 
     def pop_to(depth: int) -> None:
@@ -156,6 +196,11 @@ def parsed(page: str) -> tuple[list[tuple[int, int]], list[Block]]:
                     flush()
                 pop_to(depth)
             continue
+        if open_names["head"] and name not in _HEAD and name not in ("html", "head"):
+            depth = len(stack) - 1
+            while stack[depth].name != "head":
+                depth -= 1
+            pop_to(depth)
         if open_names["p"] and name not in _NO_P:
             depth = len(stack) - 1
             while stack[depth].name != "p":
@@ -168,10 +213,10 @@ def parsed(page: str) -> tuple[list[tuple[int, int]], list[Block]]:
                 if stack[depth].name in ends.split():
                     pop_to(depth)
                 depth -= 1
-        element = _opened(name, attributes, stack[-1])
-        tags.append((element.path, stack[-1].path))
         if name in VOID:
             continue
+        element = _opened(name, attributes, stack[-1], len(out.paths))
+        out.add(element, stack[-1].number)
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, at)
             at = end.start() if end else n
@@ -182,20 +227,87 @@ def parsed(page: str) -> tuple[list[tuple[int, int]], list[Block]]:
         stack.append(element)
         open_names[name] += 1
     flush()
-    return tags, blocks
-
-
-def main_text(page: str | None, template: set[int]) -> str:
-    """The article of a page: its slots that are not outside, one block a line."""
-    if not page:
-        return ""
-    _, blocks = parsed(page)
-    inside = [b for b in blocks if not b.outside and b.token not in template]
-    if any(b.article and not b.outside for b in blocks):
-        inside = [b for b in inside if b.article]
-    else:
-        inside = [b for b in inside if not b.menu]
-    return "\n".join(b.text for b in inside)
+    return out
+
+
+def _slot_of(page: Page, template: set[int]) -> list[int]:
+    """For each element, the deepest template element around it, as its number; 0 is the page."""
+    slot = [0]
+    for k in range(1, len(page.paths)):
+        slot.append(k if page.paths[k] in template else slot[page.parents[k]])
+    return slot
+
+
+def slots_of(page: Page, template: set[int]) -> list[tuple[int, int, bool, int, int, int]]:
+    """(element, template element around it, is an article, weight, characters, characters in links) of each slot."""
+    slot, least = _slot_of(page, template), [PLAIN]
+    for k in range(1, len(page.paths)):
+        least.append(min(least[page.parents[k]], page.marks[k]))
+    sums = {k: [0, 0, 0] for k in {*slot}}
+    for b in page.blocks:
+        mark = ARTICLE if least[b.number] == PLAIN and page.articles[b.number] else least[b.number]
+        own = sums[slot[b.number]]
+        own[0] += mark * (len(b.text) - b.link_chars)
+        own[1] += len(b.text)
+        own[2] += b.link_chars
+    out = []
+    for k, (weight, chars, linked) in sums.items():
+        above = page.parents[k] if k else 0
+        begins = page.articles[k] and not page.articles[above]
+        out.append((page.paths[k], page.paths[slot[above]], begins, weight, chars, linked))
+    return out
+
+
+def chosen(slots: list[tuple[int, int, bool, int, int, int]]) -> tuple[int, list[int]]:
+    """The region of a template (0 is the whole page), and its menus."""
+    parents = {node: parent for node, parent, *_ in slots if node}
+    total: Counter[int] = Counter()
+    for node, _, _, weight, _, _ in slots:
+        total[0] += weight
+        while node:
+            total[node] += weight
+            node = parents.get(node, 0)
+    articles = [node for node, _, begins, *_ in slots if node and begins and total[node] > DOMINANT * total[0]]
+    menus = [node for node, *_, chars, linked in slots if node and linked and linked >= LINKED * chars]
+    return max(articles, key=lambda node: (total[node], node), default=0), sorted(menus)
+
+
+def own_template(page: Page) -> set[int]:
+    """The elements that occur once: the template of a page without others of its host."""
+    return {path for path, n in Counter(page.paths).items() if n == 1 and path}
+
+
+def main_text(page: Page, template: set[int], region: int, menus: set[int], texts: set[int]) -> str:
+    """The slots of the region without menus, template texts and the outside parts below it, one block a line."""
+    if region not in page.paths:
+        template = own_template(page)
+        region, menus = chosen(slots_of(page, template))[0], set()
+    n, slot = len(page.paths), _slot_of(page, template)
+    inside, chars = [False] * n, [0] * n
+    for k in range(n):
+        inside[k] = page.paths[k] == region or (k > 0 and inside[page.parents[k]])
+    for b in page.blocks:
+        chars[b.number] += len(b.text)
+    for k in range(n - 1, 0, -1):
+        chars[page.parents[k]] += chars[k]
+    whole = sum(chars[k] for k in range(n) if page.paths[k] == region)
+    out = [False] * n
+    for k in range(1, n):
+        if inside[k] and page.paths[k] != region:
+            apart = page.marks[k] == APART or (page.marks[k] == NAMED and 2 * chars[k] < whole)
+            out[k] = apart or out[page.parents[k]]
+    kept = [
+        b.text for b in page.blocks
+        if inside[b.number] and not out[b.number] and b.token not in texts and (page.articles[b.number] or page.paths[slot[b.number]] not in menus)
+    ]
+    return "\n".join(kept)
+
+
+def text_alone(html: str) -> str:
+    """The text of a page without others of its host."""
+    page = parsed(html)
+    template = own_template(page)
+    return main_text(page, template, chosen(slots_of(page, template))[0], set(), set())
 
 
 def _signed(x: int) -> int:
@@ -203,36 +315,53 @@ def _signed(x: int) -> int:
 
 
 _PAGE = (
-    "page long, host string, content long, texts array<long>, chars array<long>, "
-    "tokens array<struct<token: long, parent: long, is_tag: boolean, n: long>>"
+    "page long, page_id {kind}, url string, host string, content long, texts array<long>, chars array<long>, "
+    "tokens array<struct<token: long, parent: long, is_tag: boolean, n: long>>, "
+    "elements array<struct<path: long, parent: int, mark: int, article: boolean>>, "
+    "blocks array<struct<text: string, number: int, link_chars: int, token: long>>"
 )
+_STORED = ("elements", "blocks")
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_PAGE``: each token of each page once; ``content`` is a hash of the texts that are not outside, ``texts`` and ``chars`` tell their share."""
-    kind = pa.list_(pa.struct({"token": pa.int64(), "parent": pa.int64(), "is_tag": pa.bool_(), "n": pa.int64()}))
+def _pages(batches: Iterator[pa.RecordBatch], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """``_PAGE``: each token of each page once; ``content`` is a hash of its texts, ``texts`` and ``chars`` tell their share."""
     for batch in batches:
         for part in slices(batch, "html"):
-            contents, texts, chars, tokens = [], [], [], []
-            for page in part.column("html").to_pylist():
-                tags, blocks = parsed(page or "")
-                found = Counter((path, parent, True) for path, parent in tags)
-                found.update((b.token, b.path, False) for b in blocks)
-                tokens.append([{"token": _signed(t), "parent": _signed(p), "is_tag": k, "n": n} for (t, p, k), n in found.items()])
-                inside = [b for b in blocks if not b.outside]
-                contents.append(_signed(xxhash.xxh64_intdigest("\n".join(b.text for b in inside).encode("utf-8", "surrogatepass"))))
+            new: dict[str, list] = {name: [] for name in kinds}
+            for page in map(parsed, (x or "" for x in part.column("html").to_pylist())):
+                found = Counter((path, page.paths[max(parent, 0)], True) for path, parent in zip(page.paths[1:], page.parents[1:], strict=True))
+                found.update((b.token, page.paths[b.number], False) for b in page.blocks)
+                new["tokens"].append([{"token": _signed(t), "parent": _signed(p), "is_tag": k, "n": n} for (t, p, k), n in found.items()])
+                least = [PLAIN]
+                for k in range(1, len(page.paths)):
+                    least.append(min(least[page.parents[k]], page.marks[k]))
+                inside = [b for b in page.blocks if least[b.number] == PLAIN]
+                new["content"].append(_signed(xxhash.xxh64_intdigest("\n".join(b.text for b in inside).encode("utf-8", "surrogatepass"))))
                 long: Counter[int] = Counter()
                 for b in inside:
                     long[_signed(b.token)] += len(b.text)
-                texts.append(list(long))
-                chars.append(list(long.values()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("page"), part.column("host"), pa.array(contents, pa.int64()), pa.array(texts, pa.list_(pa.int64())),
-                    pa.array(chars, pa.list_(pa.int64())), pa.array(tokens, kind),
-                ],
-                ["page", "host", "content", "texts", "chars", "tokens"],
-            )
+                new["texts"].append(list(long))
+                new["chars"].append(list(long.values()))
+                new["elements"].append([
+                    {"path": _signed(p), "parent": k, "mark": m, "article": a}
+                    for p, k, m, a in zip(page.paths, page.parents, page.marks, page.articles, strict=True)
+                ])
+                new["blocks"].append([
+                    {"text": b.text, "number": b.number, "link_chars": b.link_chars, "token": _signed(b.token)} for b in page.blocks
+                ])
+            columns = {name: part.column(name) for name in ("page", "page_id", "url", "host")}
+            columns |= {name: pa.array(values, kinds[name]) for name, values in new.items()}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _stored(row: dict) -> Page:
+    page = Page()
+    page.paths, page.parents, page.marks, page.articles = ([e[k] for e in row["elements"]] for k in ("path", "parent", "mark", "article"))
+    for b in row["blocks"]:
+        block = Block.__new__(Block)
+        block.text, block.number, block.link_chars, block.token = b["text"], b["number"], b["link_chars"], b["token"]
+        page.blocks.append(block)
+    return page
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,13 +380,50 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def templates(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, texts``: fingerprints of the texts in the valid classes of each host's template."""
-    rows = pages.select(F.monotonically_increasing_id().alias("page"), host_of(F.col("url")).alias("host"), "html").filter("host != ''")
-    seen = staged(spark, rows.mapInArrow(_pages, _PAGE), "pages")
-    once = staged(spark, seen.groupBy("host", "content").agg(F.min("page").alias("page")), "contents")
+def parsed_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The staged tokens and blocks of every row of ``pages`` (page_id, url, html); a page without a host is its own."""
+    fields = _PAGE.format(kind=pages.schema["page_id"].dataType.simpleString())
+    rows = pages.select(F.monotonically_increasing_id().alias("page"), "page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    host = F.when(F.col("host") != "", F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("html"), F.lit("/"), F.col("page")))
+    long, flag = pa.int64(), pa.bool_()
+    kinds = {
+        "content": long, "texts": pa.list_(long), "chars": pa.list_(long),
+        "tokens": pa.list_(pa.struct([("token", long), ("parent", long), ("is_tag", flag), ("n", long)])),
+        "elements": pa.list_(pa.struct([("path", long), ("parent", pa.int32()), ("mark", pa.int32()), ("article", flag)])),
+        "blocks": pa.list_(pa.struct([("text", pa.string()), ("number", pa.int32()), ("link_chars", pa.int32()), ("token", long)])),
+    }
+    return staged(spark, rows.withColumn("host", host).mapInArrow(lambda batches: _pages(batches, kinds), fields), "pages")
+
+
+def _classes(pages: DataFrame, hosts: DataFrame, least: Column) -> DataFrame:
+    """Tokens with support enough and their class: the xor of fingerprints of (page, count) is an occurrence vector."""
+    tokens = pages.select("host", "content", F.inline("tokens"))
+    tokens = tokens.groupBy("host", "token").agg(
+        F.bit_xor(F.xxhash64("content", "n")).alias("vector"), F.sum("n").alias("total"), F.count("*").alias("support"),
+        F.min("parent").alias("parent"), F.max("is_tag").alias("is_tag"),
+    )
+    tokens = tokens.join(hosts, "host").filter(F.col("support") >= least)
+    return tokens.withColumn("class", F.xxhash64("vector", "total", "support")).drop("vector")
+
+
+def _nested(tokens: DataFrame) -> DataFrame:
+    """``v_host, v_class`` of the classes that hold an element and hang below at most one other class."""
+    above = tokens.filter("is_tag").select(F.col("host").alias("p_host"), F.col("token").alias("p_token"), F.col("class").alias("p_class"))
+    nested = tokens.filter("is_tag").join(above, (F.col("host") == F.col("p_host")) & (F.col("parent") == F.col("p_token")), "left")
+    over = F.when(F.coalesce("p_class", F.lit(0).cast("long")) != F.col("class"), F.coalesce("p_class", F.lit(0).cast("long")))
+    classes = nested.groupBy("host", "class").agg(F.countDistinct(over).alias("n_over"))
+    return classes.filter("n_over <= 1").select(F.col("host").alias("v_host"), F.col("class").alias("v_class"))
+
+
+def _of_valid(tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    valid = _nested(tokens)
+    return rows.join(valid, (F.col("host") == F.col("v_host")) & (F.col("class") == F.col("v_class")), "left_semi")
+
+
+def template_texts(spark: SparkSession, seen: DataFrame, once: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """``host, texts``: fingerprints of the texts in the valid classes of each host."""
     hosts = once.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= min_pages)
-    seen = seen.join(once.select("page"), "page", "left_semi")
+    seen = seen.select("page", "host", "content", "tokens", "texts", "chars").join(once.select("page"), "page", "left_semi")
     common = seen.select("host", F.explode("texts").alias("token")).groupBy("host", "token").agg(F.count("*").alias("support"))
     common = common.filter(F.col("support") >= min_pages).join(hosts, "host").filter(F.col("support") >= min_share * F.col("host_pages"))
     common = staged(spark, common.groupBy(F.col("host").alias("c_host")).agg(F.collect_set("token").alias("common")), "common")
@@ -266,40 +432,83 @@ def templates(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES,
     counting = staged(spark, counting, "counting")
     hosts = counting.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= min_pages)
     hosts = staged(spark, hosts, "hosts")
-    # the xor of fingerprints of (page, count) is an occurrence vector
-    tokens = counting.select("host", "content", F.inline("tokens"))
-    tokens = tokens.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("content", "n")).alias("vector"), F.sum("n").alias("total"), F.count("*").alias("support"),
-        F.min("parent").alias("parent"), F.max("is_tag").alias("is_tag"),
-    ).filter(F.col("support") >= min_pages)
-    tokens = tokens.join(hosts, "host").filter(F.col("support") >= min_share * F.col("host_pages"))
-    tokens = staged(spark, tokens.withColumn("class", F.xxhash64("vector", "total", "support")).drop("vector"), "tokens")
-    above = tokens.filter("is_tag").select(F.col("host").alias("p_host"), F.col("token").alias("p_token"), F.col("class").alias("p_class"))
-    nested = tokens.filter("is_tag").join(above, (F.col("host") == F.col("p_host")) & (F.col("parent") == F.col("p_token")), "left")
-    over = F.when(F.coalesce("p_class", F.lit(0).cast("long")) != F.col("class"), F.coalesce("p_class", F.lit(0).cast("long")))
-    classes = nested.groupBy("host", "class").agg(F.countDistinct(over).alias("n_over"))
-    valid = classes.filter("n_over <= 1").select(F.col("host").alias("v_host"), F.col("class").alias("v_class"))
-    texts = tokens.filter("not is_tag").join(valid, (F.col("host") == F.col("v_host")) & (F.col("class") == F.col("v_class")))
-    return texts.groupBy("host").agg(F.collect_set("token").alias("texts"))
+    least = F.greatest(F.lit(float(min_pages)), min_share * F.col("host_pages"))
+    tokens = staged(spark, _classes(counting, hosts, least), "tokens")
+    return _of_valid(tokens, tokens.filter("not is_tag")).groupBy("host").agg(F.collect_set("token").alias("texts"))
+
+
+def template_tags(spark: SparkSession, seen: DataFrame, once: DataFrame) -> DataFrame:
+    """``host, tags, shared``: paths of the elements of each host's template, and whether it has several pages."""
+    counted = seen.select("page", "host", "content", "tokens").join(once.select("page"), "page", "left_semi")
+    counted = counted.withColumn("tokens", F.filter("tokens", lambda t: t.is_tag))
+    hosts = once.groupBy("host").agg(F.count("*").alias("host_pages"))
+    tokens = staged(spark, _classes(counted, hosts, TAG_SHARE * F.col("host_pages")), "tags")
+    once_each = _of_valid(tokens, tokens.filter("total = support"))
+    return once_each.groupBy("host").agg(F.collect_set("token").alias("tags"), (F.max("host_pages") > 1).alias("shared"))
+
+
+_SLOT = "host string, node long, parent long, begins boolean, weight long, chars long, linked long"
+_SUMS = ("weight", "chars", "linked")
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_SLOT``: what each slot holds, added up over the pages of a batch."""
+    for batch in batches:
+        total: dict[tuple, list[int]] = {}
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k].as_py() for name in ("host", *_STORED, "tags")}
+            for node, parent, begins, *sums in slots_of(_stored(row), set(row["tags"] or ())):
+                key = (row["host"], node, parent, begins)
+                total[key] = [a + b for a, b in zip(total.get(key, (0, 0, 0)), sums, strict=True)]
+        keys, values = list(total), list(total.values())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([k[j] for k in keys], kind) for j, kind in enumerate(kinds)), *(pa.array([v[j] for v in values], pa.int64()) for j in range(3))],
+            ["host", "node", "parent", "begins", *_SUMS],
+        )
+
+
+def _choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [chosen([tuple(s.values()) for s in slots]) for slots in batch.column("slots").to_pylist()]
+        regions, menus = pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), regions, menus], ["host", "region", "menus"])
+
+
+def templates(spark: SparkSession, seen: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``host, tags, region, menus, texts``: each host's template, the element of the article, slots that are menus, template texts."""
+    once = staged(spark, seen.groupBy("host", "content").agg(F.min("page").alias("page")), "contents")
+    tags = staged(spark, template_tags(spark, seen, once), "template")
+    counted = seen.select("page", "host", *_STORED).join(once.select("page"), "page", "left_semi")
+    with_tags = counted.join(tags.withColumnRenamed("host", "t_host"), F.col("host") == F.col("t_host")).select("host", *_STORED, "tags")
+    slots = with_tags.mapInArrow(_slots, _SLOT).groupBy("host", "node", "parent", "begins").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    # as many as a page has different elements, at most twice
+    trees = slots.groupBy("host").agg(F.collect_list(F.struct("node", "parent", "begins", *_SUMS)).alias("slots"))
+    choices = trees.mapInArrow(_choices, "host string, region long, menus array<long>")
+    texts = template_texts(spark, seen, once, min_pages, min_share)
+    return tags.join(choices, "host", "left").join(texts, "host", "left")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "html"):
-            texts = []
-            for row in part.select(["html", "texts"]).to_pylist():
-                texts.append(main_text(row["html"], {x % (1 << 64) for x in row["texts"] or ()}))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
-            )
+        texts = []
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k].as_py() for name in (*_STORED, "tags", "shared", "region", "menus", "texts")}
+            page = _stored(row)
+            menus = set(row["menus"] or ()) if row["shared"] else set()
+            texts.append(main_text(page, set(row["tags"] or ()), row["region"] or 0, menus, set(row["texts"] or ())))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+            ["page_id", "url", "text", "n_chars"],
+        )
 
 
 def extracted(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html)."""
-    found = staged(spark, templates(spark, pages, min_pages, min_share).withColumnRenamed("host", "t_host"), "templates")
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(found, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "texts")
+    seen = parsed_pages(spark, pages)
+    found = staged(spark, templates(spark, seen, min_pages, min_share).withColumnRenamed("host", "t_host"), "templates")
+    rows = seen.select("page_id", "url", "host", *_STORED).join(found.withColumnRenamed("texts", "t_texts"), F.col("host") == F.col("t_host"), "left")
+    rows = rows.select("page_id", "url", *_STORED, "tags", "shared", "region", "menus", F.col("t_texts").alias("texts"))
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 

@@ -135,17 +135,95 @@ ARTICLE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head
 
 
 def test_article_of_a_page():
-    assert html_template.main_text(ARTICLE, set()).split("\n") == ["A & B", "One two three four five", "Six é😀 <p>", "x", "y", "c1", "c2", "k l"]
-    assert html_template.main_text("<div id=content><p>a</p><ul><li><a href=1>m</a><li><a href=2>n</a></ul>b <i>c</i></div><footer>f", set()) == "a\nb c"
-    assert html_template.main_text("text < 3 and <b>bold</b> &amp", set()) == "text < 3 and bold &"
-    assert html_template.main_text("<p title='a>b'>x</p><p class=\"y>z</p>", set()).startswith("x")
+    assert html_template.text_alone(ARTICLE).split("\n") == ["A & B", "One two three four five", "Six é😀 <p>", "x", "y", "c1", "c2", "k l"]
+    assert html_template.text_alone("text < 3 and <b>bold</b> &amp") == "text < 3 and bold &"
+    assert html_template.text_alone("<p title='a>b'>x</p><p class=\"y>z</p>").startswith("x")
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<html><head><title>t</title><body><p>Text</p>", "Text"),
+    ("<html><head><title>t</title><p>Text</p>", "Text"),
+    ('<div class="content has-sidebar"><p>The text of the article</p><div class=sidebar>side</div></div>', "The text of the article"),
+    ('<div class="no-comments header-fixed"><article><p>The article</p></article><footer>f</footer></div>', "The article"),
+    ("<p>intro</p><article>card</article><p>main body of the page</p>", "intro\ncard\nmain body of the page"),
+    ("<article><h1>T</h1><section id=social-history><p>A long section on the history of social things</p></section><p>more of it</p></article>",
+     "T\nA long section on the history of social things\nmore of it"),
+    ("<p>a</p><ul><li><a href=1>one</a><li><a href=2>two</a></ul>", "a\none\ntwo"),
+    ("<form id=page><div><p>All of a page in one form</p></div><button>Go</button></form>", "All of a page in one form"),
+])
+def test_nothing_but_outside_parts_is_dropped(html, text):
+    assert html_template.text_alone(html) == text
+
+
+def _extracted(spark, rows, n=5):
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string").repartition(n)
+    return {r.page_id: r.text for r in html_template.extracted(spark, df).collect()}
+
+
+def test_the_template_decides_where_no_name_tells(spark):
+    """Neither elements nor classes name a menu or a footer; the host's slots do."""
+    def page(k):
+        links = "".join(f"<a href=/{k}{i}>topic {k} {i}</a> " for i in range(k % 3 + 2))
+        body = "".join(f"<p>Sentence {i} of page {k}, with <a href=x>a link</a> in it</p>" for i in range(k % 4 + 1))
+        return f"<body><div class=k1>{links}</div><div class=k2><h2>Head {k}</h2>{body}</div><div class=k3>All rights kept</div></body>"
+
+    rows = [("http://plain.example/", page(k)) for k in range(24)]
+    got = _extracted(spark, rows)
+    for k, (_, html) in enumerate(rows):
+        want = [f"Head {k}", *(f"Sentence {i} of page {k}, with a link in it" for i in range(k % 4 + 1))]
+        assert got[k].split("\n") == want
+        alone = html_template.text_alone(html).split("\n")
+        assert alone[0].startswith("topic") and alone[1:-1] == want and alone[-1] == "All rights kept", "without a template all of it stays"
+
+
+def test_an_article_on_most_pages_is_the_region_of_its_host(spark):
+    """A short article, between longer texts that nothing names, is known from the host's other pages."""
+    page = lambda k, n: f"<body><p>Intro of {k}</p><article><p>{f'Text {k} ' * n}</p></article><p>Outro {k}, which is rather long</p></body>"
+    rows = [("http://h.example/", page(k, 40 if k else 1)) for k in range(12)]
+    got = _extracted(spark, rows)
+    assert got[0] == "Text 0" and got[3] == " ".join(["Text 3"] * 40)
+    assert html_template.text_alone(rows[0][1]).split("\n") == ["Intro of 0", "Text 0", "Outro 0, which is rather long"]
+
+
+def test_templates_are_the_gathered_occurrence_vectors(spark):
+    """Classes from vectors written out, against those of the fingerprints."""
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(2)
+    def page(k, host):  # noqa: E306
+        part = "".join(f"<div class=r{rng.randrange(3)}><p>x{k}{i}</p></div>" for i in range(rng.randrange(4)))
+        odd = "<section><em>e</em></section>" if rng.random() < 0.6 else ""
+        return f"<html><body class=b{host}><div id=top><ul><li>a<li>b</ul></div>{odd}{part}<div id=p{k}><h1>t{k}</h1></div><footer>f</footer></body></html>"
+
+    rows = [(k, f"http://h{k % 3}.example/", page(k, k % 3)) for k in range(24)] + [(99, "http://one.example/", page(99, 9))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = html_template.parsed_pages(spark, df)
+    got = {r.host: (set(r.tags), r.shared) for r in html_template.templates(spark, seen).collect()}
+    by_host = defaultdict(list)
+    for _, url, html in rows:
+        by_host[url.split("/")[2]].append(html_template.parsed(html))
+    for host, pages in by_host.items():
+        vectors, parents = defaultdict(lambda: [0] * len(pages)), {}
+        for k, p in enumerate(pages):
+            for path, parent in zip(p.paths[1:], p.parents[1:], strict=True):
+                vectors[path][k] += 1
+                parents[path] = p.paths[parent]
+        support = {path: sum(x > 0 for x in v) for path, v in vectors.items()}
+        alive = {path: tuple(v) for path, v in vectors.items() if support[path] >= html_template.TAG_SHARE * len(pages)}
+        over = defaultdict(set)
+        for path, v in alive.items():
+            above = alive.get(parents[path])
+            over[v] |= {above} - {v}
+        want = {html_template._signed(path) for path, v in alive.items() if len(over[v]) <= 1 and max(v) == 1}
+        assert got[host] == (want, len(pages) > 1) and len(want) >= 4
 
 
 def test_parts_of_a_paragraph_that_are_outside_go_alone():
     page = """<article><p><span class="ad">Ad</span> The article goes on <a class=share href=/s>Share</a>and on.</p>
 <p><a class="share">Share</a> text</p><p><span hidden>no</span>yes</p><p>One<span class=ad> ad</span> <b>two</b></p>
 <p class=ad>Buy <b>now</b></p><p><i class=ad>Only this</i></p></article>"""
-    assert html_template.main_text(page, set()).split("\n") == ["The article goes on and on.", "text", "yes", "One two"]
+    assert html_template.text_alone(page).split("\n") == ["The article goes on and on.", "text", "yes", "One two"]
 
 
 def test_template_text_is_deduced_from_the_pages_of_a_host(spark):
@@ -203,4 +281,6 @@ def test_odd_pages(spark, odd_pages, no_pages):
     text = {r.page_id: r.text for r in rows}
     assert len(rows) == 9 and text[1] == "same" and text[3] == text[4] == "" and text[6] == "deep\nx"
     assert text[7].count("word é") == 20_000
+    assert [r.url for r in rows if r.page_id == 2] == ["http://a.example/y"] * 2 and [text[2]] == ["same"]
+    assert {len(r.text) == r.n_chars for r in rows} == {True} and rows[0].__fields__ == ["page_id", "url", "text", "n_chars"]
     assert html_template.extracted(spark, no_pages).count() == 0
