@@ -31,6 +31,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -163,7 +164,7 @@ def cut(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.nda
 
 
 class Aligner:
-    """Vocabularies, written ids and pair numbers of both sides; one per task."""
+    """Vocabularies, written ids and pair numbers of both sides."""
 
     def __init__(self, file: bytes, model: bytes, keys: np.ndarray):
         import sentencepiece
@@ -256,6 +257,12 @@ class Aligner:
         return self.pairs.numbers(np.append(piece.a_ids, piece.a_before_id)[a], piece.b_ids[b]).astype(np.int32)
 
 
+@lru_cache(maxsize=1)
+def aligner_of(file: bytes, model: bytes, keys: bytes) -> Aligner:
+    """One for all tasks of a worker: making it anew costs time and leaves memory behind."""
+    return Aligner(file, model, np.frombuffer(keys, np.int64))
+
+
 def part_starts(data: np.ndarray, ends: np.ndarray, uncut: bool) -> np.ndarray:
     """Where parts begin in the UTF-8 of texts: at texts, and at blanks behind a character that is no white space."""
     begin = np.zeros(len(data) + 1, bool)
@@ -400,21 +407,21 @@ def aligned(
     if taken:
         raise ValueError(f"kept columns may not be named {', '.join(sorted(taken))}")
     vocabularies = vocabulary(byte_level), vocabulary(model)
-    keys = Pairs(side_a(vocabularies[0]), side_b(vocabularies[1])).keys
+    keys = Pairs(side_a(vocabularies[0]), side_b(vocabularies[1])).keys.tobytes()
     names = list(keep)
     texts = docs.select(*keep, F.col("text").alias("_text"))
     is_long = F.coalesce(F.octet_length("_text"), F.lit(0)) > long_bytes
-    short = texts.filter(~is_long).mapInArrow(lambda batches: _align(batches, Aligner(*vocabularies, keys), names, steps), _kept(docs, keep) + FIELDS)
+    short = texts.filter(~is_long).mapInArrow(lambda batches: _align(batches, aligner_of(*vocabularies, keys), names, steps), _kept(docs, keep) + FIELDS)
 
     # staged, so that a row keeps its number
     carried, kept = ["_row", *names], "_row long, " + _kept(docs, keep)
     numbered = texts.filter(is_long).select(F.monotonically_increasing_id().alias("_row"), *keep, "_text")
-    pieces = staged(spark, numbered.mapInArrow(lambda batches: _cut(batches, Aligner(*vocabularies, keys), carried, steps), kept + PIECE_FIELDS), "pieces")
+    pieces = staged(spark, numbered.mapInArrow(lambda batches: _cut(batches, aligner_of(*vocabularies, keys), carried, steps), kept + PIECE_FIELDS), "pieces")
     run = pa.list_(pa.int64())
     kinds = {"head_a": run, "head_b": run, "tail_a": run, "tail_b": run, "body": pa.string(), "links": pa.list_(pa.int32())}
     schema = pa.schema([(name, kinds.get(name, pa.int64())) for name in (field.split(" ")[0] for field in PART_FIELDS.split(", "))])
     parts = pieces.repartition("_row", "_piece").mapInArrow(
-        lambda batches: _align_pieces(batches, Aligner(*vocabularies, keys), carried, schema), kept + PART_FIELDS
+        lambda batches: _align_pieces(batches, aligner_of(*vocabularies, keys), carried, schema), kept + PART_FIELDS
     )
     whole = parts.groupBy("_row").agg(
         *(F.first(k).alias(k) for k in keep), F.sort_array(F.collect_list(F.struct(*schema.names))).alias("parts")
