@@ -9,7 +9,7 @@ so a position that failed once is marked in a bitfield and never tried again; th
 
 Equal priorities (runs of blanks have them) go to the leftmost pair, as in the library.  Texts are cut where no merge
 can reach across: before a run of blanks, and beside characters that no piece contains; parts are remembered per
-task, ``REMEMBERED`` at most, which changes the speed only.
+worker, ``REMEMBERED`` at most, which changes the speed only.
 
 One narrow pass, no shuffle: a task that is run again gives the same rows.  The model (half a megabyte) is read by
 the driver and sent to the tasks.
@@ -28,6 +28,7 @@ import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -80,7 +81,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class PieceCodec:
-    """Encoder and decoder of one model; one per task."""
+    """Encoder and decoder of one model."""
 
     def __init__(self, model: bytes):
         top: dict[int, list] = {}
@@ -260,6 +261,12 @@ def _each_wrong_byte(data: bytes) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def codec_of(model: bytes) -> PieceCodec:
+    """One for all tasks of a worker, so that its parts are remembered."""
+    return PieceCodec(model)
+
+
 def _kept(df: DataFrame, keep: tuple[str, ...], new: str) -> str:
     if new in keep:
         raise ValueError(f"a kept column may not be named {new}")
@@ -271,7 +278,7 @@ def encoded(docs: DataFrame, *keep: str, path: str = MODEL) -> DataFrame:
     model = vocabulary(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        codec = codec_of(model)
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
                 ids = [codec.encode(text or "") for text in part.column("_text").to_pylist()]
@@ -287,7 +294,7 @@ def decoded(rows: DataFrame, *keep: str, path: str = MODEL) -> DataFrame:
     model = vocabulary(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        codec = codec_of(model)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
