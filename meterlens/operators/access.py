@@ -134,8 +134,8 @@ def w_table_access_detail(
     """Reads and writes per table and user bucket, the busiest first, with the size of the table.
 
     A query has one user, so its bucket is part of the distinct key.  Tables are matched by their case-folded
-    name and shown under the smallest of the names they were used by.  Counts and names both start from the distinct
-    touches; give events that are dealt :func:`by_query`, and those are one pass and one shuffle.
+    name and shown under the smallest of the names they were used by.  Counts and names both fold the events where
+    they lie: give events that are dealt :func:`by_query` or staged in buckets by query.
     """
     columns = ("match_name", "object_name", "object_domain", "user_name", "action", "query_id")
     used = _table_events(events).withColumn("user_name", bucket_people("user_name", domain, label)).select(*columns).distinct()

@@ -330,9 +330,11 @@ def _top_errors(failed: DataFrame, reason: Column, name: str, limit: int, messag
     reasons = failed.select(reason.alias(name), message.alias("sample_message"))
     folded = reasons.groupBy(name, "sample_message").agg(_rows().alias("n"))
     top = top_k(folded.groupBy(name).agg(sum_long("n").alias("count")), limit, "count", name)
-    marks = F.broadcast(top.select(F.col(name).alias("_top"), "count"))
+    marks = F.broadcast(top.select(F.col(name).alias("_top")))
+    # not a semi join, which would be pushed below the fold, and counted again: so both sides ask the same of the
+    # shuffle and share it
     led = folded.join(marks, F.col(name).eqNullSafe(F.col("_top")))
-    samples = led.groupBy(name, "count").agg(F.min("sample_message").alias("sample_message"))
+    samples = led.groupBy(name).agg(F.min("sample_message").alias("sample_message"), sum_long("n").alias("count"))
     return top_k(samples.select(name, "sample_message", "count"), limit, "count", name)
 
 
