@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.functions import Lookback, bytes_to_gb, day_of, not_deleted, qualified_name, sum_long
+from meterlens.functions import Lookback, bytes_to_gb, day_of, not_deleted, qualified_name, sum_double, sum_long
 from meterlens.operators.ranking import latest_snapshot, top_k, top_n_trend
 
 # output column -> bytes column
@@ -18,8 +18,9 @@ STORAGE_CLASSES = {
 
 
 def w_storage_summary(table_storage: DataFrame) -> DataFrame:
+    """Bytes are added as decimals: those of a large platform are more than a long holds."""
     live = table_storage.filter(not_deleted("deleted", flag=True))
-    return live.agg(*[bytes_to_gb(sum_long(c)).alias(name) for name, c in STORAGE_CLASSES.items()])
+    return live.agg(*[bytes_to_gb(sum_double(c, digits=None)).alias(name) for name, c in STORAGE_CLASSES.items()])
 
 
 def w_top_tables(table_storage: DataFrame, limit: int = 20) -> DataFrame:

@@ -10,7 +10,7 @@ from fixtures.cases.cost import bill, priced
 from fixtures.cases.registry import EV, LI
 from fixtures.views import DOMAIN, EMPLOYEES
 from meterlens.functions import Lookback
-from meterlens.operators import access, activity, automation, cost, logins, users
+from meterlens.operators import access, activity, automation, cost, logins, storage, users
 from meterlens.operators.lookup import attach
 from meterlens.sources import principal_names, user_types
 
@@ -437,3 +437,12 @@ def test_sketched_quartiles_are_within_their_rank_error(spark):
     assert (days["2024-03-01"].q1_ms, days["2024-03-01"].median_ms, days["2024-03-01"].q3_ms) == (3, 6, 9)
     plain = {r.day: tuple(r) for r in activity.w_daily_duration(log, Lookback("2024-03-02", 1)).collect()}
     assert plain == {r.day: tuple(r) for r in activity.durations_of(activity.w_duration_sketches(log, Lookback("2024-03-02", 1)), seconds=True).collect()}
+
+
+def test_storage_of_more_bytes_than_a_long_holds(frame):
+    huge = 2**62
+    rows = [(huge, 1, None, huge, False)] * 3 + [(huge, 1, None, 5, True)]
+    ddl = "active_bytes long, time_travel_bytes long, failsafe_bytes long, retained_for_clone_bytes long, deleted boolean"
+    found = storage.w_storage_summary(frame(rows, ddl)).collect()[0]
+    assert tuple(found) == (3 * 2.0**32, 3 / 2.0**30, 0.0, 3 * 2.0**32)
+    assert [tuple(r) for r in storage.w_storage_summary(frame([], ddl)).collect()] == [(0.0, 0.0, 0.0, 0.0)]
