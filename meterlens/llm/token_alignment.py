@@ -49,6 +49,8 @@ LONG_BYTES = 1 << 16
 PIECE_STEPS = 1 << 14
 #: Parts that side B encodes together.
 RUN = 128
+#: Links whose counts are looked up together.
+RUN_LINKS = 1 << 17
 NEW = ("n_a", "n_b", "n_groups", "groups", "links")
 FIELDS = "n_a long, n_b long, n_groups long, groups string, links array<int>"
 
@@ -171,9 +173,10 @@ class Aligner:
 
         self.a, self.b = side_a(file), side_b(model)
         self._encode_a = _encoding({x: k for k, x in enumerate(self.a) if x}).encode_ordinary
-        self._encode_b = sentencepiece.SentencePieceProcessor(model_proto=model).encode
+        library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self._encode_b = library.encode
         # what the library gives no ids for: a blank in front of nothing
-        self._blank = [sentencepiece.SentencePieceProcessor(model_proto=model).piece_to_id(BLANK)]
+        self._blank = [library.piece_to_id(BLANK)]
         self._uncut = any(b" " in x.lstrip(b" ") for x in self.b)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a, self.b))
         self.pairs = Pairs.__new__(Pairs)
@@ -434,6 +437,21 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch], best: np.ndarray, count: np.ndarray, others: list[str]) -> Iterator[pa.RecordBatch]:
+    """``others, n_best, count_sum`` of each row; about ``RUN_LINKS`` links are looked up at a time, a batch holds millions."""
+    for batch in batches:
+        lengths = batch.column("links").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(lengths, dtype=np.int64) // RUN_LINKS
+        edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            part = batch.slice(lo, hi - lo)
+            ends = np.append(0, np.cumsum(lengths[lo:hi]))
+            flat = part.column("links").flatten().to_numpy()
+            sums = [np.append(0, np.cumsum(values[flat], dtype=np.int64)) for values in (best, count)]
+            new = [pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *new], [*others, "n_best", "count_sum"])
+
+
 def with_counts(rows: DataFrame, counts: DataFrame, byte_level: str = BYTE_LEVEL, model: str = MODEL) -> DataFrame:
     """``rows`` with ``n_best, count_sum`` instead of ``links``.
 
@@ -448,18 +466,8 @@ def with_counts(rows: DataFrame, counts: DataFrame, byte_level: str = BYTE_LEVEL
     np.maximum.at(highest, keys % len(b), count)
     best = count == highest[keys % len(b)]
     others = [c for c in rows.columns if c != "links"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = batch.column("links")
-            ends = np.append(0, np.cumsum(links.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-            flat = links.flatten().to_numpy()
-            sums = [np.append(0, np.cumsum(values[flat])) for values in (best.astype(np.int64), count)]
-            new = [pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *new], [*others, "n_best", "count_sum"])
-
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
-    return rows.mapInArrow(work, f"{kinds}, n_best long, count_sum long")
+    return rows.mapInArrow(lambda batches: _counted(batches, best, count, others), f"{kinds}, n_best long, count_sum long")
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

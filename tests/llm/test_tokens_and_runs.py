@@ -3,11 +3,13 @@
 import hashlib
 import random
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,3 +347,21 @@ def test_linked_ids_end_alike(aligner):
     for key in keys[:: len(keys) // 1000].tolist():
         a, b = aligner.a[key // aligner.pairs.width], aligner.b[key % aligner.pairs.width]
         assert a.endswith(b) or b.endswith(a)
+
+
+def test_counts_of_a_batch_are_looked_up_in_runs():
+    # a batch of 10,000 texts holds millions of links: the figures of all at once do not fit beside the other tasks
+    rng = np.random.default_rng(3)
+    lengths = np.append(rng.integers(0, 800, 10_000), [0, 300_000, 0])
+    ends = np.append(0, np.cumsum(lengths))
+    links = rng.integers(0, 1000, ends[-1]).astype(np.int32)
+    count, best = rng.integers(1, 1 << 40, 1000), rng.random(1000) < 0.5
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(links))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(lengths))), lists], ["doc_id", "links"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(align._counted(iter([batch, batch.slice(0, 0), batch.slice(10_000)]), best, count, ["doc_id"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 < ends[-1] * 8
+    want = [(k, int(best[links[a:b]].sum()), int(count[links[a:b]].sum())) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+    assert [tuple(r.values()) for r in out.to_pylist()] == want + want[10_000:]
