@@ -28,10 +28,10 @@ def bind(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in cols.items()]))))
 
 
-def staged(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
+def staged(spark: SparkSession, df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """Write to the shared scratch folder and read back: cuts lineage, survives lost executors, has a known size."""
     path = scratch_dir(spark, f"llm-{purpose}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,8 @@ their markup.  For texts, a page is a near copy, and does not count, if the text
 ``NEAR`` times its other text or more (two such pages are three quarters equal, as in near-dedup): text that copies of
 an article share is not boilerplate.
 
-Pages are parsed once; what is staged (tokens and blocks) serves the deduction and the extraction.
+Pages are parsed once; what is staged (tokens and blocks) serves the deduction and the extraction.  The deduction reads
+no texts, only their sizes and hashes, so no join of it moves them.
 
 Defined cases: a null or empty html gives an empty text; a page with a null url, or one without a host, is its own
 host; repeated rows are copies; unclosed and stray tags are taken as browsers do, roughly; white space, also
@@ -37,7 +38,9 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat, zip_longest
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,10 +105,10 @@ class _Element:
 class Block:
     """A run of text between block boundaries, and where it stands."""
 
-    __slots__ = ("link_chars", "number", "text", "token")
+    __slots__ = ("chars", "link_chars", "number", "text", "token")
 
     def __init__(self, text: str, element: _Element, link_chars: int):
-        self.text, self.number, self.link_chars = text, element.number, link_chars
+        self.text, self.number, self.chars, self.link_chars = text, element.number, len(text), link_chars
         self.token = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=element.path)
 
 
@@ -247,8 +250,8 @@ def slots_of(page: Page, template: set[int]) -> list[tuple[int, int, bool, int,
     for b in page.blocks:
         mark = ARTICLE if least[b.number] == PLAIN and page.articles[b.number] else least[b.number]
         own = sums[slot[b.number]]
-        own[0] += mark * (len(b.text) - b.link_chars)
-        own[1] += len(b.text)
+        own[0] += mark * (b.chars - b.link_chars)
+        own[1] += b.chars
         own[2] += b.link_chars
     out = []
     for k, (weight, chars, linked) in sums.items():
@@ -287,7 +290,7 @@ def main_text(page: Page, template: set[int], region: int, menus: set[int], text
     for k in range(n):
         inside[k] = page.paths[k] == region or (k > 0 and inside[page.parents[k]])
     for b in page.blocks:
-        chars[b.number] += len(b.text)
+        chars[b.number] += b.chars
     for k in range(n - 1, 0, -1):
         chars[page.parents[k]] += chars[k]
     whole = sum(chars[k] for k in range(n) if page.paths[k] == region)
@@ -314,64 +317,102 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: Elements and blocks are kept as one array per figure.  Texts stand apart: what is deduced needs their sizes only.
+_ELEMENTS = {"paths": "long", "parents": "int", "marks": "int", "articles": "boolean"}
+_BLOCKS = {"numbers": "int", "sizes": "int", "links": "int"}
+_SHAPE = (*_ELEMENTS, *_BLOCKS)
+_TOKENS = {"token": "long", "parent": "long", "is_tag": "boolean", "n": "long"}
+_LISTS = {"texts": "long", "chars": "long", **_ELEMENTS, **_BLOCKS, "block_tokens": "long", "block_texts": "string"}
 _PAGE = (
-    "page long, page_id {kind}, url string, host string, content long, texts array<long>, chars array<long>, "
-    "tokens array<struct<token: long, parent: long, is_tag: boolean, n: long>>, "
-    "elements array<struct<path: long, parent: int, mark: int, article: boolean>>, "
-    "blocks array<struct<text: string, number: int, link_chars: int, token: long>>"
+    "page long, page_id {kind}, url string, host string, content long, "
+    + f"tokens array<struct<{', '.join(f'{k}: {v}' for k, v in _TOKENS.items())}>>, "
+    + ", ".join(f"{k} array<{v}>" for k, v in _LISTS.items())
 )
-_STORED = ("elements", "blocks")
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
 
 
-def _pages(batches: Iterator[pa.RecordBatch], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``_PAGE``: each token of each page once; ``content`` is a hash of its texts, ``texts`` and ``chars`` tell their share."""
     for batch in batches:
         for part in slices(batch, "html"):
-            new: dict[str, list] = {name: [] for name in kinds}
+            content: list[int] = []
+            flat: dict[str, list] = {name: [] for name in (*_TOKENS, *_LISTS)}
+            ends: dict[str, list[int]] = {name: [0] for name in ("tokens", *_LISTS)}
             for page in map(parsed, (x or "" for x in part.column("html").to_pylist())):
-                found = Counter((path, page.paths[max(parent, 0)], True) for path, parent in zip(page.paths[1:], page.parents[1:], strict=True))
-                found.update((b.token, page.paths[b.number], False) for b in page.blocks)
-                new["tokens"].append([{"token": _signed(t), "parent": _signed(p), "is_tag": k, "n": n} for (t, p, k), n in found.items()])
+                paths, blocks = page.paths, page.blocks
+                found = Counter(zip(paths[1:], [paths[max(k, 0)] for k in page.parents[1:]], [True] * (len(paths) - 1), strict=True))
+                found.update((b.token, paths[b.number], False) for b in blocks)
+                flat["token"] += [_signed(t) for t, _, _ in found]
+                flat["parent"] += [_signed(p) for _, p, _ in found]
+                flat["is_tag"] += [k for _, _, k in found]
+                flat["n"] += found.values()
                 least = [PLAIN]
-                for k in range(1, len(page.paths)):
+                for k in range(1, len(paths)):
                     least.append(min(least[page.parents[k]], page.marks[k]))
-                inside = [b for b in page.blocks if least[b.number] == PLAIN]
-                new["content"].append(_signed(xxhash.xxh64_intdigest("\n".join(b.text for b in inside).encode("utf-8", "surrogatepass"))))
+                inside = [b for b in blocks if least[b.number] == PLAIN]
+                content.append(_signed(xxhash.xxh64_intdigest("\n".join(b.text for b in inside).encode("utf-8", "surrogatepass"))))
                 long: Counter[int] = Counter()
                 for b in inside:
-                    long[_signed(b.token)] += len(b.text)
-                new["texts"].append(list(long))
-                new["chars"].append(list(long.values()))
-                new["elements"].append([
-                    {"path": _signed(p), "parent": k, "mark": m, "article": a}
-                    for p, k, m, a in zip(page.paths, page.parents, page.marks, page.articles, strict=True)
-                ])
-                new["blocks"].append([
-                    {"text": b.text, "number": b.number, "link_chars": b.link_chars, "token": _signed(b.token)} for b in page.blocks
-                ])
+                    long[_signed(b.token)] += b.chars
+                flat["texts"] += long
+                flat["chars"] += long.values()
+                flat["paths"] += map(_signed, paths)
+                flat["parents"] += page.parents
+                flat["marks"] += page.marks
+                flat["articles"] += page.articles
+                flat["numbers"] += [b.number for b in blocks]
+                flat["sizes"] += [b.chars for b in blocks]
+                flat["links"] += [b.link_chars for b in blocks]
+                flat["block_tokens"] += [_signed(b.token) for b in blocks]
+                flat["block_texts"] += [b.text for b in blocks]
+                for name, upto in ends.items():
+                    upto.append(len(flat["token" if name == "tokens" else name]))
             columns = {name: part.column(name) for name in ("page", "page_id", "url", "host")}
-            columns |= {name: pa.array(values, kinds[name]) for name, values in new.items()}
+            tokens = pa.StructArray.from_arrays([pa.array(flat[k], _ARROW[v]) for k, v in _TOKENS.items()], list(_TOKENS))
+            values = {"tokens": tokens} | {k: pa.array(flat[k], _ARROW[v]) for k, v in _LISTS.items()}
+            columns["content"] = pa.array(content, pa.int64())
+            columns |= {k: pa.ListArray.from_arrays(pa.array(ends[k], pa.int32()), v) for k, v in values.items()}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _stored(row: dict) -> Page:
-    page = Page()
-    page.paths, page.parents, page.marks, page.articles = ([e[k] for e in row["elements"]] for k in ("path", "parent", "mark", "article"))
-    for b in row["blocks"]:
-        block = Block.__new__(Block)
-        block.text, block.number, block.link_chars, block.token = b["text"], b["number"], b["link_chars"], b["token"]
-        page.blocks.append(block)
-    return page
+def _rows(column: pa.Array) -> list[list]:
+    """The lists of a column, none of them null."""
+    ends = np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))).tolist()
+    flat = column.flatten()
+    values = flat.to_pylist() if pa.types.is_string(flat.type) else flat.to_numpy(zero_copy_only=False).tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _stored(batch: pa.RecordBatch, texts: bool = False) -> Iterator[Page]:
+    """The pages of a batch; blocks have their text and token only if asked for."""
+    shape = zip(*(_rows(batch.column(name)) for name in _SHAPE), strict=True)
+    wording = zip(_rows(batch.column("block_tokens")), _rows(batch.column("block_texts")), strict=True) if texts else repeat(((), ()))
+    for (paths, parents, marks, articles, numbers, sizes, links), (tokens, texts_) in zip(shape, wording, strict=False):
+        page = Page()
+        page.paths, page.parents, page.marks, page.articles = paths, parents, marks, articles
+        for number, size, linked, token, text in zip_longest(numbers, sizes, links, tokens, texts_):
+            block = Block.__new__(Block)
+            block.number, block.chars, block.link_chars, block.token, block.text = number, size, linked, token, text
+            page.blocks.append(block)
+        yield page
+
+
+def _of_host(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[set[int], ...]]:
+    """For each row the lists of its host as sets, nulls as empty ones; rows of a host share them."""
+    known: dict[str, tuple[set[int], ...]] = {}
+    for k, host in enumerate(batch.column("host").to_pylist()):
+        if host not in known:
+            known[host] = tuple(set(batch.column(name)[k].as_py() or ()) for name in names)
+        yield known[host]
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``host, content, tokens`` of the pages that are no near copies, given the ``common`` texts of their host."""
     for batch in batches:
         keep = []
-        for k, row in enumerate(batch.select(["texts", "chars", "common"]).to_pylist()):
-            common = set(row["common"] or ())
-            shared = sum(n for t, n in zip(row["texts"], row["chars"], strict=True) if t in common)
-            if shared < NEAR * (sum(row["chars"]) - shared):
+        for k, (texts, chars, (common,)) in enumerate(zip(_rows(batch.column("texts")), _rows(batch.column("chars")), _of_host(batch, "common"), strict=True)):
+            shared = sum(n for t, n in zip(texts, chars, strict=True) if t in common)
+            if shared < NEAR * (sum(chars) - shared):
                 keep.append(k)
         yield batch.select(["host", "content", "tokens"]).take(pa.array(keep, pa.int64()))
 
@@ -385,14 +426,22 @@ def parsed_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     fields = _PAGE.format(kind=pages.schema["page_id"].dataType.simpleString())
     rows = pages.select(F.monotonically_increasing_id().alias("page"), "page_id", "url", host_of(F.col("url")).alias("host"), "html")
     host = F.when(F.col("host") != "", F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("html"), F.lit("/"), F.col("page")))
-    long, flag = pa.int64(), pa.bool_()
-    kinds = {
-        "content": long, "texts": pa.list_(long), "chars": pa.list_(long),
-        "tokens": pa.list_(pa.struct([("token", long), ("parent", long), ("is_tag", flag), ("n", long)])),
-        "elements": pa.list_(pa.struct([("path", long), ("parent", pa.int32()), ("mark", pa.int32()), ("article", flag)])),
-        "blocks": pa.list_(pa.struct([("text", pa.string()), ("number", pa.int32()), ("link_chars", pa.int32()), ("token", long)])),
-    }
-    return staged(spark, rows.withColumn("host", host).mapInArrow(lambda batches: _pages(batches, kinds), fields), "pages")
+    return staged(spark, rows.withColumn("host", host).mapInArrow(_pages, fields), "pages", compression="zstd")
+
+
+def firsts(pages: DataFrame) -> DataFrame:
+    """``bucket, firsts``: bits of the first page with each content of a host.  Page numbers run on inside a split, so
+    that a split has one row for every 32,768 of its pages."""
+    once = pages.groupBy("host", "content").agg(F.min("page").alias("page"))
+    return once.groupBy(F.bitmap_bucket_number("page").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("page")).alias("firsts"))
+
+
+def first_of(pages: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``pages`` that ``firsts`` has marked, without a shuffle of pages as long as its bits can be broadcast."""
+    at = F.bitmap_bit_position("page")
+    byte = F.conv(F.hex(F.substring("firsts", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    both = pages.join(marked, F.bitmap_bucket_number("page") == F.col("bucket"))
+    return both.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*pages.columns)
 
 
 def _classes(pages: DataFrame, hosts: DataFrame, least: Column) -> DataFrame:
@@ -420,10 +469,10 @@ def _of_valid(tokens: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(valid, (F.col("host") == F.col("v_host")) & (F.col("class") == F.col("v_class")), "left_semi")
 
 
-def template_texts(spark: SparkSession, seen: DataFrame, once: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """``host, texts``: fingerprints of the texts in the valid classes of each host."""
+def template_texts(spark: SparkSession, once: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """``host, texts``: fingerprints of the texts in the valid classes of each host, given one page per content."""
     hosts = once.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= min_pages)
-    seen = seen.select("page", "host", "content", "tokens", "texts", "chars").join(once.select("page"), "page", "left_semi")
+    seen = once.select("host", "content", "tokens", "texts", "chars")
     common = seen.select("host", F.explode("texts").alias("token")).groupBy("host", "token").agg(F.count("*").alias("support"))
     common = common.filter(F.col("support") >= min_pages).join(hosts, "host").filter(F.col("support") >= min_share * F.col("host_pages"))
     common = staged(spark, common.groupBy(F.col("host").alias("c_host")).agg(F.collect_set("token").alias("common")), "common")
@@ -437,10 +486,9 @@ def template_texts(spark: SparkSession, seen: DataFrame, once: DataFrame, min_pa
     return _of_valid(tokens, tokens.filter("not is_tag")).groupBy("host").agg(F.collect_set("token").alias("texts"))
 
 
-def template_tags(spark: SparkSession, seen: DataFrame, once: DataFrame) -> DataFrame:
+def template_tags(spark: SparkSession, once: DataFrame) -> DataFrame:
     """``host, tags, shared``: paths of the elements of each host's template, and whether it has several pages."""
-    counted = seen.select("page", "host", "content", "tokens").join(once.select("page"), "page", "left_semi")
-    counted = counted.withColumn("tokens", F.filter("tokens", lambda t: t.is_tag))
+    counted = once.select("host", "content", F.filter("tokens", lambda t: t.is_tag).alias("tokens"))
     hosts = once.groupBy("host").agg(F.count("*").alias("host_pages"))
     tokens = staged(spark, _classes(counted, hosts, TAG_SHARE * F.col("host_pages")), "tags")
     once_each = _of_valid(tokens, tokens.filter("total = support"))
@@ -455,10 +503,9 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``_SLOT``: what each slot holds, added up over the pages of a batch."""
     for batch in batches:
         total: dict[tuple, list[int]] = {}
-        for k in range(batch.num_rows):
-            row = {name: batch.column(name)[k].as_py() for name in ("host", *_STORED, "tags")}
-            for node, parent, begins, *sums in slots_of(_stored(row), set(row["tags"] or ())):
-                key = (row["host"], node, parent, begins)
+        for host, (template,), page in zip(batch.column("host").to_pylist(), _of_host(batch, "tags"), _stored(batch), strict=True):
+            for node, parent, begins, *sums in slots_of(page, template):
+                key = (host, node, parent, begins)
                 total[key] = [a + b for a, b in zip(total.get(key, (0, 0, 0)), sums, strict=True)]
         keys, values = list(total), list(total.values())
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
@@ -477,26 +524,26 @@ def _choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(spark: SparkSession, seen: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``host, tags, region, menus, texts``: each host's template, the element of the article, slots that are menus, template texts."""
-    once = staged(spark, seen.groupBy("host", "content").agg(F.min("page").alias("page")), "contents")
-    tags = staged(spark, template_tags(spark, seen, once), "template")
-    counted = seen.select("page", "host", *_STORED).join(once.select("page"), "page", "left_semi")
-    with_tags = counted.join(tags.withColumnRenamed("host", "t_host"), F.col("host") == F.col("t_host")).select("host", *_STORED, "tags")
+    marked = staged(spark, firsts(seen), "firsts")
+    once = first_of(seen.drop("block_tokens", "block_texts", "page_id", "url"), marked)
+    tags = staged(spark, template_tags(spark, once), "template")
+    with_tags = once.join(tags.withColumnRenamed("host", "t_host"), F.col("host") == F.col("t_host")).select("host", *_SHAPE, "tags")
     slots = with_tags.mapInArrow(_slots, _SLOT).groupBy("host", "node", "parent", "begins").agg(*(F.sum(c).alias(c) for c in _SUMS))
     # as many as a page has different elements, at most twice
     trees = slots.groupBy("host").agg(F.collect_list(F.struct("node", "parent", "begins", *_SUMS)).alias("slots"))
     choices = trees.mapInArrow(_choices, "host string, region long, menus array<long>")
-    texts = template_texts(spark, seen, once, min_pages, min_share)
+    texts = template_texts(spark, once, min_pages, min_share)
     return tags.join(choices, "host", "left").join(texts, "host", "left")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for k in range(batch.num_rows):
-            row = {name: batch.column(name)[k].as_py() for name in (*_STORED, "tags", "shared", "region", "menus", "texts")}
-            page = _stored(row)
-            menus = set(row["menus"] or ()) if row["shared"] else set()
-            texts.append(main_text(page, set(row["tags"] or ()), row["region"] or 0, menus, set(row["texts"] or ())))
+        shared, regions = batch.column("shared").to_pylist(), batch.column("region").to_pylist()
+        of_host, pages = _of_host(batch, "tags", "menus", "texts"), _stored(batch, texts=True)
+        texts = [
+            main_text(page, tags, region or 0, menus if many else set(), common)
+            for page, (tags, menus, common), many, region in zip(pages, of_host, shared, regions, strict=True)
+        ]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["page_id", "url", "text", "n_chars"],
@@ -507,8 +554,9 @@ def extracted(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES,
     """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html)."""
     seen = parsed_pages(spark, pages)
     found = staged(spark, templates(spark, seen, min_pages, min_share).withColumnRenamed("host", "t_host"), "templates")
-    rows = seen.select("page_id", "url", "host", *_STORED).join(found.withColumnRenamed("texts", "t_texts"), F.col("host") == F.col("t_host"), "left")
-    rows = rows.select("page_id", "url", *_STORED, "tags", "shared", "region", "menus", F.col("t_texts").alias("texts"))
+    stored = (*_SHAPE, "block_tokens", "block_texts")
+    rows = seen.select("page_id", "url", "host", *stored).join(found.withColumnRenamed("texts", "t_texts"), F.col("host") == F.col("t_host"), "left")
+    rows = rows.select("page_id", "url", "host", *stored, "tags", "shared", "region", "menus", F.col("t_texts").alias("texts"))
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 

@@ -7,6 +7,7 @@ import struct
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from meterlens.llm import html_template, packing, warc_zst
 
@@ -284,3 +285,27 @@ def test_odd_pages(spark, odd_pages, no_pages):
     assert [r.url for r in rows if r.page_id == 2] == ["http://a.example/y"] * 2 and [text[2]] == ["same"]
     assert {len(r.text) == r.n_chars for r in rows} == {True} and rows[0].__fields__ == ["page_id", "url", "text", "n_chars"]
     assert html_template.extracted(spark, no_pages).count() == 0
+
+
+def test_first_pages_of_contents_need_no_shuffle_of_pages(spark):
+    # pages numbered over several splits, some with more than one row of bits
+    rows = spark.range(0, 70_000, 1, 2).select(
+        F.monotonically_increasing_id().alias("page"), F.concat(F.lit("h"), F.col("id") % 3).alias("host"), (F.xxhash64("id") % 20_000).alias("content")
+    )
+    least = {}
+    for r in rows.collect():
+        least[r.host, r.content] = min(r.page, least.get((r.host, r.content), r.page))
+    first = html_template.first_of(rows, html_template.firsts(rows))
+    assert first.columns == ["page", "host", "content"]
+    got = [r.page for r in first.collect()]
+    assert len(got) > 10_000 and sorted(got) == sorted(least.values())
+
+
+def test_deduction_reads_no_texts(spark, monkeypatch):
+    html = "<html><body><article><p>{}</p></article><div class='menu'><a href='/'>Home</a></div></body></html>"
+    pages = spark.createDataFrame([(k, f"http://h/{k}", html.format(f"Text {k % 15}")) for k in range(20)], "page_id long, url string, html string")
+    seen = html_template.parsed_pages(spark, pages)
+    without = seen.drop("block_texts", "block_tokens")
+    got, want = (sorted(map(str, html_template.templates(spark, s).collect())) for s in (without, seen))
+    assert got == want and len(got) == 1
+    assert html_template.first_of(without, html_template.firsts(seen)).count() == 15
