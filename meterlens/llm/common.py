@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,8 @@ from meterlens.session import scratch_dir
 
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +43,23 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Passes that run inside hand their tasks Arrow batches of about ``BATCH_BYTES``, if the session sets no size.
+
+    Spark's own 64 MB stand in each task several times beside the heap: as vectors that grow by doubling, as the
+    stream to Python, and there.  What is planned inside and runs later has the size of its own time, so stage it.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
 def null_safe(left: DataFrame, right: DataFrame, *keys: str) -> Column:
     return all_of([left[k].eqNullSafe(right[k]) for k in keys])
 

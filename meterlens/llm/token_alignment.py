@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlens.llm.common import read, staged
+from meterlens.llm.common import read, small_batches, staged
 from meterlens.llm.packing import _encoding, vocabulary
 from meterlens.llm.piece_codec import BLANK, MODEL
 from meterlens.llm.textnum import equal_parts, slices
@@ -471,8 +471,9 @@ def with_counts(rows: DataFrame, counts: DataFrame, byte_level: str = BYTE_LEVEL
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = aligned(spark, read(spark, sf_dir, "documents"), "doc_id")
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
-    narrow = staged(spark, rows.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), digest, "links"), "links")
-    out = with_counts(narrow, pair_counts(narrow))
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    with small_batches(spark):
+        rows = aligned(spark, read(spark, sf_dir, "documents"), "doc_id")
+        digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+        narrow = staged(spark, rows.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), digest, "links"), "links")
+        out = with_counts(narrow, pair_counts(narrow))
+        return staged(spark, out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), "counted")

@@ -365,3 +365,36 @@ def test_counts_of_a_batch_are_looked_up_in_runs():
     assert peak < 16 << 20 < ends[-1] * 8
     want = [(k, int(best[links[a:b]].sum()), int(count[links[a:b]].sum())) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
     assert [tuple(r.values()) for r in out.to_pylist()] == want + want[10_000:]
+
+
+def test_passes_of_op11_get_small_batches(spark, tmp_path, monkeypatch):
+    # 10,000 texts or lists of links at once stood beside the heap as vectors, as the stream to Python, and there
+    rows = [(1, "a text, and some more of it"), (1, "a text, and some more of it"), (None, None), (2, "x" * 100_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"size": [batch.nbytes]}) for batch in batches)
+
+    def spy(spark, df, purpose, _staged=align.staged):
+        texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 3000))
+        seen[purpose] = max(r.size for r in texts.mapInArrow(sizes, "size long").collect())
+        return _staged(spark, df, purpose)
+
+    monkeypatch.setattr(align, "staged", spy)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert spark.conf.get(setting, None) is None
+    got = align.op11_token_alignment(spark, str(tmp_path))
+    assert [*seen] == ["pieces", "links", "counted"] and max(seen.values()) < 5 << 20
+    assert spark.conf.get(setting, None) is None
+    assert Counter(r.doc_id for r in got.collect()) == {1: 2, None: 1, 2: 1}
+    # a size that the session has set is kept, also when a pass fails
+    try:
+        spark.conf.set(setting, "1m")
+        align.op11_token_alignment(spark, str(tmp_path))
+        assert max(seen.values()) < 2 << 20 and spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.unset(setting)
+    with pytest.raises(Exception, match="nowhere"):
+        align.op11_token_alignment(spark, f"{tmp_path}/nowhere")
+    assert spark.conf.get(setting, None) is None
